@@ -36,3 +36,8 @@ def bound_batches(spark: SparkSession) -> None:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Shuffle files go when the query that wrote them ends; for operators of several queries, with staged tables between them."""
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")

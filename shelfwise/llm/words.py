@@ -84,3 +84,75 @@ def windows(h: np.ndarray, size: int) -> np.ndarray:
     for i in range(size):
         out = out * GOLD + h[i : i + n]
     return mix(out)
+
+
+_BYTE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0x9E3779B97F4A7C13  # odd, and 3 modulo 8, so that its powers differ in as many bits as they can
+_UNBASE = pow(_BASE, -1, 1 << 64)
+_SPACE = np.zeros(256, bool)
+_SPACE[list(b" \t\n\r\x0b\x0c")] = True
+_SPACES = (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")
+_BLOCK = 1 << 18
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n powers of the base, and of its inverse modulo 2**64."""
+    if len(_POWERS[0]) < n:
+        with np.errstate(over="ignore"):
+            for k, base in enumerate((_BASE, _UNBASE)):
+                full = np.full(n, np.uint64(base))
+                full[0] = 1
+                _POWERS[k] = np.multiply.accumulate(full)
+    return _POWERS[0], _POWERS[1]
+
+
+def prefix_hash(raw: bytes) -> np.ndarray:
+    """Sums of byte numbers times powers of the base: entry i is that of the first i bytes."""
+    n = len(raw)
+    up, _ = powers(max(n, _BLOCK))
+    out = np.zeros(n + 1, np.uint64)
+    np.cumsum(_BYTE[np.frombuffer(raw, np.uint8)] * up[:n], out=out[1:])
+    return out
+
+
+def slice_hash(prefix: np.ndarray, first: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """A hash of each slice's bytes, wherever it stands."""
+    _, down = powers(len(prefix))
+    return mix((prefix[after] - prefix[first]) * down[first] + (after - first).astype(np.uint64) * GOLD)
+
+
+def _space_before(raw: bytes, first: int, after: int) -> int:
+    return max(raw.rfind(c, first, after) for c in _SPACES)
+
+
+def _space_after(raw: bytes, first: int) -> int:
+    return min((x for x in (raw.find(c, first) for c in _SPACES) if x >= 0), default=len(raw))
+
+
+def hash_words(raw: bytes) -> np.ndarray:
+    """A 64-bit hash for each word of ``[^\\x20\\x09-\\x0D]+``, without making Python objects of them."""
+    parts, done = [], 0
+    while len(raw) - done > _BLOCK:  # blocks end at white space
+        cut = _space_before(raw, done + 1, done + _BLOCK)
+        cut = cut if cut > 0 else _space_after(raw, done + _BLOCK)
+        parts.append(_hash_block(raw[done:cut]))
+        done = cut
+    return np.concatenate([*parts, _hash_block(raw[done:])])
+
+
+def _hash_block(raw: bytes) -> np.ndarray:
+    if not raw:
+        return np.empty(0, np.uint64)
+    space = np.ones(len(raw) + 2, np.int8)
+    space[1:-1] = _SPACE[np.frombuffer(raw, np.uint8)]
+    step = np.diff(space)
+    return slice_hash(prefix_hash(raw), np.flatnonzero(step == -1), np.flatnonzero(step == 1))
+
+
+def shingles(raw: bytes, size: int) -> np.ndarray:
+    """The set of hashes of ``size``-word shingles, sorted; of fewer words, the whole sequence as one."""
+    h = hash_words(raw)
+    if not len(h):
+        return h
+    return np.unique(windows(h, size) if len(h) >= size else windows(h, len(h)) + np.uint64(len(h)))
