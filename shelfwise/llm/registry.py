@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import decontamination, near_duplicates, packing, quality, wavelet
+from shelfwise.llm import decontamination, near_duplicates, packing, quality, repeats, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sum_of_squares_packing": packing.op2,
     "op3_wavelet_shards": wavelet.op3,
     "op7_compression_bands": quality.op7,
+    "op8_deep_shallow_repeats": repeats.op8,
     "op9_suffix_automaton": decontamination.op9,
     "op10_tensored_minhash": near_duplicates.op10,
 }
