@@ -25,7 +25,7 @@ import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm.shared import bound_batches
+from shelfwise.llm.shared import bound_batches, id_columns, ids
 from shelfwise.llm.tokens import tokenizer
 
 WIDTH = 2048
@@ -162,8 +162,8 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", voc
         def stream():
             for batch in batches:
                 texts = [t if isinstance(t, str) else None for t in batch["text"]]
-                for doc, ids in zip(batch["doc_id"], encoder.encode(texts), strict=True):
-                    yield None if pd.isna(doc) else int(doc), np.append(ids, np.uint32(end)).astype("<u4")
+                for doc, tokens in zip(ids(batch), encoder.encode(texts), strict=True):
+                    yield doc, np.append(tokens, np.uint32(end)).astype("<u4")
 
         rows, number = [], TaskContext.get().partitionId() << 40
         for window in pack_ids(stream(), width):
@@ -178,7 +178,7 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", voc
                 rows = []
         yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
 
-    own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    own = docs.select(*id_columns(docs[id_col]), docs[text_col].alias("text"))
     return own.mapInPandas(of, PIECES + ", ids binary" * with_ids)
 
 

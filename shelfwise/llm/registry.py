@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import decontamination, near_duplicates, packing, quality, repeats, wavelet
+from shelfwise.llm import decontamination, near_duplicates, packing, quality, repeats, scoring, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sum_of_squares_packing": packing.op2,
     "op3_wavelet_shards": wavelet.op3,
+    "op6_context_mixing": scoring.op6,
     "op7_compression_bands": quality.op7,
     "op8_deep_shallow_repeats": repeats.op8,
     "op9_suffix_automaton": decontamination.op9,

@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows and bytes that one Arrow batch may hold on its way to a Python worker.
 BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
@@ -41,3 +43,13 @@ def partitions(spark: SparkSession) -> int:
 def release_shuffles(spark: SparkSession) -> None:
     """Shuffle files go when the query that wrote them ends; for operators of several queries, with staged tables between them."""
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
+def id_columns(doc_id: Column) -> list[Column]:
+    """A document's id for a trip through pandas, which has no null whole numbers: 0 and ``no_id`` stand for null."""
+    doc_id = doc_id.cast("long")
+    return [F.coalesce(doc_id, F.lit(0)).alias("doc_id"), doc_id.isNull().alias("no_id")]
+
+
+def ids(batch: pd.DataFrame) -> list[int | None]:
+    return [None if none else doc for doc, none in zip(batch["doc_id"].tolist(), batch["no_id"], strict=True)]

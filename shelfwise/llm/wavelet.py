@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfwise.llm.shared import bound_batches, partitions, staged
+from shelfwise.llm.shared import bound_batches, id_columns, ids, partitions, staged
 from shelfwise.llm.tokens import tokenizer
 
 END = 2
@@ -181,17 +181,17 @@ def write_shards(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
         for batch in batches:
             texts = [t if isinstance(t, str) else None for t in batch["text"]]
-            for doc, ids in zip(batch["doc_id"], encoder.encode(texts), strict=True):
-                docs_in.append(None if pd.isna(doc) else int(doc))
-                ids_in.append(np.append(ids, np.uint32(end)))
-                n += len(ids) + 1
+            for doc, tokens in zip(ids(batch), encoder.encode(texts), strict=True):
+                docs_in.append(doc)
+                ids_in.append(np.append(tokens, np.uint32(end)))
+                n += len(tokens) + 1
                 if n >= shard_tokens:
                     yield written()
                     docs_in, ids_in, n, shard = [], [], 0, shard + 1
         if docs_in:
             yield written()
 
-    own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    own = docs.select(*id_columns(docs[id_col]), docs[text_col].alias("text"))
     ordered = own.repartitionByRange(partitions(spark), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     return staged(ordered.mapInPandas(of, SHARDS), "shards")
 
