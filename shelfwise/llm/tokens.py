@@ -4,7 +4,10 @@ Both vocabularies used here cut a text into pieces before merging, and each piec
 such a cut is certain, a text is split into chunks whose ids are kept and put together again:
 
 * ``space-led``: before a space that a visible character follows (byte-level BPE, whose pieces hold a space at most at their start);
-* ``white space``: at ASCII white space (vocabularies that drop it).
+* ``white space``: at ASCII white space (for vocabularies that drop it and lower-case all letters).
+
+Of a chunk that ends in punctuation behind a letter, both kinds of vocabulary encode the punctuation by itself, so such a
+chunk is put together from its two parts.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ from shelfwise.llm.words import utf8
 #: A space that isn't followed by a character that is certainly visible; then chunks are cut with more care.
 _ODD = re.compile(" (?:[^!-~¡-ᙿ]|$)|\x00")
 _CUT = re.compile("(?= [!-~¡-ᙿ])")
+_STEM = re.compile(r"([^\x00]*[A-Za-z])([!-/:-@\[-`{-~]+)")
+_STEM_BYTES = re.compile(rb"(.*[A-Za-z])([!-/:-@\[-`{-~]+)", re.DOTALL)
 
 
 class CachedTokenizer(dict):
@@ -49,7 +54,8 @@ class CachedTokenizer(dict):
         if not text:
             return []
         if self.split == "white space":
-            return utf8(text).split()
+            raw = utf8(text)
+            return (raw if b"\xcc" in raw or b"\xcd" in raw else raw.lower()).split()  # a letter before a combining mark may compose when it is small
         if _ODD.search(text):
             return ["\x00" + x for x in _CUT.split(text)]  # as it stands
         first, *rest = text.split(" ")
@@ -61,15 +67,30 @@ class CachedTokenizer(dict):
         return chunk[1:] if chunk[:1] == "\x00" else " " + chunk
 
     def _learn(self) -> None:
-        new = [self._text(c) for c in self.fresh]
+        """Ids of the new chunks; the parts of a chunk may be new chunks themselves."""
+        known, whole, whole_at, parts, parts_at = len(self.size), [], [], [], []
+        for code, chunk in enumerate(self.fresh, known):  # grows on the way
+            is_bytes = isinstance(chunk, bytes)
+            m = (_STEM_BYTES if is_bytes else _STEM).fullmatch(chunk)
+            if m:
+                parts += [self[m[1]], self[m[2] if is_bytes else "\x00" + m[2]]]
+                parts_at.append(code)
+            else:
+                whole.append(self._text(chunk))
+                whole_at.append(code)
+                self.chars += len(chunk)
+        new = len(self.fresh)
         self.fresh.clear()
-        self.chars += sum(map(len, new))
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)]
         size = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.seen = np.concatenate([self.seen, np.zeros(len(ids), np.int64)])
+        self.start, self.size, self.seen = (np.concatenate([x, np.zeros(new, np.int64)]) for x in (self.start, self.size, self.seen))
+        self.start[whole_at], self.size[whole_at] = len(self.flat) + np.cumsum(size) - size, size
         self.flat = np.concatenate([self.flat, np.fromiter((x for y in ids for x in y), np.uint32, int(size.sum()))])
+        if parts:
+            size = self.size[parts].reshape(-1, 2).sum(axis=1)
+            ids = gather(self.flat, self.start[parts], self.size[parts])
+            self.start[parts_at], self.size[parts_at] = len(self.flat) + np.cumsum(size) - size, size
+            self.flat = np.concatenate([self.flat, ids])
 
     def _trim(self) -> None:
         """Keeps the chunks that were seen more than twice, if they are few enough."""
