@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import decontamination, near_duplicates, packing, quality, repeats, scoring, wavelet
+from shelfwise.llm import decontamination, licences, near_duplicates, packing, quality, repeats, revisits, scoring, url_filter, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_trust_propagation": url_filter.op1,
     "op2_sum_of_squares_packing": packing.op2,
     "op3_wavelet_shards": wavelet.op3,
+    "op4_revisit_resolution": revisits.op4,
+    "op5_licence_index": licences.op5,
     "op6_context_mixing": scoring.op6,
     "op7_compression_bands": quality.op7,
     "op8_deep_shallow_repeats": repeats.op8,
@@ -18,4 +21,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_tensored_minhash": near_duplicates.op10,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_revisit_resolution": revisits.ORACLE,
+}
