@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.llm.shared import bound_batches
-from shelfwise.llm.words import Lexicon, windows, word_hashes, utf8
+from shelfwise.llm.words import hash_words, utf8, windows
 
 CHUNK = 4096
 LEVEL = 3
@@ -77,20 +77,17 @@ def repeated_words(h: np.ndarray, size: int = 5) -> int:
     return int((np.cumsum(edge) > 0).sum())
 
 
-_LEXICON = Lexicon()
-
-
 def signals_of(texts: pd.Series) -> pd.DataFrame:
     """A row of SIGNALS for each text."""
     squeeze = zstandard.ZstdCompressor(level=LEVEL)
     raws = [utf8(t if isinstance(t, str) else None) for t in texts]
-    words = [r.split() for r in raws]
     rows = []
-    for text, raw, own, h in zip(texts, raws, words, word_hashes(_LEXICON, words), strict=True):
+    for text, raw in zip(texts, raws, strict=True):
+        own = hash_words(raw)
         word_chars = (len(text) if raw else 0) - (len(raw) - len(raw.translate(None, b" \t\n\r\x0b\x0c")))
         symbols = len(raw) - len(raw.translate(None, b"#*$%&|<>"))
         lines = Counter(x for x in raw.split(b"\n") if x.split()) if b"\n" in raw else {}
-        repeat = repeated_words(h)
+        repeat = repeated_words(own)
         failed = len(own) < 10 or 100 * repeat > 20 * len(own)
         whole, least, most, reason = verdict(raw, squeeze)
         rows.append((len(own), word_chars, symbols, sum(n - 1 for n in lines.values()), repeat, failed, not failed and reason is None, whole, least, most, reason))

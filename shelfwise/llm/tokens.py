@@ -29,7 +29,7 @@ _STEM_BYTES = re.compile(rb"(.*[A-Za-z])([!-/:-@\[-`{-~]+)", re.DOTALL)
 class CachedTokenizer(dict):
     """Chunk to its number; the ids of chunk k are ``flat[start[k]:start[k] + size[k]]``. Beyond ``most`` chunks the rare ones go."""
 
-    def __init__(self, path: str, split: str, most: int = 700_000, most_chars: int = 24_000_000):
+    def __init__(self, path: str, split: str, most: int = 500_000, most_chars: int = 16_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores belong to Spark's tasks
         from tokenizers import Tokenizer
 

@@ -36,11 +36,11 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class Lexicon(dict):
-    """Numbers words in the order in which they come; forgets all when it has grown beyond ``most``."""
+    """Numbers words in the order in which they come."""
 
-    def __init__(self, most: int = 700_000):
+    def __init__(self) -> None:
         super().__init__()
-        self.most, self.fresh, self._hashes = most, [], np.empty(0, np.uint64)
+        self.fresh, self._hashes = [], np.empty(0, np.uint64)
 
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self)
@@ -59,21 +59,6 @@ class Lexicon(dict):
             self.fresh.clear()
         return self._hashes
 
-    def trim(self) -> None:
-        """To be called between batches: codes don't hold across it."""
-        if len(self) > self.most:
-            self.clear()
-            self.fresh.clear()
-            self._hashes = np.empty(0, np.uint64)
-
-
-def word_hashes(lexicon: Lexicon, texts: list[list[bytes]]) -> list[np.ndarray]:
-    """For each list of words their 64-bit hashes."""
-    lexicon.trim()
-    codes = [lexicon.codes(words) for words in texts]
-    table = lexicon.hashes()
-    return [table[c] for c in codes]
-
 
 def windows(h: np.ndarray, size: int) -> np.ndarray:
     """A hash for each window of ``size`` consecutive words; none where there are fewer words."""
