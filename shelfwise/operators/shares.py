@@ -171,7 +171,7 @@ def elasticities(shares: DataFrame, prices: DataFrame, scales: DataFrame, rhos:
     grid = product_grid(pooled, cell).join(pooled.select(*cell, F.col("product_id").alias(AFFECTED), "s0"), [*cell, AFFECTED]).join(pooled.select(*cell, F.col("product_id").alias(PRICED), F.col("mean_price").alias("p"), F.col("s0").alias("s_priced")), [*cell, PRICED]).join(scales, list(cell)).join(rhos, list(cell))
     bump = F.exp(F.col("scale") * ARC * F.col("p"))
     grid = grid.withColumns({"is_focal": F.col(AFFECTED) == F.col(PRICED), "dcv": F.log(F.greatest(1 + F.col("s_priced") * (bump - 1), F.lit(1e-9))), "s1": F.col("s_priced") * bump / (1 + F.col("s_priced") * (bump - 1))})
-    grid = grid.join(kernel.withColumnsRenamed({AFFECTED: PRICED, PRICED: AFFECTED}), [*cell, AFFECTED, PRICED], "left") if kernel is not None else grid.withColumn("kernel", F.lit(None).cast("double"))
+    grid = grid.join(kernel.select(*cell, F.col(AFFECTED).alias(PRICED), F.col(PRICED).alias(AFFECTED), "kernel"), [*cell, AFFECTED, PRICED], "left") if kernel is not None else grid.withColumn("kernel", F.lit(None).cast("double"))
     grid = diverted(grid, [*cell, PRICED], "s0", "s1", "cf")
     margin = F.exp(F.least(F.greatest(F.col("rho") * F.col("dcv"), F.lit(-10.0)), F.lit(10.0)))
     return grid.select(*cell, AFFECTED, PRICED, F.when(F.col("s0") > 0, (F.col("cf") * margin - F.col("s0")) / F.col("s0") / ARC).otherwise(0.0).alias("elasticity"))

@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from shelfwise.queries import board, panels, scoring
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = scoring.QUERIES | panels.QUERIES | board.QUERIES
+ORACLES: dict[str, str] = scoring.ORACLES | panels.ORACLES | board.ORACLES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
