@@ -13,13 +13,16 @@ from pyspark.sql import functions as F
 BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset, as in local tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if not folder and app not in _OWN:
+        _OWN[app] = tempfile.mkdtemp(prefix="spark-")
+    return folder or _OWN[app]
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
