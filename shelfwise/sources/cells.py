@@ -28,6 +28,9 @@ TABLES = {
     "products": ("public/products_public.csv", PRODUCTS), "stores": ("public/stores_public.csv", STORES), "panel": ("hidden/transactions_full_hidden.csv", TRANSACTIONS),
     "elasticity_truth": ("hidden/elasticity_truth_hidden.csv", ELASTICITY_TRUTH), "sweep_truth": ("hidden/counterfactual_sweep_truth_hidden.csv", SWEEP_TRUTH),
 }
+_FAMILY, _WEEKS = "STRUCT<active_cell: STRUCT<model_family: STRING>>", "STRUCT<counterfactual_eval_weeks: INT>"
+_RELEASE = f"benchmark_version STRING, benchmark_family {_FAMILY}, simulation {_WEEKS}"
+_RUN = f"config STRUCT<benchmark_version: STRING, benchmark_family: {_FAMILY}, simulation: {_WEEKS}>"
 MARKERS = ("release/scoring_params.json", "reports/run_config_resolved.json")
 
 
@@ -64,10 +67,8 @@ def read_table(spark: SparkSession, root: str, table: str, cells: str = "*") ->
 
 def read_config(spark: SparkSession, root: str, cells: str = "*") -> DataFrame:
     """(cell_slug, benchmark_version, family, eval_week_count) from the release file, else from the run's."""
-    fields = "benchmark_version: string, benchmark_family: struct<active_cell: struct<model_family: string>>, simulation: struct<counterfactual_eval_weeks: int>"
     parts = []
-    for place, (marker, at) in enumerate(zip(MARKERS, ("", "config."), strict=True)):
-        schema = f"config struct<{fields}>" if at else fields.replace(": string", " string", 1).replace("family: struct", "family struct", 1).replace("simulation: struct", "simulation struct")
+    for place, (marker, schema, at) in enumerate(((MARKERS[0], _RELEASE, ""), (MARKERS[1], _RUN, "config."))):
         try:
             raw = spark.read.schema(schema).option("multiLine", True).json(f"{root}/{cells}/{marker}")
         except Exception as e:
