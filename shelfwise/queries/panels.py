@@ -280,12 +280,12 @@ def choice_elasticities(spark: SparkSession, d: str) -> DataFrame:
     return shares.elasticities(s, prices, scale, r, text.gaussian_kernel(_ranks(p)))
 
 
-@query("naive_tables", "SELECT cell_slug, intervention_id, product_id, store_id, week, 0.0 AS predicted_delta_units FROM (SELECT DISTINCT cell_slug, intervention_id, product_id, store_id, week FROM scen)")
+@query("naive_tables", "SELECT cell_slug, intervention_id, product_id, store_id, week, CAST(0 AS DOUBLE) AS predicted_delta_units FROM (SELECT DISTINCT cell_slug, intervention_id, product_id, store_id, week FROM scen)")
 def naive_tables(spark: SparkSession, d: str) -> DataFrame:
     return forecast.naive_deltas(v.scenario_rows(v.panel(spark, d)))
 
 
-@query("naive_elasticities", "SELECT cell_slug, affected_product_id, priced_product_id, 0.0 AS elasticity FROM star")
+@query("naive_elasticities", "SELECT cell_slug, affected_product_id, priced_product_id, CAST(0 AS DOUBLE) AS elasticity FROM star")
 def naive_elasticities(spark: SparkSession, d: str) -> DataFrame:
     return forecast.naive_elasticities(v.panel(spark, d).select("cell_slug", "product_id").distinct())
 
