@@ -199,6 +199,7 @@ def cut_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     texts = docs.select(*key, docs[text_col].alias("text"))
     found = staged(texts.mapInPandas(_anchors_of(span), ANCHORS), "anchors")
     grams = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), (F.min("context") != F.max("context")).alias("mixed")).where("n > 1")
+    grams = staged(grams, "grams")  # else the join below would share the sum's partitioning, and a common gram couldn't be split
     hits = staged(found.join(grams, "gram").select("k1", "k2", "at", "gram", "context", "mixed"), "hits")
 
     kinds = hits.where("mixed").groupBy("gram", "context").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("k1", "k2", "at")).alias("place"))
