@@ -1,9 +1,9 @@
 """Licence scan by a positional index of rare words.
 
 Each template keeps as index terms its words of highest IDF over the whole corpus, with their positions in the template. A text
-looks up the rarest index terms that it has; every place of such a term proposes, for each posting, where the template would
-start. Proposals that agree intersect the postings by relative position; a template is found where enough of its terms
-agree and its mandatory phrases stand in the text as a whole.
+looks up all terms of each template whose mandatory phrases stand in it as a whole; every place of such a term proposes, for each
+posting, where the template would start. Proposals that agree intersect the postings by relative position; a template is found
+where enough of all its terms agree, whatever other templates the text holds.
 
 DataFrame functions only; two passes over the texts. The first counts in how many texts each template word stands (as many rows as the
 templates have words); the second is row-local, so no text, word or licence can make a partition larger than others.
@@ -40,8 +40,7 @@ TEMPLATES = (
     ("mpl-2.0", ("mozilla public license",), "subject to the terms of the mozilla public license v 2 0"),
 )
 TERMS = 8  # index terms of a template
-LOOKED_UP = 6  # rarest index terms of a text that are looked up
-ENOUGH = 0.5  # share of the terms looked up for a template that must agree on where it starts
+ENOUGH = 0.5  # share of a template's places of index terms that must agree on where it starts
 
 
 def words_of(text: Column) -> Column:
@@ -100,7 +99,6 @@ def scan(docs: DataFrame, *, text_col: str = "text", templates=TEMPLATES, phrase
     vocabulary = sorted({w for _, _, notice in templates for w in notice.split()})
     frequencies = document_frequencies(docs, text_col, vocabulary)
     terms = index_terms(frequencies, templates)
-    indexed = sorted({w for own in terms for w, _ in own}, key=lambda w: (frequencies.get(w, 0), w))
 
     lower = F.translate(F.coalesce(F.col(text_col), F.lit("")), _UPPER, _LOWER)
     every = docs.withColumns({"__lower": lower}).withColumns({"__words": words_of(F.col("__lower"))})
@@ -112,27 +110,27 @@ def scan(docs: DataFrame, *, text_col: str = "text", templates=TEMPLATES, phrase
     base = F.array_compact(F.array(*[F.when(_has(F.col("__lower"), p), F.when(F.size(_places(words, p)) > 0, label)) for p, label in phrases]))
     every = every.withColumns({"__starts": starts, "__base": base})
 
-    # Look the rarest terms up, but only templates whose phrases can be there at all.
+    # Look up all terms of the templates whose phrases stand in the text; words are joined only where phrases can be there at all.
     joined = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
-    verified = []
-    for t, (_, must, _) in enumerate(templates):
+    any_cheap, sure = F.lit(False), []
+    for _, must, _ in templates:
         cheap, whole = F.lit(True), F.lit(True)
         for p in must:
             cheap, whole = cheap & _has(F.col("__lower"), p), whole & F.contains(F.col("__joined"), F.lit(f" {p} "))
-        verified.append((t, cheap, whole))
-    any_cheap = F.lit(False)
-    for _, cheap, _ in verified:
         any_cheap = any_cheap | cheap
-    rare = F.when(any_cheap, F.slice(F.array_intersect(_strings(indexed), words), 1, LOOKED_UP)).otherwise(F.array().cast("array<string>"))
-    every = every.withColumns({"__rare": rare}).withColumns({"__joined": F.when(F.size("__rare") > 0, joined).otherwise(F.lit(""))})
-    at = F.filter(F.transform(words, lambda w, i: F.when(F.array_contains(F.col("__rare"), w), F.struct(i.alias("i"), w.alias("w")))), lambda x: x.isNotNull())
-    every = every.withColumn("__at", F.when(F.size("__rare") > 0, at).otherwise(F.array().cast("array<struct<i:int,w:string>>")))
+        sure.append(whole)
+    every = every.withColumn("__joined", F.when(any_cheap, joined).otherwise(F.lit("")))
+    every = every.withColumn("__sure", F.when(F.col("__joined") != "", F.array(*sure)).otherwise(F.array_repeat(F.lit(False), len(templates))))
+    is_sure = [F.get("__sure", F.lit(t)) for t in range(len(templates))]
+    looked_up = F.array_distinct(F.concat(*[F.when(x, _strings([w for w, _ in own])).otherwise(_strings([])) for x, own in zip(is_sure, terms, strict=True)]))
+    every = every.withColumn("__looked_up", looked_up)
+    at = F.filter(F.transform(words, lambda w, i: F.when(F.array_contains(F.col("__looked_up"), w), F.struct(i.alias("i"), w.alias("w")))), lambda x: x.isNotNull())
+    every = every.withColumn("__at", F.when(F.size("__looked_up") > 0, at).otherwise(F.array().cast("array<struct<i:int,w:string>>")))
 
     # Intersect the postings by where the template would start: the longest run of equal starts among the sorted proposals.
     scores = []
-    for t, _, whole in verified:
-        own = F.array_intersect(_strings([w for w, _ in terms[t]]), F.col("__rare"))
-        proposals = [_starts(w, p) for w, p in terms[t]]
+    for own, found in zip(terms, is_sure, strict=True):
+        proposals = [_starts(w, p) for w, p in own]
         runs = F.aggregate(
             F.array_sort(F.concat(*proposals)),
             F.struct(F.lit(None).cast("int").alias("start"), F.lit(0).alias("run"), F.lit(0).alias("best")),
@@ -142,9 +140,8 @@ def scan(docs: DataFrame, *, text_col: str = "text", templates=TEMPLATES, phrase
             ),
             lambda a: a["best"],
         )
-        wanted = F.greatest(F.size(F.filter(_strings([w for w, _ in terms[t]]), lambda w: F.array_contains(F.col("__rare"), w))), F.lit(1))
-        score = F.least(runs / wanted, F.lit(1.0))
-        scores.append(F.when((F.size("__rare") > 0) & (F.size(own) > 0) & whole, F.when(score >= ENOUGH, score).otherwise(0.0)).otherwise(0.0))
+        score = runs / len(own)  # a place of a term proposes a start once
+        scores.append(F.when(found, F.when(score >= ENOUGH, score).otherwise(0.0)).otherwise(0.0))
     every = every.withColumn("__scores", F.array(*scores))
     found = F.array_compact(F.array(*[F.when(F.get("__scores", F.lit(t)) > 0, label) for t, (label, _, _) in enumerate(templates)]))
 
@@ -153,7 +150,7 @@ def scan(docs: DataFrame, *, text_col: str = "text", templates=TEMPLATES, phrase
         F.array_join(F.array_sort(F.array_distinct("__base")), ",").alias("base_labels"), F.array_join(F.array_sort(F.array_distinct(F.concat("__base", found))), ",").alias("labels"),
         F.array_max("__scores").alias("score"),
     )
-    return every.withColumn(out, result).drop("__lower", "__words", "__starts", "__base", "__rare", "__joined", "__at", "__scores")
+    return every.withColumn(out, result).drop("__lower", "__words", "__starts", "__base", "__joined", "__sure", "__looked_up", "__at", "__scores")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -179,3 +179,15 @@ def test_licences(docs, rows, empty):
         assert labels <= set(r.labels.split(",")) | {""} and 0 <= r.score <= 1
     assert next(r for (i, _), r in got.items() if i == 50).labels == "apache,apache-2.0"
     assert licences.scan(empty).count() == 0
+
+
+def test_licences_beside_each_other(spark):
+    """Each notice is found whatever else the text holds, and not by a few of its words."""
+    notices = {t: t[2] for t in licences.TEMPLATES}
+    bsd, nc, mpl = (next(n for (label, _, _), n in notices.items() if label == x) for x in ("bsd-3-clause", "cc-by-nc-4.0", "mpl-2.0"))
+    texts = [f"{bsd}. {nc}", f"{bsd}\n{mpl}\n{nc}", "\n".join(notices.values()), "the mozilla public license", "x " * 3000 + mpl + " redistribution forms permitted provided conditions modification" * 3]
+    got = {r.doc_id: r for r in licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", "licence.*").collect()}
+    assert [set(got[k].labels.split(",")) - {""} for k in (0, 1)] == [{"bsd-3-clause", "cc-by", "cc-by-nc-4.0"}, {"bsd-3-clause", "cc-by", "cc-by-nc-4.0", "mpl-2.0"}]
+    assert {label for label, _, _ in licences.TEMPLATES} <= set(got[2].labels.split(",")) and got[2].score == 1
+    assert (got[3].labels, got[3].score) == ("", 0)
+    assert got[4].labels == "mpl-2.0"
