@@ -46,6 +46,23 @@ def test_quality_bands():
     assert quality.verdict(" ".join(f"word{x}" for x in rng.integers(0, 10**4, 900)).encode(), squeeze)[3] is None
 
 
+@pytest.mark.parametrize("size", [500, 1000, 3000, 20_000])
+def test_quality_of_encoded_and_half_repeated_texts(size):
+    import base64
+
+    rng = np.random.default_rng(size)
+    squeeze = quality.zstandard.ZstdCompressor(level=3)
+    vocabulary = ["".join(rng.choice(list("eeeetttaaooiinnsshhrrdlcumwfgypbvk"), rng.integers(1, 10))) for _ in range(3000)]
+    weights = 1 / np.arange(1, 3001)
+    words = " ".join(rng.choice(vocabulary, 6000, p=weights / weights.sum())).encode()
+    assert quality.verdict(words[:size], squeeze)[3] is None
+    raw = rng.bytes(size)
+    assert quality.verdict(base64.encodebytes(raw)[:size], squeeze)[3] == "incompressible"
+    in_hex = "\n".join(raw.hex()[i : i + 64] for i in range(0, 2 * size, 64)).encode()[:size]
+    assert quality.verdict(in_hex, squeeze)[3] == ("incompressible" if size >= 3072 else None)  # shorter hex has the ratios of prose
+    assert (quality.verdict(words[: size * 6 // 10] + b"=-" * (size * 2 // 10), squeeze)[3] or "").startswith("repetitive")
+
+
 def test_quality_stage_keeps_columns(docs, spark):
     kept = quality.stage(spark, docs, "")
     assert kept.columns == docs.columns
