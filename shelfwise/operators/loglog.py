@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions.columns import bounded_exp, log_price, season
 from shelfwise.operators.elasticity import AFFECTED, PRICED, product_grid
-from shelfwise.operators.panel_fit import cut_lineage, demean, moments, solve
+from shelfwise.operators.panel_fit import cut_lineage, demean_until, moments, solve
 
 CELL = ("cell_slug",)
 LEAST_OFFSET_UNITS, LEAST_ROWS = 0.05, 50
@@ -47,33 +47,32 @@ def _effects(cell: Sequence[str]) -> list[list[str]]:
     return [[*cell, "product_id", "store_id"], [*cell, "product_id", "week"]]
 
 
-def control_function(rows: DataFrame, cell: Sequence[str] = CELL, passes: int = 8) -> DataFrame:
-    """``cf_residual``: what store and week effects and the cost instrument leave of the log price."""
+def control_function(rows: DataFrame, cell: Sequence[str] = CELL) -> tuple[DataFrame, bool]:
+    """``cf_residual``: what store and week effects and the cost instrument leave of the log price; and whether the demeaning converged."""
     work = rows.withColumns({"__p": F.col("log_price"), "__z": F.col("supply_cost_proxy").cast("double")})
-    work = demean(work, ["__p", "__z"], _effects(cell), passes=passes)
+    work, settled = demean_until(work, ["__p", "__z"], _effects(cell))
     over = Window.partitionBy(*cell, "product_id")
     slope = F.sum(F.col("__z") * F.col("__p")).over(over) / F.nullif(F.sum(F.col("__z") * F.col("__z")).over(over), F.lit(0.0))
-    return work.withColumn("cf_residual", F.coalesce(F.col("__p") - slope * F.col("__z"), F.col("__p"))).drop("__p", "__z")
+    return work.withColumn("cf_residual", F.coalesce(F.col("__p") - slope * F.col("__z"), F.col("__p"))).drop("__p", "__z"), settled
 
 
-def price_response(rows: DataFrame, use_iv: bool, cell: Sequence[str] = CELL, passes: int = 4, iterations: int = 12, tolerance: float = 1e-6) -> DataFrame:
+def price_response(rows: DataFrame, use_iv: bool, cell: Sequence[str] = CELL, iterations: int = 12, tolerance: float = 1e-6) -> DataFrame:
     """(cell, product_id, beta, gamma, converged) of the Poisson fit with store and week effects on carried stores.
 
-    Groups without units are separated and leave. Only the largest change of a coefficient comes to the driver each round."""
+    Groups without units are separated and leave. Only the largest change of a coefficient, and of a demeaned value, comes to the driver each round."""
     own = rows.where("carried")
     by_week = Window.partitionBy(*cell, "product_id", "week")
     own = own.withColumn("__week_units", F.sum("units").over(by_week)).where("__week_units > 0")
-    x = ["log_price", "npi"]
+    x, settled = ["log_price", "npi"], True
     if use_iv:
-        own, x = control_function(own, cell), [*x, "cf_residual"]
+        (own, settled), x = control_function(own, cell), [*x, "cf_residual"]
     product = Window.partitionBy(*cell, "product_id")
     state = own.select(*cell, "product_id", "store_id", "week", "units", *x).withColumn("eta", F.log((F.col("units") + F.avg("units").over(product)) / 2))
     names, before, change = ["beta", "gamma", "control"][: len(x)], None, None
     for _ in range(iterations):
         mu = F.exp("eta")
         work = state.withColumns({"mu": mu, "z": F.col("eta") + (F.col("units") - mu) / mu}).withColumns({"__y": F.col("z")} | {f"__{c}": F.col(c) for c in x})
-        tilde = demean(work, ["__y", *[f"__{c}" for c in x]], _effects(cell), "mu", passes)
-        tilde = cut_lineage(tilde)
+        tilde, demeaned = demean_until(work, ["__y", *[f"__{c}" for c in x]], _effects(cell), "mu")
         coef = cut_lineage(solve(tilde.groupBy(*cell, "product_id").agg(*moments([f"__{c}" for c in x], "__y", "mu")), len(x), names))
         fitted = sum((F.col(n) * F.col(f"__{c}") for n, c in zip(names, x, strict=True)), F.lit(0.0))
         state = tilde.join(coef, [*cell, "product_id"]).withColumn("eta", F.least(F.greatest(F.col("z") - (F.col("__y") - fitted), F.lit(-30.0)), F.lit(30.0))).select(*state.columns)
@@ -84,7 +83,7 @@ def price_response(rows: DataFrame, use_iv: bool, cell: Sequence[str] = CELL, pa
                 before = coef
                 break
         before = coef
-    return before.select(*cell, "product_id", "beta", "gamma", F.lit(change is not None and change < tolerance).alias("converged"))
+    return before.select(*cell, "product_id", "beta", "gamma", F.lit(settled and demeaned and change is not None and change < tolerance).alias("converged"))
 
 
 def calibration(rows: DataFrame, response: DataFrame, cell: Sequence[str] = CELL, iterations: int = 8) -> DataFrame:

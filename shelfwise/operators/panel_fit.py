@@ -31,6 +31,19 @@ def demean(df: DataFrame, columns: Sequence[str], groups: Sequence[Sequence[str]
     return df
 
 
+def demean_until(df: DataFrame, columns: Sequence[str], groups: Sequence[Sequence[str]], weight: str | None = None, tolerance: float = 1e-8, most: int = 1000, every: int = 4) -> tuple[DataFrame, bool]:
+    """``demean`` until a pass changes no value by ``tolerance`` of its column's largest (of 1 at least), and whether it got there within ``most`` passes. Lineage is cut every few passes."""
+    for _ in range(0, most, every):
+        df = demean(df, columns, groups, weight, every - 1, 0).withColumns({f"__was_{c}": F.col(c) for c in columns})
+        df = cut_lineage(demean(df, columns, groups, weight, 1, 0))
+        moved = [F.max(F.abs(F.col(c) - F.col(f"__was_{c}"))) / F.greatest(F.max(F.abs(f"__was_{c}")), F.lit(1.0)) for c in columns]
+        change = df.agg(F.greatest(*moved, F.lit(0.0))).first()[0]
+        df = df.drop(*[f"__was_{c}" for c in columns])
+        if change is None or change < tolerance:
+            return df, True
+    return df, False
+
+
 def moments(x: Sequence[str], y: str, weight: str | None = None) -> list[Column]:
     """Aggregates g_i_j (i <= j) and h_i of the normal equations."""
     w = F.col(weight) if weight else F.lit(1.0)

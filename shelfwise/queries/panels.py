@@ -176,7 +176,7 @@ def loglog_sweep_deltas(spark: SparkSession, d: str) -> DataFrame:
 def loglog_fit(spark: SparkSession, d: str) -> DataFrame:
     """Instrumented fit with brand neighbours, all products in one job."""
     p = v.panel(spark, d)
-    return loglog.fit(v.training(p), _weights(p), True, iterations=3)[0]
+    return loglog.fit(v.training(p), _weights(p), True)[0]
 
 
 _SHARES = ", tot AS (SELECT *, sum(units) OVER (PARTITION BY cell_slug, store_id, week) AS tot FROM train), sp AS (SELECT cell_slug, product_id, store_id, week, ln(greatest(units / tot, 1e-6)) AS y, price AS x, supply_cost_proxy AS z, units AS wt FROM tot WHERE tot > 0 AND units > 0)"

@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfwise.operators import loglog, shares, text
-from shelfwise.plans import actual
+from shelfwise.plans import actual, grid
+from shelfwise.queries import panels
 from shelfwise.sources.movement import ActualDataNotAvailable, clean_movement, read_movement
 from shelfwise.sources.submissions import SubmissionFormatError, checked
 from shelfwise.streaming.movement import movement_stream
@@ -88,6 +89,39 @@ def test_loglog_recovers_the_slope(spark, panel):
     assert moved["P1"] < 0
 
 
+def test_loglog_equals_the_fit_with_dummies(spark, panel):
+    """On a panel with gaps, against Newton steps on one product's rows with a column for each store and week."""
+    sparse = panel.where("product_id = 'P1' and pmod(hash(store_id, week), 10) < 6").withColumn("npi", F.lit(0.0))
+    rows = sparse.withColumns({"log_price": F.log("price"), "carried": F.lit(True)})
+    own = rows.toPandas()
+    own = own[own.groupby("week").units.transform("sum") > 0]
+    weeks = sorted(set(own.week))
+    x = np.column_stack([own.log_price, *[own.store_id == s for s in sorted(set(own.store_id))], *[own.week == w for w in weeks[1:]]]).astype(float)
+    b = np.linalg.lstsq(x, np.log(own.units + 0.5), rcond=None)[0]
+    for _ in range(30):
+        mu = np.exp(x @ b)
+        b = b + np.linalg.lstsq(x.T @ (x * mu[:, None]), x.T @ (own.units - mu), rcond=None)[0]
+    got = loglog.price_response(rows, False).first()
+    assert got.converged and got.beta == pytest.approx(b[0], abs=1e-5)
+
+
+def test_loglog_fit_is_registered_whole(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(panels.v, "panel", lambda *a: None)
+    monkeypatch.setattr(panels.v, "training", lambda *a: None)
+    monkeypatch.setattr(panels, "_weights", lambda *a: None)
+    monkeypatch.setattr(panels.loglog, "fit", lambda *a, **b: seen.append(b) or (None, None))
+    panels.loglog_fit(spark, "")
+    assert seen == [{}]
+
+
+def test_variant_grid(spark, panel):
+    products = spark.createDataFrame([("c", f"P{k}", "AABB"[k - 1], None) for k in range(1, 5)], "cell_slug string, product_id string, brand_code string, product_text string")
+    coefficients, levels, weights = grid.fit_grid(panel.where("week < 60"), products, ("naive_blind", "iv_blind"), iterations=1)
+    assert {(r.variant, r.n) for r in coefficients.where("beta < 0").groupBy("variant").agg(F.count("*").alias("n")).collect()} == {("naive_blind", 4), ("iv_blind", 4)}
+    assert {r.variant for r in levels.select("variant").distinct().collect()} == {r.variant for r in weights.select("variant").distinct().collect()} == {"naive_blind", "iv_blind"}
+
+
 def test_choice_model(spark, panel):
     s = shares.store_shares(panel)
     slopes = shares.price_slopes(panel, False)
