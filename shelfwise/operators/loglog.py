@@ -1,18 +1,21 @@
 """Log-log demand: Poisson price response with store and week effects, instrumented or not, and seasonal calibration around it.
 
-Re-aimed from per-product dummy regressions: effects are absorbed by weighted demeaning inside reweighted least squares, for all products
-of all cells in one job, on all rows. Same estimand; results agree with the dummy form up to the tolerance of the demeaning."""
+Re-aimed from per-product dummy regressions on samples: all products of all cells in one job, on all rows. Store effects are concentrated out in
+closed form, week effects are parameters, and Newton's method runs on sums over stores, so results agree with the dummy form to the tolerance."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions.columns import bounded_exp, log_price, season
 from shelfwise.operators.elasticity import AFFECTED, PRICED, product_grid
-from shelfwise.operators.panel_fit import cut_lineage, demean_until, moments, solve
+from shelfwise.operators.panel_fit import newton
+from shelfwise.staging import fewer_files, staged
 
 CELL = ("cell_slug",)
 LEAST_OFFSET_UNITS, LEAST_ROWS = 0.05, 50
@@ -33,84 +36,143 @@ def neighbour_index(frame: DataFrame, weights: DataFrame, cell: Sequence[str] =
 
 
 def prepared(training: DataFrame, weights: DataFrame, cell: Sequence[str] = CELL) -> DataFrame:
-    """Training rows with log price, neighbour index, level offset and store means."""
-    rows = neighbour_index(training.withColumn("log_price", log_price("price")), weights, cell)
-    over = Window.partitionBy(*cell, "product_id", "store_id")
-    return rows.withColumns({"offset": F.log(F.greatest(F.avg("units").over(over), F.lit(LEAST_OFFSET_UNITS))), "p_bar": F.avg("log_price").over(over), "npi_bar": F.avg("npi").over(over), "carried": F.sum("units").over(over) > 0})
+    """Training rows with log price and neighbour index."""
+    return neighbour_index(training.withColumn("log_price", log_price("price")), weights, cell)
 
 
 def store_levels(rows: DataFrame, cell: Sequence[str] = CELL) -> DataFrame:
-    return rows.groupBy(*cell, "product_id", "store_id").agg(F.first("offset").alias("offset"), F.first("p_bar").alias("p_bar"), F.first("npi_bar").alias("npi_bar"))
-
-
-def _effects(cell: Sequence[str]) -> list[list[str]]:
-    return [[*cell, "product_id", "store_id"], [*cell, "product_id", "week"]]
-
-
-def control_function(rows: DataFrame, cell: Sequence[str] = CELL) -> tuple[DataFrame, bool]:
-    """``cf_residual``: what store and week effects and the cost instrument leave of the log price; and whether the demeaning converged."""
-    work = rows.withColumns({"__p": F.col("log_price"), "__z": F.col("supply_cost_proxy").cast("double")})
-    work, settled = demean_until(work, ["__p", "__z"], _effects(cell))
-    over = Window.partitionBy(*cell, "product_id")
-    slope = F.sum(F.col("__z") * F.col("__p")).over(over) / F.nullif(F.sum(F.col("__z") * F.col("__z")).over(over), F.lit(0.0))
-    return work.withColumn("cf_residual", F.coalesce(F.col("__p") - slope * F.col("__z"), F.col("__p"))).drop("__p", "__z"), settled
-
-
-def price_response(rows: DataFrame, use_iv: bool, cell: Sequence[str] = CELL, iterations: int = 12, tolerance: float = 1e-6) -> DataFrame:
-    """(cell, product_id, beta, gamma, converged) of the Poisson fit with store and week effects on carried stores.
-
-    Groups without units are separated and leave. Only the largest change of a coefficient, and of a demeaned value, comes to the driver each round."""
-    own = rows.where("carried")
-    by_week = Window.partitionBy(*cell, "product_id", "week")
-    own = own.withColumn("__week_units", F.sum("units").over(by_week)).where("__week_units > 0")
-    x, settled = ["log_price", "npi"], True
+    """(cell, product_id, store_id, offset, p_bar, npi_bar): log of the mean units, and means of log price and index."""
+    return rows.groupBy(*cell, "product_id", "store_id").agg(F.log(F.greatest(F.avg("units"), F.lit(LEAST_OFFSET_UNITS))).alias("offset"), F.avg("log_price").alias("p_bar"), F.avg("npi").alias("npi_bar"))
+
+
+def store_lines(rows: DataFrame, cell: Sequence[str] = CELL) -> tuple[DataFrame, DataFrame]:
+    """(a line for each product and store with sales: arrays of its rows, ``at`` being the week's place; (cell, product_id, theta): logs of the weeks' units).
+
+    Weeks without units of the product are separated and leave. A line is as long as the weeks of a panel."""
+    keys = [*cell, "product_id"]
+    weeks = rows.groupBy(*keys, "week").agg(F.sum("units").alias("u")).where("u > 0").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("week", F.log("u").alias("log_units")))).alias("weeks"))
+    cost = F.col("supply_cost_proxy").cast("double") if "supply_cost_proxy" in rows.columns else F.lit(None).cast("double")
+    each = rows.groupBy(*keys, "store_id").agg(F.sum("units").alias("total"), F.collect_list(F.struct("week", F.col("units").cast("double").alias("units"), "log_price", F.col("npi").cast("double").alias("npi"), cost.alias("cost"))).alias("rows")).where("total > 0")
+    place = F.transform("rows", lambda r: F.struct((F.array_position("weeks.week", r["week"]) - 1).cast("int").alias("at"), r["units"].alias("units"), r["log_price"].alias("log_price"), r["npi"].alias("npi"), r["cost"].alias("cost")))
+    lines = each.join(weeks, keys).withColumn("rows", F.filter(place, lambda r: r["at"] >= 0)).select(*keys, "store_id", *[F.col(f"rows.{c}").alias(c) for c in ("at", "units", "log_price", "npi", "cost")])
+    return lines, weeks.select(*keys, F.col("weeks.log_units").alias("theta"))
+
+
+def _design(row, x: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.asarray(row.at, np.int64), np.asarray(row.units, np.float64), np.array([np.asarray(getattr(row, c), np.float64) for c in x]).reshape(len(x), -1)
+
+
+def _cross(at: np.ndarray, z: np.ndarray, weight: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted sums of the rows' designs (week dummies, then ``z``) and of their products, less the part along the store's mean."""
+    weeks, total = n - len(z), weight.sum()
+    mean = np.concatenate([np.bincount(at, weight, weeks), z @ weight])
+    square = np.zeros((n, n))
+    square[np.arange(weeks), np.arange(weeks)] = mean[:weeks]
+    for k, own in enumerate(z):
+        square[weeks + k, :weeks] = square[:weeks, weeks + k] = np.bincount(at, weight * own, weeks)
+    square[weeks:, weeks:] = (z * weight) @ z.T
+    return mean, square - np.outer(mean, mean) / total if total > 0 else square
+
+
+def poisson_line(x: Sequence[str]):
+    """Log-likelihood of a store's weeks given its total."""
+
+    def of(row, theta: np.ndarray):
+        at, y, z = _design(row, x)
+        weeks = len(theta) - len(x)
+        eta = theta[:weeks][at] + theta[weeks:] @ z
+        eta -= eta.max(initial=-np.inf)
+        e = np.exp(eta)
+        mu = y.sum() * e / e.sum()
+        _, curvature = _cross(at, z, mu, len(theta))
+        return float(y @ (eta - np.log(e.sum()))), np.concatenate([np.bincount(at, y - mu, weeks), z @ (y - mu)]), curvature
+
+    return of
+
+
+def _costs(row) -> np.ndarray:
+    """The store's costs; where one is missing, the mean of the others."""
+    cost = np.array([np.nan if c is None else c for c in row.cost], np.float64)
+    return np.where(np.isnan(cost), np.nanmean(cost) if (~np.isnan(cost)).any() else 0.0, cost)
+
+
+def cost_line(row, theta: np.ndarray):
+    """Least squares of the log price on the cost, within stores and weeks."""
+    at, _, p = _design(row, ["log_price"])
+    z = _costs(row)[None, :]
+    left = p[0] - theta[:-1][at] - theta[-1] * z[0]
+    left -= left.mean()
+    _, curvature = _cross(at, z, np.ones(len(at)), len(theta))
+    return float(-(left @ left) / 2), np.concatenate([np.bincount(at, left, len(theta) - 1), z @ left]), curvature
+
+
+def control_function(lines: DataFrame, start: DataFrame, cell: Sequence[str] = CELL) -> DataFrame:
+    """``lines`` with ``cf_residual``: what store and week effects and the cost instrument leave of the log price."""
+    keys = [*cell, "product_id"]
+    zeros = F.array_repeat(F.lit(0.0), F.size("theta") + 1)
+    fitted = newton(lines, start.select(*keys, zeros.alias("theta")), keys, cost_line, judged=1)
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                theta = np.asarray(row.theta)
+                left = np.asarray(row.log_price) - theta[:-1][np.asarray(row.at, np.int64)] - theta[-1] * _costs(row)
+                out.append(left - left.mean())
+            yield batch.drop(columns="theta").assign(cf_residual=out)
+
+    schema = ", ".join(f"{c} {t}" for c, t in lines.dtypes) + ", cf_residual array<double>"
+    return lines.join(fitted.select(*keys, "theta"), keys).select(*lines.columns, "theta").mapInPandas(of, schema)
+
+
+def price_response(rows: DataFrame, use_iv: bool, cell: Sequence[str] = CELL, iterations: int = 80, tolerance: float = 1e-8) -> DataFrame:
+    """(cell, product_id, beta, gamma, converged) of the Poisson fit with store and week effects."""
+    keys = [*cell, "product_id"]
+    lines, start = store_lines(rows, cell)
+    lines, start, x = staged(fewer_files(lines), "lines"), staged(fewer_files(start), "weeks"), ["log_price", "npi"]
     if use_iv:
-        (own, settled), x = control_function(own, cell), [*x, "cf_residual"]
-    product = Window.partitionBy(*cell, "product_id")
-    state = own.select(*cell, "product_id", "store_id", "week", "units", *x).withColumn("eta", F.log((F.col("units") + F.avg("units").over(product)) / 2))
-    names, before, change = ["beta", "gamma", "control"][: len(x)], None, None
-    for _ in range(iterations):
-        mu = F.exp("eta")
-        work = state.withColumns({"mu": mu, "z": F.col("eta") + (F.col("units") - mu) / mu}).withColumns({"__y": F.col("z")} | {f"__{c}": F.col(c) for c in x})
-        tilde, demeaned = demean_until(work, ["__y", *[f"__{c}" for c in x]], _effects(cell), "mu")
-        coef = cut_lineage(solve(tilde.groupBy(*cell, "product_id").agg(*moments([f"__{c}" for c in x], "__y", "mu")), len(x), names))
-        fitted = sum((F.col(n) * F.col(f"__{c}") for n, c in zip(names, x, strict=True)), F.lit(0.0))
-        state = tilde.join(coef, [*cell, "product_id"]).withColumn("eta", F.least(F.greatest(F.col("z") - (F.col("__y") - fitted), F.lit(-30.0)), F.lit(30.0))).select(*state.columns)
-        if before is not None:
-            old = before.select(*cell, "product_id", *[F.col(n).alias(f"old_{n}") for n in names])
-            change = coef.join(old, [*cell, "product_id"]).select(F.max(F.greatest(*[F.abs(F.col(n) - F.col(f"old_{n}")) for n in names], F.lit(0.0)))).first()[0]
-            if change is None or change < tolerance:
-                before = coef
-                break
-        before = coef
-    return before.select(*cell, "product_id", "beta", "gamma", F.lit(settled and demeaned and change is not None and change < tolerance).alias("converged"))
-
-
-def calibration(rows: DataFrame, response: DataFrame, cell: Sequence[str] = CELL, iterations: int = 8) -> DataFrame:
-    """(cell, product_id, const, season...) of the Poisson fit of level and harmonics around the fixed price response."""
-    joined = rows.join(response, [*cell, "product_id"])
+        lines, x = staged(control_function(lines, start, cell), "lines"), [*x, "cf_residual"]
+    start = start.select(*keys, F.concat("theta", F.array(*[F.lit(0.0) for _ in x])).alias("theta"))
+    found = newton(lines, start, keys, poisson_line(x), tolerance, iterations, len(x))
+    at = lambda k: F.when(F.col("converged"), F.element_at("theta", k - len(x))).otherwise(0.0)
+    return found.select(*keys, at(0).alias("beta"), at(1).alias("gamma"), "converged")
+
+
+def season_line(row, theta: np.ndarray):
+    """Log-likelihood of a store's rows by level and harmonics around the fixed part."""
+    y, fixed = np.asarray(row.units, np.float64), np.asarray(row.fixed, np.float64)
+    x = np.array([np.ones(len(y)), *[np.asarray(getattr(row, c), np.float64) for c in SEASON]])
+    eta = np.clip(fixed + theta @ x, -30, 30)
+    mu = np.exp(eta)
+    return float(y @ eta - mu.sum()), x @ (y - mu), (x * mu) @ x.T
+
+
+def calibration(rows: DataFrame, response: DataFrame, levels: DataFrame, cell: Sequence[str] = CELL, iterations: int = 80, tolerance: float = 1e-8) -> DataFrame:
+    """(cell, product_id, const, season...) of the Poisson fit of level and harmonics around the fixed price response; zeros where it doesn't converge."""
+    keys = [*cell, "product_id"]
+    joined = rows.join(response.select(*keys, "beta", "gamma"), keys).join(levels, [*keys, "store_id"])
     fixed = F.col("offset") + F.col("beta") * (F.col("log_price") - F.col("p_bar")) + F.col("gamma") * (F.col("npi") - F.col("npi_bar"))
-    work = cut_lineage(joined.select(*cell, "product_id", "units", fixed.alias("fixed"), F.lit(1.0).alias("const"), *[c.alias(n) for n, c in season("week").items()]))
+    each = joined.groupBy(*keys, "store_id").agg(F.collect_list(F.struct(F.col("units").cast("double").alias("units"), fixed.alias("fixed"), *[c.alias(n) for n, c in season("week").items()])).alias("rows"))
+    lines = staged(fewer_files(each.select(*keys, *[F.col(f"rows.{c}").alias(c) for c in ("units", "fixed", *SEASON)])), "lines")
     x = ["const", *SEASON]
-    coef = work.select(*cell, "product_id").distinct().withColumns({f"c_{n}": F.lit(0.0) for n in x})
-    for _ in range(iterations):
-        linear = F.col("fixed") + sum((F.col(f"c_{n}") * F.col(n) for n in x), F.lit(0.0))
-        step = work.join(coef, [*cell, "product_id"]).withColumn("eta", F.least(F.greatest(linear, F.lit(-30.0)), F.lit(30.0))).withColumn("mu", F.exp("eta"))
-        step = step.withColumn("y", F.col("eta") - F.col("fixed") + (F.col("units") - F.col("mu")) / F.col("mu"))
-        coef = cut_lineage(solve(step.groupBy(*cell, "product_id").agg(*moments(x, "y", "mu")), len(x), [f"c_{n}" for n in x]))
-    return coef.select(*cell, "product_id", *[F.coalesce(f"c_{n}", F.lit(0.0)).alias(n) for n in x])
-
-
-def fit(training: DataFrame, weights: DataFrame, use_iv: bool, cell: Sequence[str] = CELL, iterations: int = 12) -> tuple[DataFrame, DataFrame]:
-    """(coefficients, store levels). Products without units or with fewer than LEAST_ROWS carried rows get zeros."""
-    rows = cut_lineage(prepared(training, weights, cell))
-    enough = rows.groupBy(*cell, "product_id").agg((F.sum("units") > 0).alias("sold"), F.count_if("carried").alias("n"))
-    fitted = rows.join(enough.where((F.col("n") >= LEAST_ROWS) & F.col("sold")), [*cell, "product_id"], "left_semi")
-    response = price_response(fitted, use_iv, cell, iterations=iterations)
-    every = response.join(calibration(fitted, response, cell), [*cell, "product_id"])
+    start = lines.select(*keys).distinct().withColumn("theta", F.array(*[F.lit(0.0) for _ in x]))
+    found = newton(lines, start, keys, season_line, tolerance, iterations)
+    return found.select(*keys, *[F.when(F.col("converged"), F.col("theta")[k]).otherwise(0.0).alias(n) for k, n in enumerate(x)])
+
+
+def fit(training: DataFrame, weights: DataFrame, use_iv: bool, cell: Sequence[str] = CELL, iterations: int = 80) -> tuple[DataFrame, DataFrame]:
+    """(coefficients, store levels). Products without units, with fewer than LEAST_ROWS rows in stores with sales, or whose fit fails get zeros."""
+    keys = [*cell, "product_id"]
+    rows = staged(fewer_files(prepared(training, weights, cell)), "prepared")
+    levels = store_levels(rows, cell)
+    stores = rows.groupBy(*keys, "store_id").agg(F.sum("units").alias("u"), F.count(F.lit(1)).alias("n"))
+    enough = stores.groupBy(*keys).agg((F.sum("u") > 0).alias("sold"), F.coalesce(F.sum(F.when(F.col("u") > 0, F.col("n"))), F.lit(0)).alias("n"))
+    fitted = rows.join(enough.where((F.col("n") >= LEAST_ROWS) & F.col("sold")), keys, "left_semi")
+    response = staged(price_response(fitted, use_iv, cell, iterations), "response")
+    every = response.join(calibration(fitted, response, levels, cell), keys, "left")
     zeros = {n: 0.0 for n in ("beta", "gamma", "const", *SEASON)}
-    out = enough.select(*cell, "product_id").join(every, [*cell, "product_id"], "left").fillna(zeros).withColumn("converged", F.coalesce("converged", F.lit(False)))
-    return out, store_levels(rows, cell)
+    out = enough.select(*keys).join(every, keys, "left").fillna(zeros).withColumn("converged", F.coalesce("converged", F.lit(False)))
+    return out, levels
 
 
 def predict_mean(frame: DataFrame, coefficients: DataFrame, levels: DataFrame, weights: DataFrame, cell: Sequence[str] = CELL, legs: Sequence[str] = ()) -> DataFrame:

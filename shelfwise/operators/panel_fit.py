@@ -1,47 +1,38 @@
-"""Within-group regressions as DataFrame work: alternating demeaning, moment sums, and small linear systems solved on columns."""
+"""Regressions within panels as DataFrame work: alternating demeaning by tables of effects, moment sums, small linear systems solved on columns,
+and Newton's method for many Poisson fits at once.
+
+Everything that is shuffled is a sum by key, combined before its shuffle; tables of effects meet the rows in an equi-join, which Spark
+broadcasts where they are small. Tables that are read again are written to the shared folder."""
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder of ``spark.checkpoint.dir``; a temporary one only where none is set, as in local tests."""
-    spark: SparkSession = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+from shelfwise.staging import fewer_files, staged
 
 
-def demean(df: DataFrame, columns: Sequence[str], groups: Sequence[Sequence[str]], weight: str | None = None, passes: int = 4, every: int = 2) -> DataFrame:
-    """``columns`` less their (weighted) means within each of the groups in turn, ``passes`` times over.
+def demean(df: DataFrame, columns: Sequence[str], groups: Sequence[Sequence[str]], weight: str | None = None, passes: int = 4) -> DataFrame:
+    """``columns`` less their (weighted) means within each of two groups in turn, ``passes`` times over. ``df`` is read in each pass: a written table.
 
-    All groups should begin with the same keys: then one shuffle by these serves all windows. Lineage is cut every few passes."""
-    for p in range(passes):
-        for by in groups:
-            over = Window.partitionBy(*by)
-            mean = lambda c: F.sum(F.col(weight) * F.col(c)).over(over) / F.sum(weight).over(over) if weight else F.avg(c).over(over)  # noqa: B023, E731
-            df = df.withColumns({c: F.col(c) - mean(c) for c in columns})
-        if every and p % every == every - 1 and p < passes - 1:
-            df = cut_lineage(df)
-    return df
+    What a pass takes off depends on the other group's effects alone, so only the two tables of effects change from pass to pass."""
+    first, second = (list(g) for g in groups)
+    w = F.col(weight) if weight else F.lit(1.0)
 
+    def effects(by: list[str], name: str, others: DataFrame | None, on: list[str], other: str) -> DataFrame:
+        rows, less = (df.join(others, on), lambda c: F.col(c) - F.col(f"{other}{c}")) if others is not None else (df, F.col)
+        return rows.groupBy(*by).agg(*[(F.sum(w * less(c)) / F.sum(w)).alias(f"{name}{c}") for c in columns])
 
-def demean_until(df: DataFrame, columns: Sequence[str], groups: Sequence[Sequence[str]], weight: str | None = None, tolerance: float = 1e-8, most: int = 1000, every: int = 4) -> tuple[DataFrame, bool]:
-    """``demean`` until a pass changes no value by ``tolerance`` of its column's largest (of 1 at least), and whether it got there within ``most`` passes. Lineage is cut every few passes."""
-    for _ in range(0, most, every):
-        df = demean(df, columns, groups, weight, every - 1, 0).withColumns({f"__was_{c}": F.col(c) for c in columns})
-        df = cut_lineage(demean(df, columns, groups, weight, 1, 0))
-        moved = [F.max(F.abs(F.col(c) - F.col(f"__was_{c}"))) / F.greatest(F.max(F.abs(f"__was_{c}")), F.lit(1.0)) for c in columns]
-        change = df.agg(F.greatest(*moved, F.lit(0.0))).first()[0]
-        df = df.drop(*[f"__was_{c}" for c in columns])
-        if change is None or change < tolerance:
-            return df, True
-    return df, False
+    b = None
+    for _ in range(passes):
+        a = effects(first, "__a_", b, second, "__b_")
+        b = effects(second, "__b_", a, first, "__a_")
+    out = df.join(a, first).join(b, second)
+    return out.withColumns({c: F.col(c) - F.col(f"__a_{c}") - F.col(f"__b_{c}") for c in columns}).select(*df.columns)
 
 
 def moments(x: Sequence[str], y: str, weight: str | None = None) -> list[Column]:
@@ -63,3 +54,66 @@ def solve(df: DataFrame, n: int, names: Sequence[str]) -> DataFrame:
         rest = sum((F.col(f"a_{k}_{j}") * F.col(names[j]) for j in range(k + 1, n)), F.lit(0.0))
         df = df.withColumn(names[k], F.when(F.abs(f"a_{k}_{k}") > 1e-12, (F.col(f"b_{k}") - rest) / F.col(f"a_{k}_{k}")).otherwise(0.0))
     return df.drop(*[f"a_{i}_{j}" for i in range(n) for j in range(n)], *[f"b_{i}" for i in range(n)], *[f"f_{i}" for i in range(n)])
+
+
+#: A fit's place: parameters, where they were before, the value there, whether they are final and whether they converged.
+STATE = "theta array<double>, before array<double>, value double, done boolean, converged boolean"
+
+#: For one line of data (arrays of a store's rows) at parameters: objective, gradient and negative curvature.
+Line = Callable[[object, np.ndarray], tuple[float, np.ndarray, np.ndarray]]
+
+
+def newton(lines: DataFrame, start: DataFrame, keys: Sequence[str], line: Line, tolerance: float = 1e-8, most: int = 80, judged: int | None = None) -> DataFrame:
+    """(keys, theta, converged) that maximise the sum of ``line`` over each key's lines, from ``start`` (keys, theta).
+
+    Each round sums gradient and curvature by key within tasks, then over tasks, and takes one step a key; a step that loses is halved.
+    A key is done when its last ``judged`` parameters (all by default) move by less than ``tolerance``; keys that are done are left out of
+    the next round, and only whether any is left comes to the driver. A task holds one key's sums; sums over tasks have a row for each task."""
+    spark, names = lines.sparkSession, list(keys)
+    types = ", ".join(f"{c} {t}" for c, t in lines.select(*names).dtypes)
+
+    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, total = None, None
+
+        def told():
+            return pd.DataFrame([[*key, total[0], total[1], total[2].ravel()]], columns=[*names, "part", "gradient", "curvature"])
+
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                now = tuple(getattr(row, c) for c in names)
+                if now != key:
+                    if total:
+                        yield told()
+                    key, total = now, None
+                with np.errstate(all="ignore"):
+                    own = line(row, np.asarray(row.theta, np.float64))
+                total = own if total is None else tuple(a + b for a, b in zip(total, own, strict=True))
+        if total:
+            yield told()
+
+    def stepped(rows: pd.DataFrame) -> pd.DataFrame:
+        value, gradient, curvature = rows["part"].sum(), np.sum([np.asarray(x) for x in rows["gradient"]], axis=0), np.sum([np.asarray(x) for x in rows["curvature"]], axis=0)
+        first = rows.iloc[0]
+        theta, before, old = np.asarray(first["theta"], np.float64), np.asarray(first["before"], np.float64), first["value"]
+        done = converged = False
+        n = len(theta)
+        if not (np.isfinite(value) and np.isfinite(gradient).all() and np.isfinite(curvature).all()) or value < old - 1e-10 * max(1.0, abs(old)):
+            done = bool(np.abs(theta - before).max(initial=0) < 1e-13) or not np.isfinite(old)
+            theta, value = (theta + before) / 2, old
+        else:
+            step = np.linalg.lstsq(curvature.reshape(n, n), gradient, rcond=1e-12)[0]
+            done = converged = bool(np.abs(step[-judged:] if judged else step).max(initial=0) < tolerance)
+            theta, before = theta + step, theta
+        return pd.DataFrame([[*[first[c] for c in names], theta, before, value, done, converged]], columns=[*names, "theta", "before", "value", "done", "converged"])
+
+    state = start.select(*names, "theta", F.col("theta").alias("before"), F.lit(float("-inf")).alias("value"), F.lit(False).alias("done"), F.lit(False).alias("converged"))
+    state, finished = staged(fewer_files(state), "fits"), None
+    for n in range(most):
+        sums = lines.join(state.select(*names, "theta"), names).mapInPandas(parts, f"{types}, part double, gradient array<double>, curvature array<double>")
+        new = staged(fewer_files(sums.join(state, names).groupBy(*names).applyInPandas(stepped, f"{types}, {STATE}")), "fits")
+        own = new.where("done") if n < most - 1 else new
+        finished = own if finished is None else finished.unionByName(own)
+        state = new.where("not done")
+        if state.isEmpty():
+            break
+    return finished.select(*names, "theta", "converged")

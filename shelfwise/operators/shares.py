@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions.columns import phase
 from shelfwise.operators.elasticity import AFFECTED, PRICED, product_grid
-from shelfwise.operators.panel_fit import cut_lineage, demean, moments, solve
+from shelfwise.operators.panel_fit import demean, moments, solve
+from shelfwise.staging import fewer_files, staged
 
 CELL = ("cell_slug",)
 LEAST_SHARE, FLOOR_SHARE, PASSES, LEAST_ROWS, SMALL_ASSORTMENT, MIX, ARC = 1e-6, 1e-4, 4, 200, 10, 0.5, 0.10
@@ -20,15 +21,15 @@ LEAST_SHARE, FLOOR_SHARE, PASSES, LEAST_ROWS, SMALL_ASSORTMENT, MIX, ARC = 1e-6,
 
 def share_panel(training: DataFrame, clipped: bool, cell: Sequence[str] = CELL) -> DataFrame:
     """Rows with log share in the store-week and weight: units of rows with sales, or 1 for all rows if ``clipped``."""
-    total = F.sum("units").over(Window.partitionBy(*cell, "store_id", "week"))
-    rows = training.withColumn("total", total).where("total > 0" if clipped else "total > 0 and units > 0")
+    total = training.groupBy(*cell, "store_id", "week").agg(F.sum("units").alias("total"))
+    rows = training.join(total, [*cell, "store_id", "week"]).where("total > 0" if clipped else "total > 0 and units > 0")
     share = F.greatest(F.col("units") / F.col("total"), F.lit(LEAST_SHARE))
     return rows.select(*cell, "product_id", "store_id", "week", F.log(share).alias("log_share"), F.col("price").cast("double").alias("price"), F.col("supply_cost_proxy").cast("double").alias("supply_cost_proxy"), (F.lit(1.0) if clipped else F.col("units").cast("double")).alias("wt"))
 
 
 def demeaned_shares(panel: DataFrame, cell: Sequence[str] = CELL, passes: int = PASSES) -> DataFrame:
     """Within (product, store) and week, in turn, exactly ``passes`` times."""
-    return demean(panel, ["log_share", "price", "supply_cost_proxy"], [[*cell, "product_id", "store_id"], [*cell, "week"]], "wt", passes, every=2)
+    return demean(staged(fewer_files(panel), "shares"), ["log_share", "price", "supply_cost_proxy"], [[*cell, "product_id", "store_id"], [*cell, "week"]], "wt", passes)
 
 
 def slope(use_iv: bool) -> Column:
@@ -47,8 +48,8 @@ def price_slopes(training: DataFrame, use_iv: bool, cell: Sequence[str] = CELL)
     Cells with few products have the pooled slope of the clipped panel throughout."""
     each = training.select(*cell, "product_id").distinct()
     small = each.groupBy(*cell).agg((F.count(F.lit(1)) < SMALL_ASSORTMENT).alias("small"))
-    by_sales = cut_lineage(demeaned_shares(share_panel(training, False, cell), cell))
-    clipped = cut_lineage(demeaned_shares(share_panel(training.join(small.where("small"), list(cell), "left_semi"), True, cell), cell))
+    by_sales = staged(demeaned_shares(share_panel(training, False, cell), cell), "demeaned")
+    clipped = demeaned_shares(share_panel(training.join(small.where("small"), list(cell), "left_semi"), True, cell), cell)
     pooled = by_sales.groupBy(*cell).agg(slope(use_iv).alias("pooled")).join(clipped.groupBy(*cell).agg(slope(use_iv).alias("clipped")), list(cell), "left").join(small, list(cell))
     own = by_sales.groupBy(*cell, "product_id").agg(slope(use_iv).alias("own"), F.count(F.lit(1)).alias("n")).where((F.col("n") >= LEAST_ROWS) & (F.col("own") < 0))
     target = F.when(F.col("small"), F.coalesce("clipped", F.lit(0.0))).otherwise(F.coalesce("own", "pooled", F.lit(0.0)))
@@ -84,7 +85,7 @@ def incidence(training: DataFrame, cell: Sequence[str] = CELL, passes: int = PAS
     units = training.groupBy(*cell, "product_id").agg(F.sum("units").alias("u"))
     w = units.select(*cell, "product_id", (F.col("u") / F.greatest(F.sum("u").over(Window.partitionBy(*cell)), F.lit(1.0))).alias("w"))
     weeks = training.join(w, [*cell, "product_id"]).groupBy(*cell, "store_id", "week").agg(F.sum("units").alias("m"), (F.sum(F.col("w") * F.col("price")) / F.greatest(F.sum("w"), F.lit(1e-9))).alias("p_bar"))
-    flat = demean(weeks.where("m > 0").withColumn("log_m", F.log("m")), ["log_m", "p_bar"], [[*cell, "store_id"], [*cell, "week"]], passes=passes, every=2)
+    flat = demean(staged(fewer_files(weeks.where("m > 0").withColumn("log_m", F.log("m"))), "volumes"), ["log_m", "p_bar"], [[*cell, "store_id"], [*cell, "week"]], passes=passes)
     den = F.sum(F.col("p_bar") * F.col("p_bar"))
     return flat.groupBy(*cell).agg(F.when(den > 1e-9, F.sum(F.col("p_bar") * F.col("log_m")) / den).otherwise(0.0).alias("slope"))
 

@@ -9,18 +9,19 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions.columns import has_text
 from shelfwise.operators import loglog, text
+from shelfwise.staging import staged
 
 VARIANTS = {"naive_blind": (False, False), "naive_text": (False, True), "iv_blind": (True, False), "iv_text": (True, True)}
 
 
-def fit_grid(training: DataFrame, products: DataFrame, variants=tuple(VARIANTS), iterations: int = 12) -> tuple[DataFrame, DataFrame, DataFrame]:
+def fit_grid(training: DataFrame, products: DataFrame, variants=tuple(VARIANTS), iterations: int = 80) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(coefficients, levels, weights), each with ``variant``; cells without product texts skip the text variants."""
     texts = products.groupBy("cell_slug").agg(has_text("product_text").alias("has")).where("has")
     parts = []
     for name in variants:
         use_iv, use_text = VARIANTS[name]
         own = (training.join(texts, "cell_slug", "left_semi"), products.join(texts, "cell_slug", "left_semi")) if use_text else (training, products)
-        weights = loglog.cut_lineage(text.neighbour_weights(own[1], use_text))
+        weights = staged(text.neighbour_weights(own[1], use_text), "weights")
         coefficients, levels = loglog.fit(own[0], weights, use_iv, iterations=iterations)
         parts.append([df.withColumn("variant", F.lit(name)) for df in (coefficients, levels, weights)])
     return tuple(reduce(DataFrame.unionByName, x) for x in zip(*parts, strict=True))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.operators import forecast
+from shelfwise.staging import fewer_files, staged
 
 CELL, EVAL_WEEKS = ["cell_slug"], 16
 
@@ -22,16 +23,18 @@ def brand_no(c: str = "product_id"):
 
 
 def panel(spark: SparkSession, d: str) -> DataFrame:
+    """Written once for each query: training, truth, scenarios and weights all read it."""
     rows = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     net, gross = F.col("p_retailprice") * (1 - F.col("l_discount")) * F.col("l_quantity"), F.col("p_retailprice") * F.col("l_quantity")
     keys = [
         F.concat(F.lit("log_log_seed"), (1 + F.col("s_nationkey") % 2).cast("string")).alias("cell_slug"), F.col("p_brand").alias("product_id"), F.concat(F.lit("N"), F.col("s_nationkey").cast("string")).alias("store_id"),
         F.floor(F.datediff("l_shipdate", F.lit("1970-01-01")) / 7).cast("int").alias("week"),
     ]
-    return rows.groupBy(*keys).agg(
+    panel = rows.groupBy(*keys).agg(
         F.sum("l_quantity").alias("units"), F.sum(net).alias("dollars"), (F.sum(net) / F.sum("l_quantity")).alias("price"), F.max(F.when(F.col("l_discount") > 0.05, 1).otherwise(0)).alias("promo_flag"),
         F.max("l_discount").alias("promo_cost"), (0.7 * F.sum(gross) / F.sum("l_quantity")).alias("supply_cost_proxy"),
     )
+    return staged(fewer_files(panel), "panel")
 
 
 def weeks(p: DataFrame) -> DataFrame:

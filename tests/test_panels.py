@@ -81,7 +81,7 @@ def panel(spark):
 def test_loglog_recovers_the_slope(spark, panel):
     products = spark.createDataFrame([("c", f"P{k}", "AABB"[k - 1]) for k in range(1, 5)], "cell_slug string, product_id string, brand_code string")
     weights = text.kernel_weights(text.brand_distances(products))
-    coefficients, levels = loglog.fit(panel, weights, False, iterations=6)
+    coefficients, levels = loglog.fit(panel, weights, False)
     rows = coefficients.collect()
     assert all(r.beta < 0 for r in rows) and np.mean([r.beta for r in rows]) == pytest.approx(-1.6, abs=0.35)
     sweep = panel.where("week >= 76").select("cell_slug", F.lit("up").alias("intervention_id"), "product_id", "store_id", "week", F.col("price").alias("baseline_price"), F.when(F.col("product_id") == "P1", F.col("price") * 1.1).otherwise(F.col("price")).alias("intervention_price"))
@@ -92,7 +92,7 @@ def test_loglog_recovers_the_slope(spark, panel):
 def test_loglog_equals_the_fit_with_dummies(spark, panel):
     """On a panel with gaps, against Newton steps on one product's rows with a column for each store and week."""
     sparse = panel.where("product_id = 'P1' and pmod(hash(store_id, week), 10) < 6").withColumn("npi", F.lit(0.0))
-    rows = sparse.withColumns({"log_price": F.log("price"), "carried": F.lit(True)})
+    rows = sparse.withColumn("log_price", F.log("price"))
     own = rows.toPandas()
     own = own[own.groupby("week").units.transform("sum") > 0]
     weeks = sorted(set(own.week))
@@ -102,7 +102,7 @@ def test_loglog_equals_the_fit_with_dummies(spark, panel):
         mu = np.exp(x @ b)
         b = b + np.linalg.lstsq(x.T @ (x * mu[:, None]), x.T @ (own.units - mu), rcond=None)[0]
     got = loglog.price_response(rows, False).first()
-    assert got.converged and got.beta == pytest.approx(b[0], abs=1e-5)
+    assert got.converged and got.beta == pytest.approx(b[0], abs=1e-7)
 
 
 def test_loglog_fit_is_registered_whole(spark, monkeypatch):
@@ -117,7 +117,7 @@ def test_loglog_fit_is_registered_whole(spark, monkeypatch):
 
 def test_variant_grid(spark, panel):
     products = spark.createDataFrame([("c", f"P{k}", "AABB"[k - 1], None) for k in range(1, 5)], "cell_slug string, product_id string, brand_code string, product_text string")
-    coefficients, levels, weights = grid.fit_grid(panel.where("week < 60"), products, ("naive_blind", "iv_blind"), iterations=1)
+    coefficients, levels, weights = grid.fit_grid(panel.where("week < 60"), products, ("naive_blind", "iv_blind"))
     assert {(r.variant, r.n) for r in coefficients.where("beta < 0").groupBy("variant").agg(F.count("*").alias("n")).collect()} == {("naive_blind", 4), ("iv_blind", 4)}
     assert {r.variant for r in levels.select("variant").distinct().collect()} == {r.variant for r in weights.select("variant").distinct().collect()} == {"naive_blind", "iv_blind"}
 
