@@ -1,36 +1,17 @@
-"""Shared folder, staging and Arrow batch bounds."""
+"""Arrow batch bounds, ids on their way through pandas, and names of helper columns."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows and bytes that one Arrow batch may hold on its way to a Python worker.
-BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
-
-
-_OWN: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset, as in local tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    app = spark.sparkContext.applicationId
-    if not folder and app not in _OWN:
-        _OWN[app] = tempfile.mkdtemp(prefix="spark-")
-    return folder or _OWN[app]
+from shelfwise.staging import discard, fewer_files, staged
 
+__all__ = ["bound_batches", "discard", "fewer_files", "free_name", "hidden_prefix", "id_columns", "ids", "partitions", "release_shuffles", "staged"]
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Rows and bytes that one Arrow batch may hold on its way to a Python worker.
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -56,3 +37,19 @@ def id_columns(doc_id: Column) -> list[Column]:
 
 def ids(batch: pd.DataFrame) -> list[int | None]:
     return [None if none else doc for doc, none in zip(batch["doc_id"].tolist(), batch["no_id"], strict=True)]
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or the first of ``name_2``, ``name_3``, ... that is no column of ``df`` yet."""
+    have, n = {c.lower() for c in df.columns}, 1
+    while (out := name if n == 1 else f"{name}_{n}").lower() in have:
+        n += 1
+    return out
+
+
+def hidden_prefix(df: DataFrame) -> str:
+    """A prefix for helper columns with which no column of ``df`` begins."""
+    prefix = "__"
+    while any(c.startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
