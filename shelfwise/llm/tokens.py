@@ -7,13 +7,15 @@ such a cut is certain, a text is split into chunks whose ids are kept and put to
 * ``white space``: at ASCII white space (for vocabularies that drop it and lower-case all letters).
 
 Of a chunk that ends in punctuation behind a letter, both kinds of vocabulary encode the punctuation by itself, so such a
-chunk is put together from its two parts.
+chunk is put together from its two parts. A chunk of Latin letters alone is one piece in both, so it goes to the vocabulary's own
+model, without the search for pieces. Strings of special tokens in a text are ordinary text.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 
 import numpy as np
 
@@ -23,13 +25,23 @@ from shelfwise.llm.words import utf8
 _ODD = re.compile(" (?:[^!-~¡-ᙿ]|$)|\x00")
 _CUT = re.compile("(?= [!-~¡-ᙿ])")
 _STEM = re.compile(r"([^\x00]*[A-Za-z])([!-/:-@\[-`{-~]+)")
-_STEM_BYTES = re.compile(rb"(.*[A-Za-z])([!-/:-@\[-`{-~]+)", re.DOTALL)
+#: Letters that both vocabularies keep together, that have one code point in small letters, and that don't compose any more.
+_LETTERS = re.compile("\x00?[A-Za-zÀ-ÖØ-öø-įı-ž]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """The character by which byte-level vocabularies write each byte: itself if it is visible, else one from 256 on, in order."""
+    seen = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    return {b: chr(b) for b in seen} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(seen)))}
+
+
+_AS_LETTERS = byte_letters()
 
 
 class CachedTokenizer(dict):
     """Chunk to its number; the ids of chunk k are ``flat[start[k]:start[k] + size[k]]``. Beyond ``most`` chunks the rare ones go."""
 
-    def __init__(self, path: str, split: str, most: int = 500_000, most_chars: int = 16_000_000):
+    def __init__(self, path: str, split: str, most: int = 300_000, most_chars: int = 16_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores belong to Spark's tasks
         from tokenizers import Tokenizer
 
@@ -61,36 +73,44 @@ class CachedTokenizer(dict):
         first, *rest = text.split(" ")
         return ["\x00" + first, *rest]  # the rest without the space before it
 
-    def _text(self, chunk) -> str:
-        if isinstance(chunk, bytes):
-            return chunk.decode("utf-8", "surrogatepass")
-        return chunk[1:] if chunk[:1] == "\x00" else " " + chunk
+    def _piece(self, text: str) -> str:
+        """A chunk of letters as its vocabulary writes it."""
+        if self.split == "white space":
+            text = text.lower()
+        else:
+            text = text[1:] if text[0] == "\x00" else " " + text
+            if text.isascii():
+                return text.replace(" ", _AS_LETTERS[32])
+        return text if text.isascii() else text.encode().decode("latin-1").translate(_AS_LETTERS)
+
+    def _keep(self, at: list[int], size: np.ndarray, ids: np.ndarray) -> None:
+        self.start[at], self.size[at] = len(self.flat) + np.cumsum(size) - size, size
+        self.flat = np.concatenate([self.flat, ids])
 
     def _learn(self) -> None:
         """Ids of the new chunks; the parts of a chunk may be new chunks themselves."""
-        known, whole, whole_at, parts, parts_at = len(self.size), [], [], [], []
+        known, pieces, pieces_at, whole, whole_at, parts, parts_at = len(self.size), [], [], [], [], [], []
         for code, chunk in enumerate(self.fresh, known):  # grows on the way
             is_bytes = isinstance(chunk, bytes)
-            m = (_STEM_BYTES if is_bytes else _STEM).fullmatch(chunk)
-            if m:
-                parts += [self[m[1]], self[m[2] if is_bytes else "\x00" + m[2]]]
+            text = chunk.decode("utf-8", "surrogatepass") if is_bytes else chunk
+            self.chars += len(text)
+            if _LETTERS.fullmatch(text):
+                pieces.append(self._piece(text))
+                pieces_at.append(code)
+            elif m := _STEM.fullmatch(text):
+                parts += [self[m[1].encode()], self[m[2].encode()]] if is_bytes else [self[m[1]], self["\x00" + m[2]]]
                 parts_at.append(code)
             else:
-                whole.append(self._text(chunk))
+                whole.append(text if is_bytes else text[1:] if text[:1] == "\x00" else " " + text)
                 whole_at.append(code)
-                self.chars += len(chunk)
         new = len(self.fresh)
         self.fresh.clear()
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
         self.start, self.size, self.seen = (np.concatenate([x, np.zeros(new, np.int64)]) for x in (self.start, self.size, self.seen))
-        self.start[whole_at], self.size[whole_at] = len(self.flat) + np.cumsum(size) - size, size
-        self.flat = np.concatenate([self.flat, np.fromiter((x for y in ids for x in y), np.uint32, int(size.sum()))])
+        model = self.tokenizer.model.tokenize
+        for at, ids in ((pieces_at, [[t.id for t in model(x)] for x in pieces]), (whole_at, [e.ids for e in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)])):
+            self._keep(at, np.fromiter(map(len, ids), np.int64, len(ids)), np.fromiter(chain.from_iterable(ids), np.uint32))
         if parts:
-            size = self.size[parts].reshape(-1, 2).sum(axis=1)
-            ids = gather(self.flat, self.start[parts], self.size[parts])
-            self.start[parts_at], self.size[parts_at] = len(self.flat) + np.cumsum(size) - size, size
-            self.flat = np.concatenate([self.flat, ids])
+            self._keep(parts_at, self.size[parts].reshape(-1, 2).sum(axis=1), gather(self.flat, self.start[parts], self.size[parts]))
 
     def _trim(self) -> None:
         """Keeps the chunks that were seen more than twice, if they are few enough."""
