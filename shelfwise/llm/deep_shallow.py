@@ -78,18 +78,18 @@ def deep_shallow(strings: list[bytes], depth: int = 0) -> tuple[list[int], list[
     return order, [0] + [common(strings[a], strings[b]) for a, b in zip(order, order[1:], strict=False)]
 
 
-def reaches(lefts: list[bytes], rights: list[bytes], span: int, shared: int = 0) -> tuple[list[int], list[int]]:
-    """How far a repeated string of at least ``span`` bytes reaches from each anchor to the left and to the right; 0 and 0 if none does.
+def reaches(lefts: list[bytes], rights: list[bytes], spans: tuple[int, ...], shared: int = 0) -> list[tuple[list[int], list[int]]]:
+    """For each of ``spans``: how far a repeated string of so many bytes or more reaches from each anchor to the left and to the right; 0 and 0 if none does.
 
     ``lefts`` are the bytes before the anchor, backwards; ``rights`` those from the anchor on, which agree on ``shared`` bytes.
-    Two anchors repeat a string if their common left and right parts together have ``span`` bytes."""
+    Two anchors repeat a string if their common left and right parts together have its bytes."""
     n = len(rights)
     if n == 2:
         a, b = common(*lefts), common(*rights)
-        return ([a, a], [b, b]) if a + b >= span else ([0, 0], [0, 0])
+        return [([a, a], [b, b]) if a + b >= span else ([0, 0], [0, 0]) for span in spans]
     order, right = deep_shallow(rights, shared)
     by_left, left = deep_shallow(lefts)
-    most_left, most_right = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    most = [(np.zeros(n, np.int64), np.zeros(n, np.int64)) for _ in spans]
     rank = np.empty(n, np.int64)
     rank[by_left] = np.arange(n)
     rank, right_of = rank[order], np.array(right)
@@ -110,10 +110,14 @@ def reaches(lefts: list[bytes], rights: list[bytes], span: int, shared: int = 0)
         for level in np.unique(k):
             own = k == level
             agree[own] = np.minimum(least[level][first[own]], least[level][after[own] - 2**level])
-        ok = agree + depth >= span
-        for x in (a[ok], b[ok]):
-            np.maximum.at(most_left, x, agree[ok])
-            most_right[x] = np.maximum(most_right[x], depth)
-    out_left, out_right = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    out_left[order], out_right[order] = most_left, most_right
-    return out_left.tolist(), out_right.tolist()
+        for span, (most_left, most_right) in zip(spans, most, strict=True):
+            ok = agree + depth >= span
+            for x in (a[ok], b[ok]):
+                np.maximum.at(most_left, x, agree[ok])
+                most_right[x] = np.maximum(most_right[x], depth)
+    out = []
+    for most_left, most_right in most:
+        to_left, to_right = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        to_left[order], to_right[order] = most_left, most_right
+        out.append((to_left.tolist(), to_right.tolist()))
+    return out
