@@ -9,42 +9,60 @@ DataFrame functions only; two passes over the texts. The first counts in how man
 templates have words); the second is row-local, so no text, word or licence can make a partition larger than others.
 
 Defined results: a null or empty text has no words, no labels and score 0; repeated rows are judged one by one; extra
-columns stay as they are; an empty table gives an empty table.
+columns stay as they are (a result column whose name is taken gets another, see ``free_name``); an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfwise.llm.shared import free_name, hidden_prefix
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_NOT_WORD = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
+#: Characters of words in small letters, the ASCII ones one by one: the engine looks such a set up in a table, and tests ranges in turn.
+_WORD = f"[{_LOWER}0123456789" + r"\x{80}-\x{10FFFF}]+"
 
 #: Phrases and labels of the base rule.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 
-#: Fixed values: (label, mandatory phrases, notice).
+#: Fixed values: (label, mandatory phrases, notice); short notices, and the wording of licences and of the headers they ask for.
 TEMPLATES = (
     ("agpl-3.0", ("gnu affero general public license",), "licensed under the gnu affero general public license version 3"),
     ("apache-2.0", ("apache license", "version 2 0"), "licensed under the apache license version 2 0"),
+    ("apache-2.0", ("apache license", "version 2 0"), "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
+    ("bsd-2-clause", ("redistribution and use in source and binary forms", "redistributions in binary form must reproduce the above copyright notice"), "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution this software is provided by the copyright holders and contributors as is"),
     ("bsd-3-clause", ("redistribution and use in source and binary forms",), "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd-3-clause", ("redistribution and use in source and binary forms", "endorse or promote products derived from this software"), "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsl-1.0", ("boost software license",), "distributed under the boost software license version 1 0"),
     ("cc-by-4.0", ("cc by 4 0",), "licensed under cc by 4 0"),
     ("cc-by-nc-4.0", ("cc by nc 4 0",), "licensed under cc by nc 4 0"),
     ("cc-by-sa-4.0", ("cc by sa 4 0",), "licensed under cc by sa 4 0"),
+    ("cc0-1.0", ("cc0 1 0",), "dedicated to the public domain under cc0 1 0 universal"),
+    ("epl-2.0", ("eclipse public license",), "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0"),
     ("gpl-3.0", ("gnu general public license", "version 3"), "this work is licensed under the gnu general public license version 3"),
+    ("gpl-3.0", ("gnu general public license", "version 3"), "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
     ("isc", ("permission to use copy modify and or distribute this software",), "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("lgpl-3.0", ("gnu lesser general public license",), "licensed under the gnu lesser general public license version 3"),
     ("mit", ("mit license",), "released under the mit license"),
     ("mit", ("permission is hereby granted free of charge",), "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", ("permission is hereby granted free of charge", "without restriction"), "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
     ("mpl-2.0", ("mozilla public license",), "subject to the terms of the mozilla public license v 2 0"),
+    ("unlicense", ("free and unencumbered software",), "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("zlib", ("without any express or implied warranty",), "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely"),
 )
 TERMS = 8  # index terms of a template
 ENOUGH = 0.5  # share of a template's places of index terms that must agree on where it starts
 
 
-def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), F.lit(f"[^{_NOT_WORD}]+"), F.lit(0))
+def lowered(text: Column) -> Column:
+    """A-Z in small letters; other letters may become small too, but none becomes an ASCII one: the only sign that would is kept from it."""
+    text = F.coalesce(text, F.lit(""))
+    return F.when(F.contains(text, F.lit("\u212a")), F.translate(text, _UPPER, _LOWER)).otherwise(F.lower(text))
+
+
+def words_of(low: Column) -> Column:
+    return F.regexp_extract_all(low, F.lit(_WORD), F.lit(0))
 
 
 def _places(words: Column, phrase: str) -> Column:
@@ -69,9 +87,9 @@ def _has(text: Column, phrase: str) -> Column:
     return out
 
 
-def _starts(word: str, position: int) -> Column:
+def _starts(at: Column, word: str, position: int) -> Column:
     """Where the template would start for each place of a word that stands at ``position`` in it."""
-    return F.transform(F.filter("__at", lambda x: x["w"] == word), lambda x: x["i"] - position)
+    return F.transform(F.filter(at, lambda x: x["w"] == word), lambda x: x["i"] - position)
 
 
 def _strings(x) -> Column:
@@ -80,7 +98,7 @@ def _strings(x) -> Column:
 
 def document_frequencies(docs: DataFrame, text_col: str, vocabulary: list[str]) -> dict[str, int]:
     """In how many texts each word stands: one row a word comes to the driver, whatever the corpus."""
-    found = docs.select(F.explode(F.array_intersect(words_of(F.col(text_col)), _strings(vocabulary))).alias("word"))
+    found = docs.select(F.explode(F.array_intersect(words_of(lowered(F.col(text_col))), _strings(vocabulary))).alias("word"))
     return {r.word: r.n for r in found.groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
@@ -94,63 +112,59 @@ def index_terms(frequencies: dict[str, int], templates) -> list[list[tuple[str,
     return out
 
 
+def _longest_run(starts: Column) -> Column:
+    """How many of the starts are the same, of the start that most agree on."""
+    step = lambda a, x: F.when(x == a["start"], a["run"] + 1).otherwise(F.lit(1))
+    return F.aggregate(
+        F.array_sort(starts), F.struct(F.lit(None).cast("int").alias("start"), F.lit(0).alias("run"), F.lit(0).alias("best")),
+        lambda a, x: F.struct(x.alias("start"), step(a, x).alias("run"), F.greatest(a["best"], step(a, x)).alias("best")), lambda a: a["best"],
+    )
+
+
 def scan(docs: DataFrame, *, text_col: str = "text", templates=TEMPLATES, phrases=PHRASES, out: str = "licence") -> DataFrame:
     """``docs`` with a struct of n_words, n_base, first_word, last_word, base_labels, labels and score."""
     vocabulary = sorted({w for _, _, notice in templates for w in notice.split()})
-    frequencies = document_frequencies(docs, text_col, vocabulary)
-    terms = index_terms(frequencies, templates)
-
-    lower = F.translate(F.coalesce(F.col(text_col), F.lit("")), _UPPER, _LOWER)
-    every = docs.withColumns({"__lower": lower}).withColumns({"__words": words_of(F.col("__lower"))})
-    words = F.col("__words")
+    terms = index_terms(document_frequencies(docs, text_col, vocabulary), templates)
+    p, out = hidden_prefix(docs), free_name(docs, out)
+    low, words, joined, sure, at, scores, starts, base = (F.col(f"{p}{c}") for c in ("low", "words", "joined", "sure", "at", "scores", "starts", "base"))
+    every = docs.withColumn(f"{p}low", lowered(F.col(text_col))).withColumn(f"{p}words", words_of(low))
 
     # The base rule.
     none = F.array().cast("array<int>")
-    starts = F.concat(*[F.when(_has(F.col("__lower"), p), _places(words, p)).otherwise(none) for p, _ in phrases])
-    base = F.array_compact(F.array(*[F.when(_has(F.col("__lower"), p), F.when(F.size(_places(words, p)) > 0, label)) for p, label in phrases]))
-    every = every.withColumns({"__starts": starts, "__base": base})
+    places = [F.when(_has(low, x), _places(words, x)).otherwise(none) for x, _ in phrases]
+    labels = F.array_compact(F.array(*[F.when(_has(low, x), F.when(F.size(_places(words, x)) > 0, label)) for x, label in phrases]))
+    every = every.withColumns({f"{p}starts": F.concat(*places), f"{p}base": labels})
 
     # Look up all terms of the templates whose phrases stand in the text; words are joined only where phrases can be there at all.
-    joined = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
-    any_cheap, sure = F.lit(False), []
-    for _, must, _ in templates:
-        cheap, whole = F.lit(True), F.lit(True)
-        for p in must:
-            cheap, whole = cheap & _has(F.col("__lower"), p), whole & F.contains(F.col("__joined"), F.lit(f" {p} "))
+    phrase_sets = list(dict.fromkeys(must for _, must, _ in templates))
+    any_cheap, whole = F.lit(False), []
+    for must in phrase_sets:
+        cheap, stands = F.lit(True), F.lit(True)
+        for x in must:
+            cheap, stands = cheap & _has(low, x), stands & F.contains(joined, F.lit(f" {x} "))
         any_cheap = any_cheap | cheap
-        sure.append(whole)
-    every = every.withColumn("__joined", F.when(any_cheap, joined).otherwise(F.lit("")))
-    every = every.withColumn("__sure", F.when(F.col("__joined") != "", F.array(*sure)).otherwise(F.array_repeat(F.lit(False), len(templates))))
-    is_sure = [F.get("__sure", F.lit(t)) for t in range(len(templates))]
-    looked_up = F.array_distinct(F.concat(*[F.when(x, _strings([w for w, _ in own])).otherwise(_strings([])) for x, own in zip(is_sure, terms, strict=True)]))
-    every = every.withColumn("__looked_up", looked_up)
-    at = F.filter(F.transform(words, lambda w, i: F.when(F.array_contains(F.col("__looked_up"), w), F.struct(i.alias("i"), w.alias("w")))), lambda x: x.isNotNull())
-    every = every.withColumn("__at", F.when(F.size("__looked_up") > 0, at).otherwise(F.array().cast("array<struct<i:int,w:string>>")))
-
-    # Intersect the postings by where the template would start: the longest run of equal starts among the sorted proposals.
-    scores = []
-    for own, found in zip(terms, is_sure, strict=True):
-        proposals = [_starts(w, p) for w, p in own]
-        runs = F.aggregate(
-            F.array_sort(F.concat(*proposals)),
-            F.struct(F.lit(None).cast("int").alias("start"), F.lit(0).alias("run"), F.lit(0).alias("best")),
-            lambda a, x: F.struct(
-                x.alias("start"), F.when(x == a["start"], a["run"] + 1).otherwise(F.lit(1)).alias("run"),
-                F.greatest(a["best"], F.when(x == a["start"], a["run"] + 1).otherwise(F.lit(1))).alias("best"),
-            ),
-            lambda a: a["best"],
-        )
-        score = runs / len(own)  # a place of a term proposes a start once
-        scores.append(F.when(found, F.when(score >= ENOUGH, score).otherwise(0.0)).otherwise(0.0))
-    every = every.withColumn("__scores", F.array(*scores))
-    found = F.array_compact(F.array(*[F.when(F.get("__scores", F.lit(t)) > 0, label) for t, (label, _, _) in enumerate(templates)]))
-
+        whole.append(stands)
+    every = every.withColumn(f"{p}joined", F.when(any_cheap, F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))).otherwise(F.lit("")))
+    every = every.withColumn(f"{p}sure", F.when(joined != "", F.array(*whole)).otherwise(F.array_repeat(F.lit(False), len(whole))))
+    is_sure = [F.get(sure, F.lit(phrase_sets.index(must))) for _, must, _ in templates]
+    wanted = F.array_distinct(F.concat(*[F.when(x, _strings([w for w, _ in own])).otherwise(_strings([])) for x, own in zip(is_sure, terms, strict=True)]))
+    found = F.filter(F.transform(words, lambda w, i: F.when(F.array_contains(wanted, w), F.struct(i.alias("i"), w.alias("w")))), lambda x: x.isNotNull())
+    every = every.withColumn(f"{p}at", F.when(F.exists(sure, lambda x: x), found).otherwise(F.array().cast("array<struct<i:int,w:string>>")))
+
+    # Intersect the postings by where the template would start; a place of a term proposes a start once.
+    shares = []
+    for own, is_there in zip(terms, is_sure, strict=True):
+        share = _longest_run(F.concat(*[_starts(at, w, i) for w, i in own])) / len(own)
+        shares.append(F.when(is_there, F.when(share >= ENOUGH, share).otherwise(0.0)).otherwise(0.0))
+    every = every.withColumn(f"{p}scores", F.when(F.size(at) > 0, F.array(*shares)).otherwise(F.array_repeat(F.lit(0.0), len(shares))))
+    own_labels = F.filter(F.zip_with(scores, _strings([label for label, _, _ in templates]), lambda x, label: F.when(x > 0, label)), lambda x: x.isNotNull())
+
+    text_of = lambda x: F.array_join(F.array_sort(F.array_distinct(x)), ",")
     result = F.struct(
-        F.size(words).cast("long").alias("n_words"), F.size("__starts").cast("long").alias("n_base"), F.array_min("__starts").cast("long").alias("first_word"), F.array_max("__starts").cast("long").alias("last_word"),
-        F.array_join(F.array_sort(F.array_distinct("__base")), ",").alias("base_labels"), F.array_join(F.array_sort(F.array_distinct(F.concat("__base", found))), ",").alias("labels"),
-        F.array_max("__scores").alias("score"),
+        F.size(words).cast("long").alias("n_words"), F.size(starts).cast("long").alias("n_base"), F.array_min(starts).cast("long").alias("first_word"), F.array_max(starts).cast("long").alias("last_word"),
+        text_of(base).alias("base_labels"), text_of(F.concat(base, own_labels)).alias("labels"), F.array_max(scores).alias("score"),
     )
-    return every.withColumn(out, result).drop("__lower", "__words", "__starts", "__base", "__joined", "__sure", "__looked_up", "__at", "__scores")
+    return every.select(*docs.columns, result.alias(out))
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
