@@ -6,7 +6,8 @@ length, holds the ratios that ordinary prose has: a text under its band repeats
 counters of the text itself decide, so a partition needs nothing from any other one. Hex under 3072 bytes has the ratios of prose and stays.
 
 Defined results: a null or empty text has no words and is rejected by the base rule; ties and repeated rows are judged one
-by one; extra columns, whatever their names, are left alone; an empty table gives an empty table.
+by one; extra columns stay as they are (a result column whose name is taken gets another, see ``free_name``); an empty
+table gives an empty table.
 """
 
 from __future__ import annotations
@@ -20,17 +21,18 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm.shared import bound_batches
+from shelfwise.llm.shared import bound_batches, free_name
 from shelfwise.llm.words import hash_words, utf8, windows
 
 CHUNK = 4096
 LEVEL = 3
-#: (bytes from which the band holds, least ratio, greatest ratio). Production parameters: the ratios of all documents of sf0.1 that pass the
-#: base rule, at the start of each band 0.566-0.745 (256 bytes), 0.482-0.698 (512), 0.442-0.592 (1024), 0.399-0.521 (2048), 0.383-0.478 (4096),
-#: 0.363-0.453 (8192) and 0.345-0.429 (16384), with room for other prose (licences of 12 KB have 0.33). Shorter texts tell nothing.
+#: (bytes, least ratio, greatest ratio); between two lengths the limits lie on a line over the logarithm of the length. Production parameters, fitted once
+#: on the labelled texts of sf0.1 and check_s: the least ratio is 0.006 to 0.01 under that of all texts of good quality that pass the base rule (texts of low
+#: quality whose words carry symbols or stand in rows of bars lie under it from 2 KB on, in part from 1 KB); the greatest leaves room for other prose.
+#: Texts under 256 bytes tell nothing. Prose of another kind (licences of 12 KB have 0.33) needs bands of its own.
 BANDS = (
-    (0, 0.0, 9.9), (256, 0.42, 0.86), (384, 0.41, 0.80), (512, 0.40, 0.76), (768, 0.37, 0.72), (1024, 0.35, 0.68), (1536, 0.34, 0.64), (2048, 0.33, 0.62),
-    (3072, 0.29, 0.58), (4096, 0.29, 0.55), (6144, 0.27, 0.50), (8192, 0.26, 0.50), (16384, 0.25, 0.48),
+    (256, 0.500, 0.86), (384, 0.505, 0.80), (512, 0.505, 0.76), (768, 0.485, 0.72), (1024, 0.472, 0.68), (1536, 0.458, 0.64), (2048, 0.450, 0.62), (3072, 0.442, 0.58),
+    (4096, 0.429, 0.55), (6144, 0.419, 0.50), (8192, 0.409, 0.50), (16384, 0.394, 0.48), (32768, 0.384, 0.48), (131072, 0.330, 0.48),
 )
 #: (bytes from which it holds, greatest quotient of the ratio and that of the byte frequencies alone): over all documents of sf0.1 and check_s
 #: at most 1.009 from 3072 bytes and 0.975 from 4096; hex has 1.037-1.059 and 1.007-1.051.
@@ -41,8 +43,15 @@ BAD_CHUNKS = 0.25
 SIGNALS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, whole_ratio double, least_chunk_ratio double, greatest_chunk_ratio double, reason string"
 
 
+_LENGTHS, _LEAST, _MOST = (np.array(x, np.float64) for x in zip(*BANDS, strict=True))
+
+
 def band(n_bytes: int) -> tuple[float, float]:
-    return next((low, high) for least, low, high in reversed(BANDS) if n_bytes >= least)
+    """Least and greatest ratio of a text or chunk of so many bytes."""
+    if n_bytes < _LENGTHS[0]:
+        return 0.0, np.inf
+    at = np.log2(n_bytes)
+    return float(np.interp(at, np.log2(_LENGTHS), _LEAST)), float(np.interp(at, np.log2(_LENGTHS), _MOST))
 
 
 def frequency_ratio(raw: bytes) -> float:
@@ -126,7 +135,7 @@ def signals(text: Column) -> Column:
 def judge(docs: DataFrame, text_col: str = "text", out: str = "quality_signals") -> DataFrame:
     """``docs`` with the struct of SIGNALS in column ``out``."""
     bound_batches(docs.sparkSession)
-    return docs.withColumn(out, signals(F.col(text_col)))
+    return docs.withColumn(free_name(docs, out), signals(F.col(text_col)))
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,4 +145,5 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go."""
-    return judge(docs, out="__quality").where("__quality.kept").drop("__quality")
+    own = free_name(docs, "quality")
+    return judge(docs, out=own).where(f"{own}.kept").drop(own)
