@@ -11,12 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Cumulative probabilities of a Poisson(1) count of 0, 1, 2, ...
-_POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.9999988747974020)
+POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.9999988747974020)
 
 
 def poisson_count(u: Column) -> Column:
     out = F.lit(0)
-    for p in _POISSON:
+    for p in POISSON:
         out = out + F.when(u >= p, 1).otherwise(0)
     return out
 
@@ -25,7 +25,8 @@ def fraction_interval(rows: DataFrame, keys: Sequence[str], row_key: Sequence[st
     """(keys, ci_low, ci_high, n_boot); no rows where there is nothing to resample or ``replicates`` is 0."""
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     each = rows.select(*keys, *[c for c in row_key if c not in keys], F.col(indicator).cast("double").alias("__x"), w.alias("__w"), F.explode(F.sequence(F.lit(1), F.lit(max(replicates, 1)))).alias("__b")).where(F.lit(replicates > 0))
-    u = F.pmod(F.xxhash64(*row_key, "__b", F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
+    name = F.concat_ws("|", *[F.col(c).cast("string") for c in row_key], F.col("__b").cast("string"), F.lit(str(seed)))
+    u = F.conv(F.substring(F.md5(name.cast("binary")), 1, 13), 16, 10).cast("long") / float(1 << 52)
     n = poisson_count(u)
     stats = each.groupBy(*keys, "__b").agg((F.sum(n * F.col("__w") * F.col("__x")) / F.nullif(F.sum(n * F.col("__w")), F.lit(0.0))).alias("__s"))
     return stats.where("__s is not null").groupBy(*keys).agg(F.percentile("__s", F.lit(alpha / 2)).alias("ci_low"), F.percentile("__s", F.lit(1 - alpha / 2)).alias("ci_high"), F.lit(replicates).alias("n_boot"))

@@ -130,3 +130,27 @@ def score_validity(context: DataFrame, deltas: DataFrame, cell: Sequence[str] =
     focals = scenarios.groupBy(*cell).agg(F.count_distinct("focal").alias("n_focals"))
     out = ranges.join(own, keys, "left").join(sub, keys, "left").join(mono, keys, "left").join(focals, list(cell), "left")
     return out.withColumn("gate", coherence_gate(F.col("own_price_sign"), F.col("substitution_mass"), F.col("frac_in_band"), F.col("frac_wrong_sign"), F.col("monotonicity")))
+
+
+def scenario_checks(context: DataFrame, deltas: DataFrame, cell: Sequence[str] = CELL, by: Sequence[str] = (), elasticities: DataFrame | None = None, band: tuple[float, float] = GENERIC_BAND, complements: DataFrame | None = None, expected_sign: int | None = None, paired: bool = True, resid_tol: float = 0.0) -> DataFrame:
+    """One row for each scenario with a focal (and each ``by``): its own and substitution signs and the gate over them.
+
+    ``elasticities`` (cell, by, affected, priced, elasticity) add range and cross plausibility of the cell; ``paired`` adds monotonicity
+    against the scenario of the same focal that moves the other way. What isn't asked for, or has no counterpart, is null and doesn't gate."""
+    keys = [*cell, *by]
+    frame, scenarios = sweep_frame(context, deltas, cell, by), scenario_map(context, cell).where("focal is not null and direction is not null")
+    on = [*keys, "intervention_id"]
+    own = own_price_sign(frame, scenarios, on).select(*on, "focal", F.col("frac_correct_sign").alias("own_price_sign"), "n_evaluated")
+    sub = substitution_sign(frame, scenarios, on, complements, resid_tol).select(*on, F.col("frac_redistribution_mass_correct").alias("substitution_mass"), F.col("frac_competitors_correct_count").alias("substitution_count"))
+    out = own.join(sub, on, "left")
+    if elasticities is not None:
+        diagonal = elasticities.where("affected_product_id = priced_product_id")
+        out = out.join(own_range(diagonal, keys, band), keys, "left").join(cross_plausibility(elasticities, keys, expected_sign=expected_sign), keys, "left")
+    else:
+        out = out.withColumns({c: F.lit(None).cast("double") for c in ("frac_in_band", "frac_wrong_sign")})
+    if paired:
+        mono = monotonicity(frame, scenarios, cell, by).select(*keys, "focal", F.col("frac_consistent").alias("monotonicity"))
+        out = out.join(mono, [*keys, "focal"], "left")
+    else:
+        out = out.withColumn("monotonicity", F.lit(None).cast("double"))
+    return out.withColumn("gate", coherence_gate(F.col("own_price_sign"), F.col("substitution_mass"), F.col("frac_in_band"), F.col("frac_wrong_sign"), F.col("monotonicity")))

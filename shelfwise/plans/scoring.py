@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions.columns import family
 from shelfwise.operators import counterfactual, elasticity, forecast, validity
 from shelfwise.sources.submissions import duplicate_entries
+from shelfwise.staging import staged
 
 KEYS = ("cell_slug", "submission_name")
 HEADLINE = "pooled_own_wmpe_substitution_wape"
@@ -31,6 +35,31 @@ def _status(out: DataFrame, name: str, absent: str = "not_submitted") -> DataFra
     return out.withColumn(name, F.when(F.col(name).isNull(), F.from_json(F.lit(f'{{"status": "{absent}"}}'), out.schema[name].dataType)).otherwise(F.col(name)))
 
 
+#: The payload's block of each task.
+BLOCKS = {"forecast": "sales_forecasting", "elasticity": "elasticity_recovery", "counterfactual": "counterfactual_prediction"}
+
+
+def with_problems(payloads: DataFrame, told: DataFrame) -> DataFrame:
+    """Payloads in which the tasks that ``told`` (submission_name, cell_slug, task, status, ...) calls ``invalid_format`` have that status; other tasks keep their scores."""
+    bad = told.where("status = 'invalid_format'").groupBy(*KEYS).agg(F.collect_set("task").alias("__bad"))
+    out = payloads.join(bad, list(KEYS), "left")
+    for task, block in BLOCKS.items():
+        invalid = F.from_json(F.lit('{"status": "invalid_format"}'), out.schema[block].dataType)
+        out = out.withColumn(block, F.when(F.array_contains("__bad", task), invalid).otherwise(F.col(block)))
+    return out.drop("__bad")
+
+
+def scored_apart(cells: Iterable[str], score: Callable[[str], DataFrame]) -> tuple[DataFrame | None, list[tuple[str, str]]]:
+    """Payloads of the cells that can be scored, written one cell at a time, and (cell_slug, reason) of those that fail: for a run whose one job over all cells broke off."""
+    done, failed = [], []
+    for slug in cells:
+        try:
+            done.append(staged(score(slug), "payloads"))
+        except Exception as e:  # whatever a cell's files do, the others are scored
+            failed.append((slug, f"scoring error: {str(e)[:500]}"))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), done) if done else None, failed
+
+
 def evaluate(keys: DataFrame, config: DataFrame, panel: DataFrame, weeks: DataFrame, elasticity_truth: DataFrame, sweep_truth: DataFrame, sweep_context: DataFrame, forecasts: DataFrame, matrices: DataFrame, deltas: DataFrame) -> DataFrame:
     """A payload for each of ``keys`` (cell_slug, submission_name). A task that a submission hasn't is ``not_submitted``, a matrix with doubled entries ``invalid_format``."""
     by = ("submission_name",)
@@ -81,8 +110,12 @@ def evaluate_actual(keys: DataFrame, config: DataFrame, panel: DataFrame, weeks:
     return out.withColumns({"elasticity_recovery": absent, "counterfactual_prediction": absent})
 
 
+#: Why a cell isn't scored.
+NOT_SENT, NO_TRUTH = "no submission subdirectory", "hidden truth absent (eval cell?)"
+
+
 def skipped(cells: DataFrame, with_truth: DataFrame, submitted: DataFrame) -> DataFrame:
     """(cell_slug, reason) of cells that aren't scored: no submission, or no truth."""
-    no_submission = cells.join(submitted.select("cell_slug").distinct(), "cell_slug", "left_anti").select("cell_slug", F.lit("no submission subdirectory").alias("reason"))
+    no_submission = cells.join(submitted.select("cell_slug").distinct(), "cell_slug", "left_anti").select("cell_slug", F.lit(NOT_SENT).alias("reason"))
     no_truth = cells.join(submitted.select("cell_slug").distinct(), "cell_slug", "left_semi").join(with_truth.select("cell_slug").distinct(), "cell_slug", "left_anti")
-    return no_submission.unionByName(no_truth.select("cell_slug", F.lit("hidden truth absent (eval cell?)").alias("reason")))
+    return no_submission.unionByName(no_truth.select("cell_slug", F.lit(NO_TRUTH).alias("reason")))

@@ -10,6 +10,7 @@ from shelfwise.operators.counterfactual import own_price_sweep
 from shelfwise.plans import scoring
 from shelfwise.queries import views as v
 from shelfwise.queries.scoring import rounded
+from shelfwise.staging import fewer_files, staged
 
 QUERIES, ORACLES = {}, {}
 
@@ -31,7 +32,7 @@ def _both(df: DataFrame, value: str) -> DataFrame:
 
 def payloads(spark: SparkSession, d: str) -> DataFrame:
     p = v.panel(spark, d)
-    rows = v.scenario_rows(p)
+    rows = staged(fewer_files(v.scenario_rows(p)), "scenarios")
     config = p.select("cell_slug").distinct().select("cell_slug", F.lit("test").alias("benchmark_version"), F.lit("log_log").alias("family"))
     keys = config.select("cell_slug").crossJoin(spark.createDataFrame([("full",), ("half",)], "submission_name string"))
     return scoring.evaluate(keys, config, p, v.weeks(p), v.matrix_truth(p), rows, rows, _both(v.predictions(p), "predicted_units"), _both(v.matrix(p), "elasticity"), _both(v.deltas(p), "predicted_delta_units"))
@@ -59,22 +60,59 @@ def seed_aggregate(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out.select(F.col("rank").cast("long").alias("rank"), "submission", "cell_type", "n_seeds", "own_price_bias", "own_price_bias_seed_sd", "forecast_error"))
 
 
-@query("leaderboard_display")
-def leaderboard_display(spark: SparkSession, d: str) -> DataFrame:
-    return board.displayed(board.over_seeds(board.leaderboard(payloads(spark, d))))
+_MATRIX = """, ent AS (SELECT subs.submission, e.*, coalesce(sent * CAST(f AS DOUBLE), 0.0) AS h FROM entries e, subs WHERE support),
+ow AS (SELECT submission, cell_slug, avg(CASE WHEN sign(h) = sign(epsilon_star) THEN 1.0 ELSE 0.0 END) AS sign_accuracy, sum(w * abs(h - epsilon_star)) / sum(w * abs(epsilon_star)) AS wmape, sqrt(avg(pow(h - epsilon_star, 2))) AS rmse, sum(w * (h - epsilon_star)) / sum(w * abs(epsilon_star)) AS wmpe, avg(h - epsilon_star) AS mean_signed_error FROM ent WHERE i = j GROUP BY 1, 2)"""
 
 
-@query("scorecard")
+@query("leaderboard_display", _BOARD + _MATRIX + """, ag AS (SELECT submission, cell_type, count(DISTINCT cell_slug) AS n_seeds, avg(own_price_bias) AS b, stddev_pop(own_price_bias) AS bs, avg(substitution_error) AS s, stddev_pop(substitution_error) AS ss, avg(forecast_error) AS f, avg(wmape) AS ee, avg(wmpe) AS eb FROM lb JOIN ow USING (submission, cell_slug) GROUP BY 1, 2)
+SELECT row_number() OVER (PARTITION BY cell_type ORDER BY abs(b), submission) AS rank, submission, cell_type, 'synthetic' AS data_arm, n_seeds, format('{:.3f} ± {:.3f}', b, bs) AS own_price_bias, format('{:.3f} ± {:.3f}', s, ss) AS substitution_error, format('{:.3f}', f) AS forecast_error, format('{:.3f}', ee) AS elasticity_own_error, format('{:.3f}', eb) AS elasticity_own_bias,
+  '' AS actual_forecast_error, '' AS validity_own_sign_frac, '' AS validity_substitution_frac, '' AS validity_range_in_band, '' AS validity_monotonicity_frac FROM ag""")
+def leaderboard_display(spark: SparkSession, d: str) -> DataFrame:
+    out = board.displayed(board.over_seeds(board.leaderboard(payloads(spark, d))))
+    return out.withColumn("rank", F.col("rank").cast("long"))
+
+
+_CLASSES = ("substitute", "complement", "unrelated")
+_OF_CLASS = ", ".join(
+    f"round(CASE WHEN tp_{c} > 0 THEN 2.0 * tp_{c} / (2 * tp_{c} + fp_{c} + fn_{c}) WHEN tp_{c} + fp_{c} + fn_{c} > 0 THEN 0.0 END, 8) AS l2_cross_f1_{c}, round(wa_{c}, 8) AS l2_cross_wmape_{c}, round(rm_{c}, 8) AS l2_cross_rmse_{c}, round(wp_{c}, 8) AS l2_cross_wmpe_{c}" for c in _CLASSES
+)
+_BY_CLASS = ", ".join(
+    f"count(*) FILTER (tc = '{c}' AND hc = '{c}') AS tp_{c}, count(*) FILTER (tc <> '{c}' AND hc = '{c}') AS fp_{c}, count(*) FILTER (tc = '{c}' AND hc <> '{c}') AS fn_{c}, sum(w * abs(h - epsilon_star)) FILTER (tc = '{c}') / sum(w * abs(epsilon_star)) FILTER (tc = '{c}') AS wa_{c}, "
+    f"sqrt(avg(pow(h - epsilon_star, 2)) FILTER (tc = '{c}')) AS rm_{c}, sum(w * (h - epsilon_star)) FILTER (tc = '{c}') / sum(w * abs(epsilon_star)) FILTER (tc = '{c}') AS wp_{c}"
+    for c in _CLASSES
+)
+_SCORECARD = _BOARD + _MATRIX + f""", fp AS (SELECT s.submission, t.cell_slug, t.product_id, sum(predicted_units * CAST(f AS DOUBLE) - true_units) AS se FROM truth t LEFT JOIN pred USING (cell_slug, product_id, store_id, week), subs s GROUP BY 1, 2, 3), fb AS (SELECT submission, cell_slug, sum(w * se) / sum(w * tru) AS bias FROM fp JOIN fs USING (submission, cell_slug, product_id) JOIN weights USING (cell_slug, product_id) GROUP BY 1, 2),
+cr AS (SELECT ent.*, lim, CASE WHEN cond > lim THEN 'substitute' WHEN cond < -lim THEN 'complement' ELSE 'unrelated' END AS tc, CASE WHEN h - (epsilon_star - cond) > lim THEN 'substitute' WHEN h - (epsilon_star - cond) < -lim THEN 'complement' ELSE 'unrelated' END AS hc FROM ent JOIN limits USING (cell_slug) WHERE i <> j),
+rk AS (SELECT *, row_number() OVER (PARTITION BY submission, cell_slug, affected_product_id ORDER BY abs(h) DESC, priced_product_id) AS a, row_number() OVER (PARTITION BY submission, cell_slug, affected_product_id ORDER BY abs(epsilon_star) DESC, priced_product_id) AS b FROM cr),
+gn AS (SELECT submission, cell_slug, affected_product_id, sum(abs(epsilon_star) / log2(a + 1)) AS d, sum(abs(epsilon_star) / log2(b + 1)) AS i, sum(CASE WHEN a <= 5 THEN abs(epsilon_star) / log2(a + 1) ELSE 0 END) AS d5, sum(CASE WHEN b <= 5 THEN abs(epsilon_star) / log2(b + 1) ELSE 0 END) AS i5 FROM rk GROUP BY 1, 2, 3),
+nd AS (SELECT submission, cell_slug, avg(CASE WHEN i > 0 THEN d / i END) AS ndcg, avg(CASE WHEN i5 > 0 THEN d5 / i5 END) AS ndcg5 FROM gn GROUP BY 1, 2),
+cs AS (SELECT submission, cell_slug, any_value(lim) AS lim, sum(w * abs(h - epsilon_star)) / sum(w * abs(epsilon_star)) AS wa, sqrt(avg(pow(h - epsilon_star, 2))) AS rm, sum(w * (h - epsilon_star)) / sum(w * abs(epsilon_star)) AS wp, avg(h - epsilon_star) AS ms, {_BY_CLASS} FROM cr GROUP BY 1, 2)
+SELECT cell_slug AS cell, round(forecast_error, 8) AS l1_demand_wmape, round(bias, 8) AS l1_demand_wmpe, round(sign_accuracy, 8) AS l2_own_sign_accuracy, round(wmape, 8) AS l2_own_wmape, round(rmse, 8) AS l2_own_rmse, round(wmpe, 8) AS l2_own_wmpe, round(mean_signed_error, 8) AS l2_own_mean_signed_error,
+  round(ndcg, 8) AS l2_cross_ndcg, round(ndcg5, 8) AS l2_cross_ndcg_at_5, round(wa, 8) AS l2_cross_wmape, round(rm, 8) AS l2_cross_rmse, round(wp, 8) AS l2_cross_wmpe, round(ms, 8) AS l2_cross_mean_signed_error, {_OF_CLASS}, round(lim, 8) AS l2_unrelated_abs_threshold
+FROM fe JOIN fb USING (submission, cell_slug) JOIN ow USING (submission, cell_slug) JOIN nd USING (submission, cell_slug) JOIN cs USING (submission, cell_slug)"""
+
+
+@query("scorecard", _SCORECARD)
 def scorecard(spark: SparkSession, d: str) -> DataFrame:
-    return board.scorecard(payloads(spark, d))
+    return rounded(board.scorecard(payloads(spark, d)), 8)
+
 
+_WAPE = ", ".join(f"round(max(CASE WHEN intervention_id = '{i}' THEN s END), 6) AS \"{i}\"" for i, _, _ in v.SCENARIOS)
 
-@query("scenario_matrix")
+
+@query("scenario_matrix", f""", f AS (SELECT net.*, focal, max(product_id = focal) OVER (PARTITION BY cell_slug, intervention_id, store_id, week) AS carried FROM net JOIN scenmap USING (cell_slug, intervention_id)),
+h AS (SELECT cell_slug, intervention_id, any_value(focal) AS focal, sum(abs(net_pred - net_true)) FILTER (carried AND product_id <> focal) AS c, sum(abs(net_true)) FILTER (carried AND product_id <> focal) AS e FROM f GROUP BY 1, 2), w AS (SELECT cell_slug, intervention_id, CASE WHEN focal IS NOT NULL AND e > 1 THEN c / e END AS s FROM h)
+SELECT cell_slug AS cell, {_WAPE} FROM w GROUP BY 1""")
 def scenario_matrix(spark: SparkSession, d: str) -> DataFrame:
-    return board.scenario_matrix(payloads(spark, d).where("submission_name = 'full'"))
+    return rounded(board.scenario_matrix(payloads(spark, d).where("submission_name = 'full'")))
+
+
+_ACTUAL = _BOARD + """, sw AS (SELECT subs.submission, cell_slug, product_id, step, units, units * (pow(CAST(step AS DOUBLE), -1.6) - 1) * CAST(f AS DOUBLE) AS dq FROM held, (VALUES (1.1), (0.9)) AS legs(step), subs),
+el AS (SELECT submission, cell_slug, product_id, sum(dq) / sum(units) / 0.1 AS e FROM sw WHERE step > 1 GROUP BY 1, 2, 3), rg AS (SELECT submission, cell_slug, avg(CASE WHEN e BETWEEN -3 AND -1 THEN 1.0 ELSE 0.0 END) AS in_band, avg(CASE WHEN e >= 0 THEN 1.0 ELSE 0.0 END) AS wrong FROM el GROUP BY 1, 2),
+sg AS (SELECT submission, cell_slug, avg(CASE WHEN dq < 0 THEN 1.0 ELSE 0.0 END) FILTER (step > 1) AS own_sign, avg(CASE WHEN (dq < 0) = (step > 1) THEN 1.0 ELSE 0.0 END) AS mono FROM sw GROUP BY 1, 2)"""
 
 
-@query("actual_arm")
+@query("actual_arm", _ACTUAL + """ SELECT cell_slug, submission AS submission_name, 'actual' AS data_arm, 'actual' AS family, round(forecast_error, 6) AS demand_wmape, CASE WHEN own_sign < 0.9 THEN 'FAIL' WHEN in_band < 0.8 OR wrong > 0 OR mono < 0.9 THEN 'WARN' ELSE 'PASS' END AS verdict, 'not_applicable_actual_data' AS status FROM fe JOIN rg USING (submission, cell_slug) JOIN sg USING (submission, cell_slug)""")
 def actual_arm(spark: SparkSession, d: str) -> DataFrame:
     """The panel scored as real data: each focal's own sweep, with the scenarios' deltas scaled to it."""
     p = v.panel(spark, d)

@@ -12,6 +12,7 @@ from shelfwise.plans import actual
 from shelfwise.queries import views as v
 from shelfwise.queries.scoring import rounded
 from shelfwise.sources.movement import clean_movement
+from shelfwise.staging import fewer_files, staged
 
 QUERIES, ORACLES = {}, {}
 
@@ -164,12 +165,22 @@ def loglog_elasticities(spark: SparkSession, d: str) -> DataFrame:
     return rounded(loglog.elasticities(_coefficients(p), _weights(p), p))
 
 
-@query("loglog_sweep_deltas")
+_SWEEP = _LEVELS + """, mo AS (SELECT cell_slug, median(off) AS mo FROM lev GROUP BY 1), lg AS (SELECT cell_slug, intervention_id, leg, product_id, store_id, week, n, CASE leg WHEN 0 THEN baseline_price ELSE intervention_price END AS price FROM scen, (VALUES (0), (1)) AS l(leg)),
+sl AS (SELECT cell_slug, intervention_id, leg, store_id, week, product_id, avg(ln(greatest(price, 0.01))) AS lp FROM lg GROUP BY ALL), su AS (SELECT cell_slug, intervention_id, leg, product_id, avg(lp) AS us FROM sl GROUP BY ALL),
+sn AS (SELECT t.cell_slug, t.intervention_id, t.leg, t.product_id, t.store_id, t.week, sum(w * coalesce(sl.lp, su.us, 0)) AS npi FROM lg t JOIN kw ON t.cell_slug = kw.cell_slug AND t.product_id = affected_product_id
+  LEFT JOIN sl ON sl.cell_slug = t.cell_slug AND sl.intervention_id = t.intervention_id AND sl.leg = t.leg AND sl.store_id = t.store_id AND sl.week = t.week AND sl.product_id = priced_product_id
+  LEFT JOIN su ON su.cell_slug = t.cell_slug AND su.intervention_id = t.intervention_id AND su.leg = t.leg AND su.product_id = priced_product_id GROUP BY ALL),
+x AS (SELECT lg.*, ln(greatest(price, 0.01)) AS lp, npi, coalesce(off, mo) AS off, p_bar, npi_bar, 2 * pi() * (week % 52) / 52 AS ph FROM lg JOIN sn USING (cell_slug, intervention_id, leg, product_id, store_id, week) LEFT JOIN lev USING (cell_slug, product_id, store_id) JOIN mo USING (cell_slug)),
+mean AS (SELECT *, exp(0.1 + off + (-1.0 - n / 50.0) * (lp - coalesce(p_bar, lp)) + n / 100.0 * (npi - coalesce(npi_bar, npi)) + 0.05 * sin(ph) - 0.02 * cos(ph) + 0.01 * sin(2 * ph)) AS u FROM x)"""
+
+
+@query("loglog_sweep_deltas", _SWEEP + " SELECT cell_slug, intervention_id, product_id, store_id, week, round(sum(CASE leg WHEN 1 THEN u ELSE -u END), 5) + 0.0 AS predicted_delta_units FROM mean GROUP BY ALL")
 def loglog_sweep_deltas(spark: SparkSession, d: str) -> DataFrame:
     """Scenario responses of given coefficients."""
     p = v.panel(spark, d)
     levels = loglog.store_levels(loglog.prepared(v.training(p), _weights(p)))
-    return loglog.sweep_deltas(v.scenario_rows(p), _coefficients(p), levels, _weights(p))
+    out = loglog.sweep_deltas(v.scenario_rows(p), _coefficients(p), levels, _weights(p))
+    return out.withColumn("predicted_delta_units", F.round("predicted_delta_units", 5) + 0.0)
 
 
 @query("loglog_fit")
@@ -219,7 +230,7 @@ def incidence_slope(spark: SparkSession, d: str) -> DataFrame:
     return rounded(shares.incidence(v.training(v.panel(spark, d))), 8)
 
 
-_STORE = ", su AS (SELECT cell_slug, store_id, product_id, sum(units) AS u FROM train GROUP BY 1, 2, 3), st AS (SELECT cell_slug, store_id, sum(u) AS t FROM su GROUP BY 1, 2 HAVING sum(u) > 0), ss AS (SELECT st.cell_slug, st.store_id, tp.product_id, coalesce(u, 0) / t AS share FROM st JOIN (SELECT DISTINCT cell_slug, product_id FROM train) tp USING (cell_slug) LEFT JOIN su ON su.cell_slug = st.cell_slug AND su.store_id = st.store_id AND su.product_id = tp.product_id)"
+_STORE = ", su AS MATERIALIZED (SELECT cell_slug, store_id, product_id, sum(units) AS u FROM train GROUP BY 1, 2, 3), st AS (SELECT cell_slug, store_id, sum(u) AS t FROM su GROUP BY 1, 2 HAVING sum(u) > 0), ss AS (SELECT st.cell_slug, st.store_id, tp.product_id, coalesce(u, 0) / t AS share FROM st JOIN (SELECT DISTINCT cell_slug, product_id FROM train) tp USING (cell_slug) LEFT JOIN su ON su.cell_slug = st.cell_slug AND su.store_id = st.store_id AND su.product_id = tp.product_id)"
 
 
 @query("store_shares", _STORE + " SELECT cell_slug, store_id, product_id, round(share, 6) AS share FROM ss")
@@ -254,30 +265,61 @@ def market_levels(spark: SparkSession, d: str) -> DataFrame:
 
 def _choice(p: DataFrame):
     t = v.training(p)
-    s = shares.store_shares(t)
+    s = staged(fewer_files(shares.store_shares(t)), "store-shares")
     scale = shares.price_scale(s, _targets(p))
     return s, shares.store_prices(t, s), scale, shares.rho(shares.incidence(t), scale), *shares.market_levels(t)
 
 
-@query("choice_forecast")
+_CHOICE = _SCALE + _INC + _INC_DM + f""", o AS (SELECT cell_slug, store_id, product_id, avg(price) AS own FROM train GROUP BY 1, 2, 3), a AS (SELECT cell_slug, product_id, avg(own) AS across FROM o GROUP BY 1, 2), g AS (SELECT cell_slug, avg(p) AS overall FROM (SELECT cell_slug, product_id, avg(price) AS p FROM train GROUP BY 1, 2) GROUP BY 1),
+pr AS (SELECT ss.cell_slug, ss.store_id, ss.product_id, share, scale, coalesce(own, across, overall) AS mean_price FROM ss LEFT JOIN o USING (cell_slug, store_id, product_id) LEFT JOIN a USING (cell_slug, product_id) JOIN g USING (cell_slug) JOIN scl USING (cell_slug)),
+inc AS (SELECT cell_slug, sum(x * y) / sum(x * x) AS slope FROM {_INC_LAST} GROUP BY 1), rh AS (SELECT cell_slug, CASE WHEN scale >= -1e-9 THEN 0.0 ELSE least(greatest(slope / scale, 0.0), 1.5) END AS rho FROM inc JOIN scl USING (cell_slug)),
+vol AS (SELECT cell_slug, store_id, week, sum(units) AS m FROM train GROUP BY 1, 2, 3), lvl AS (SELECT cell_slug, store_id, avg(m) AS level FROM vol GROUP BY 1, 2), usual AS (SELECT cell_slug, median(level) AS usual FROM lvl GROUP BY 1),
+rel AS (SELECT cell_slug, m / level AS r, sin(2 * pi() * (week % 52) / 52) AS s, cos(2 * pi() * (week % 52) / 52) AS c FROM vol JOIN lvl USING (cell_slug, store_id)),
+mom AS (SELECT cell_slug, count(*) AS n, sum(s) AS s, sum(c) AS c, sum(s * s) AS ss, sum(s * c) AS sc, sum(c * c) AS cc, sum(r) AS r, sum(s * r) AS sr, sum(c * r) AS cr FROM rel GROUP BY 1),
+det AS (SELECT *, n * (ss * cc - sc * sc) - s * (s * cc - sc * c) + c * (s * sc - ss * c) AS d FROM mom),
+sea AS (SELECT cell_slug, (r * (ss * cc - sc * sc) - s * (sr * cc - sc * cr) + c * (sr * sc - ss * cr)) / d AS c0, (n * (sr * cc - sc * cr) - r * (s * cc - sc * c) + c * (s * cr - sr * c)) / d AS c1, (n * (ss * cr - sr * sc) - s * (s * cr - sr * c) + r * (s * sc - ss * c)) / d AS c2 FROM det)"""
+_MARKET = "coalesce(level, usual) * greatest(c0 + c1 * sin(2 * pi() * (week % 52) / 52) + c2 * cos(2 * pi() * (week % 52) / 52), 0.05)"
+
+
+@query("choice_forecast", _CHOICE + f""", seen AS (SELECT cell_slug, store_id, week, product_id, avg(price) AS price FROM held GROUP BY ALL), grid AS (SELECT w.week, pr.*, greatest(share, 1e-4) * exp(scale * (coalesce(price, mean_price) - mean_price)) AS raw FROM (SELECT DISTINCT cell_slug, store_id, week FROM held) w JOIN pr USING (cell_slug, store_id) LEFT JOIN seen ON seen.cell_slug = pr.cell_slug AND seen.store_id = pr.store_id AND seen.week = w.week AND seen.product_id = pr.product_id),
+un AS (SELECT cell_slug, store_id, week, product_id, raw / sum(raw) OVER (PARTITION BY cell_slug, store_id, week) * {_MARKET} AS u FROM grid LEFT JOIN lvl USING (cell_slug, store_id) JOIN usual USING (cell_slug) JOIN sea USING (cell_slug))
+SELECT h.cell_slug, h.product_id, h.store_id, h.week, round(coalesce(u, 0.0), 6) AS predicted_units FROM held h LEFT JOIN un USING (cell_slug, store_id, week, product_id)""")
 def choice_forecast(spark: SparkSession, d: str) -> DataFrame:
     p = v.panel(spark, d)
     s, prices, scale, _, levels, seasons = _choice(p)
-    return shares.predict_units(v.held_out(p), s, prices, scale, levels, seasons)
+    return rounded(shares.predict_units(v.held_out(p), s, prices, scale, levels, seasons))
+
+
+_CHOICE_SWEEP = _CHOICE + f""", mv AS (SELECT cell_slug, intervention_id, count(DISTINCT product_id) AS n_focals, min(product_id) AS focal FROM scen WHERE abs(intervention_price - baseline_price) > 1e-12 GROUP BY 1, 2),
+seen AS (SELECT cell_slug, intervention_id, store_id, week, product_id, avg(baseline_price) AS bp, avg(intervention_price) AS ip FROM scen GROUP BY ALL),
+g0 AS (SELECT w.intervention_id, w.week, pr.*, coalesce(bp, mean_price) AS p0, coalesce(ip, mean_price) AS p1, n_focals, focal, coalesce(pr.product_id = focal, false) AS own, ((CAST(split_part(focal, '#', 2) AS INTEGER) + CAST(split_part(pr.product_id, '#', 2) AS INTEGER)) % 10) / 10.0 AS dd
+  FROM (SELECT DISTINCT cell_slug, intervention_id, store_id, week FROM scen) w JOIN pr USING (cell_slug, store_id) LEFT JOIN seen ON seen.cell_slug = pr.cell_slug AND seen.intervention_id = w.intervention_id AND seen.store_id = pr.store_id AND seen.week = w.week AND seen.product_id = pr.product_id LEFT JOIN mv ON mv.cell_slug = pr.cell_slug AND mv.intervention_id = w.intervention_id),
+g1 AS (SELECT *, greatest(share, 1e-4) * exp(scale * (p0 - mean_price)) / sum(greatest(share, 1e-4) * exp(scale * (p0 - mean_price))) OVER pl AS s0, greatest(share, 1e-4) * exp(scale * (p1 - mean_price)) / sum(greatest(share, 1e-4) * exp(scale * (p1 - mean_price))) OVER pl AS s1 FROM g0 WINDOW pl AS (PARTITION BY cell_slug, intervention_id, store_id, week)),
+g2 AS (SELECT *, CASE WHEN own THEN 0.0 ELSE s0 * coalesce(0.5 * exp(-dd * dd / (2 * 0.35 * 0.35)) + 0.5, 1.0) END AS w FROM g1),
+g3 AS (SELECT *, sum(CASE WHEN own THEN s0 - s1 END) OVER pl AS lost, sum(w) OVER pl AS total, ln(greatest(sum(s0 * exp(scale * (p1 - p0))) OVER pl, 1e-9)) AS dcv FROM g2 WINDOW pl AS (PARTITION BY cell_slug, intervention_id, store_id, week)),
+g4 AS (SELECT *, CASE WHEN n_focals = 1 THEN CASE WHEN own THEN s1 ELSE s0 + CASE WHEN total > 0 THEN lost * w / total ELSE 0.0 END END ELSE s1 END AS cf FROM g3),
+dl AS (SELECT cell_slug, intervention_id, store_id, week, product_id, cf * {_MARKET} * exp(least(greatest(rho * dcv, -10.0), 10.0)) - s0 * {_MARKET} AS d FROM g4 JOIN rh USING (cell_slug) LEFT JOIN lvl USING (cell_slug, store_id) JOIN usual USING (cell_slug) JOIN sea USING (cell_slug))"""
 
 
-@query("choice_sweep_deltas")
+@query("choice_sweep_deltas", _CHOICE_SWEEP + " SELECT s.cell_slug, s.intervention_id, s.product_id, s.store_id, s.week, round(coalesce(d, 0.0), 6) + 0.0 AS predicted_delta_units FROM scen s LEFT JOIN dl USING (cell_slug, intervention_id, store_id, week, product_id)")
 def choice_sweep_deltas(spark: SparkSession, d: str) -> DataFrame:
     p = v.panel(spark, d)
     s, prices, scale, r, levels, seasons = _choice(p)
-    return shares.sweep_deltas(v.scenario_rows(p), s, prices, scale, r, levels, seasons, text.gaussian_kernel(_ranks(p)))
+    out = shares.sweep_deltas(v.scenario_rows(p), s, prices, scale, r, levels, seasons, text.gaussian_kernel(_ranks(p)))
+    return out.withColumn("predicted_delta_units", F.round("predicted_delta_units", 6) + 0.0)
 
 
-@query("choice_elasticities")
+@query("choice_elasticities", _CHOICE + """, pool AS (SELECT cell_slug, product_id, avg(share) AS share, avg(mean_price) AS mean_price FROM pr GROUP BY 1, 2), p0 AS (SELECT *, greatest(share, 1e-4) / sum(greatest(share, 1e-4)) OVER (PARTITION BY cell_slug) AS s0, CAST(split_part(product_id, '#', 2) AS INTEGER) AS n FROM pool),
+e0 AS (SELECT i.cell_slug, i.product_id AS affected_product_id, k.product_id AS priced_product_id, i.product_id = k.product_id AS own, i.s0, k.s0 AS sk, exp(scale * 0.1 * k.mean_price) AS bump, ((i.n + k.n) % 10) / 10.0 AS dd, rho FROM p0 i JOIN p0 k USING (cell_slug) JOIN scl USING (cell_slug) JOIN rh USING (cell_slug)),
+e1 AS (SELECT *, ln(greatest(1 + sk * (bump - 1), 1e-9)) AS dcv, sk * bump / (1 + sk * (bump - 1)) AS s1, CASE WHEN own THEN 0.0 ELSE s0 * coalesce(0.5 * exp(-dd * dd / (2 * 0.35 * 0.35)) + 0.5, 1.0) END AS w FROM e0),
+e2 AS (SELECT *, sum(CASE WHEN own THEN s0 - s1 END) OVER pl AS lost, sum(w) OVER pl AS total FROM e1 WINDOW pl AS (PARTITION BY cell_slug, priced_product_id)),
+e3 AS (SELECT *, CASE WHEN own THEN s1 ELSE s0 + CASE WHEN total > 0 THEN lost * w / total ELSE 0.0 END END AS cf FROM e2)
+SELECT cell_slug, affected_product_id, priced_product_id, round(CASE WHEN s0 > 0 THEN (cf * exp(least(greatest(rho * dcv, -10.0), 10.0)) - s0) / s0 / 0.1 ELSE 0.0 END, 6) + 0.0 AS elasticity FROM e3""")
 def choice_elasticities(spark: SparkSession, d: str) -> DataFrame:
     p = v.panel(spark, d)
     s, prices, scale, r, _, _ = _choice(p)
-    return shares.elasticities(s, prices, scale, r, text.gaussian_kernel(_ranks(p)))
+    out = shares.elasticities(s, prices, scale, r, text.gaussian_kernel(_ranks(p)))
+    return out.withColumn("elasticity", F.round("elasticity", 6) + 0.0)
 
 
 @query("naive_tables", "SELECT cell_slug, intervention_id, product_id, store_id, week, CAST(0 AS DOUBLE) AS predicted_delta_units FROM (SELECT DISTINCT cell_slug, intervention_id, product_id, store_id, week FROM scen)")

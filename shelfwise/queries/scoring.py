@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.operators import counterfactual, elasticity, forecast, validity
-from shelfwise.operators.bootstrap import fraction_interval
+from shelfwise.operators import bootstrap, counterfactual, elasticity, forecast, validity
 from shelfwise.queries import views as v
 
 QUERIES, ORACLES = {}, {}
@@ -246,8 +245,28 @@ def validity_gate(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out.select("cell_slug", "n_products", "own_price_sign", F.round("substitution_mass", 4).alias("substitution_mass"), "frac_in_band", "monotonicity", "gate.verdict"))
 
 
-@query("bootstrap_in_band")
+_CHECKS = _MONO + """, ow AS (SELECT cell_slug, intervention_id, focal, count(*) FILTER (sign(dq_pred) = -direction) / count(*) FILTER (dq_pred <> 0) AS own_sign, count(*) FILTER (dq_pred <> 0) AS n_evaluated FROM o GROUP BY 1, 2, 3),
+sb AS (SELECT t.cell_slug, t.intervention_id, sum(abs(net_pred)) FILTER (sign(net_pred) = direction AND abs(net_pred) > 1e-9) / sum(abs(net_pred)) FILTER (abs(net_pred) > 1e-9) AS mass FROM net t JOIN scenmap USING (cell_slug, intervention_id) WHERE product_id <> focal GROUP BY 1, 2),
+rg AS (SELECT cell_slug, avg(CASE WHEN sent BETWEEN -5 AND -0.2 THEN 1.0 WHEN sent IS NOT NULL THEN 0.0 END) AS in_band, avg(CASE WHEN sent >= 0 THEN 1.0 WHEN sent < 0 THEN 0.0 END) AS wrong FROM entries WHERE i = j GROUP BY 1)
+SELECT cell_slug, intervention_id, ow.focal, round(own_sign, 6) AS own_price_sign, n_evaluated, round(mass, 5) AS substitution_mass, round(in_band, 6) AS frac_in_band, round(frac_consistent, 6) AS monotonicity,
+  CASE WHEN own_sign < 0.9 THEN 'FAIL' WHEN mass < 0.55 OR in_band < 0.8 OR wrong > 0 OR frac_consistent < 0.9 THEN 'WARN' ELSE 'PASS' END AS verdict FROM ow LEFT JOIN sb USING (cell_slug, intervention_id) JOIN rg USING (cell_slug) LEFT JOIN mono ON mono.cell_slug = ow.cell_slug AND mono.focal = ow.focal"""
+
+
+@query("scenario_checks", _CHECKS.replace("SELECT cell_slug, intervention_id, ow.focal", "SELECT ow.cell_slug, intervention_id, ow.focal"))
+def scenario_checks(spark: SparkSession, d: str) -> DataFrame:
+    p = v.panel(spark, d)
+    out = validity.scenario_checks(v.scenario_rows(p), v.deltas(p), elasticities=v.matrix(p), resid_tol=1e-9)
+    return rounded(out.select("cell_slug", "intervention_id", "focal", "own_price_sign", "n_evaluated", F.round("substitution_mass", 5).alias("substitution_mass"), "frac_in_band", "monotonicity", "gate.verdict"))
+
+
+_POISSON = " + ".join(f"(CASE WHEN u >= {p!r} THEN 1 ELSE 0 END)" for p in bootstrap.POISSON)
+
+
+@query("bootstrap_in_band", f""", own AS (SELECT cell_slug, affected_product_id, CASE WHEN sent BETWEEN -2.0 AND -1.5 THEN 1.0 ELSE 0.0 END AS x FROM entries WHERE i = j AND sent IS NOT NULL),
+draws AS (SELECT own.*, b, CAST('0x' || substr(md5(cell_slug || '|' || affected_product_id || '|' || b || '|0'), 1, 13) AS BIGINT) / 4503599627370496.0 AS u FROM own, range(1, 1001) AS r(b)),
+st AS (SELECT cell_slug, b, sum(({_POISSON}) * x) / nullif(sum({_POISSON}), 0) AS s FROM draws GROUP BY 1, 2)
+SELECT cell_slug, round(quantile_cont(s, 0.025), 6) AS ci_low, round(quantile_cont(s, 0.975), 6) AS ci_high, 1000 AS n_boot FROM st WHERE s IS NOT NULL GROUP BY 1""")
 def bootstrap_in_band(spark: SparkSession, d: str) -> DataFrame:
     """Interval of the share of own elasticities within the band."""
     own = v.matrix(v.panel(spark, d)).where("affected_product_id = priced_product_id").withColumn("ok", F.col("elasticity").between(-2.0, -1.5).cast("int"))
-    return fraction_interval(own, v.CELL, ["cell_slug", "affected_product_id"], "ok")
+    return rounded(bootstrap.fraction_interval(own, v.CELL, ["cell_slug", "affected_product_id"], "ok"))

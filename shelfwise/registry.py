@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.queries import board, panels, scoring
+from shelfwise.queries import board, files, panels, scoring
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = scoring.QUERIES | panels.QUERIES | board.QUERIES
-ORACLES: dict[str, str] = scoring.ORACLES | panels.ORACLES | board.ORACLES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = scoring.QUERIES | panels.QUERIES | board.QUERIES | files.QUERIES
+ORACLES: dict[str, str] = scoring.ORACLES | panels.ORACLES | board.ORACLES | files.ORACLES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,9 +35,9 @@ _RUN = f"config STRUCT<benchmark_version: STRING, benchmark_family: {_FAMILY}, s
 MARKERS = ("release/scoring_params.json", "reports/run_config_resolved.json")
 
 
-def slug_of(path, depth: int = 2):
-    """The folder that lies ``depth`` above a file."""
-    return F.element_at(F.split(path, "/"), -1 - depth)
+def slug_of(path):
+    """The folder of the cell that a file (or a part of it) is in."""
+    return F.regexp_extract(path, "([^/]+)/(?:public|hidden|release|reports)/", 1)
 
 
 def discover(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
@@ -45,8 +46,8 @@ def discover(spark: SparkSession, root: str, pattern: str | None = None) -> Data
     for marker in MARKERS:
         try:
             own = spark.read.format("binaryFile").load(f"{root}/*/{marker}").select(slug_of(F.col("path")).alias("cell_slug"))
-        except Exception as e:  # no cell has this marker
-            if "PATH_NOT_FOUND" not in str(e):
+        except AnalysisException as e:  # no cell has this marker
+            if e.getCondition() != "PATH_NOT_FOUND":
                 raise
             continue
         found = own if found is None else found.unionByName(own)
@@ -57,10 +58,17 @@ def discover(spark: SparkSession, root: str, pattern: str | None = None) -> Data
 
 
 def read_table(spark: SparkSession, root: str, table: str, cells: str = "*") -> DataFrame:
-    """A table of all cells, by header name, ids as text; ``row_ord`` is the place in the source, for picks that go by file order."""
+    """A table of all cells, by header name, ids as text; ``row_ord`` is the place in the source, for picks that go by file order.
+
+    Cells without the file have no rows."""
     path, schema = TABLES[table]
     names = {f.name: f.dataType for f in schema}
-    raw = spark.read.option("header", True).option("enforceSchema", False).csv(f"{root}/{cells}/{path}")
+    try:
+        raw = spark.read.option("header", True).option("enforceSchema", False).csv(f"{root}/{cells}/{path}")
+    except AnalysisException as e:  # no cell has this table
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], T.StructType([T.StructField("cell_slug", _S), *schema, T.StructField("row_ord", T.LongType())]))
     cols = [F.col(c).try_cast(t).alias(c) if c in raw.columns else F.lit(None).cast(t).alias(c) for c, t in names.items()]
     return raw.select(slug_of(F.input_file_name()).alias("cell_slug"), *cols, F.monotonically_increasing_id().alias("row_ord"))
 
@@ -71,8 +79,8 @@ def read_config(spark: SparkSession, root: str, cells: str = "*") -> DataFrame:
     for place, (marker, schema, at) in enumerate(((MARKERS[0], _RELEASE, ""), (MARKERS[1], _RUN, "config."))):
         try:
             raw = spark.read.schema(schema).option("multiLine", True).json(f"{root}/{cells}/{marker}")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
                 raise
             continue
         parts.append(raw.select(slug_of(F.input_file_name()).alias("cell_slug"), F.coalesce(f"{at}benchmark_version", F.lit("unversioned")).alias("benchmark_version"), F.col(f"{at}benchmark_family.active_cell.model_family").alias("family"), F.col(f"{at}simulation.counterfactual_eval_weeks").alias("eval_week_count"), F.lit(place).alias("place")))
@@ -95,7 +103,33 @@ def read_payloads(spark: SparkSession, path: str, multi_line: bool = False) -> D
     return spark.read.schema(PAYLOAD).option("multiLine", multi_line).option("recursiveFileLookup", True).json(path)
 
 
+def write_table(df: DataFrame, root: str, table: str) -> None:
+    """A table of all cells into their folders, without ``cell_slug``; the cells' names, a row each, come to the driver."""
+    path, schema = TABLES[table]
+    for slug in [r[0] for r in df.select("cell_slug").distinct().collect()]:
+        df.where(F.col("cell_slug") == slug).select(*[c for c in schema.fieldNames() if c in df.columns]).write.option("header", True).csv(f"{root}/{slug}/{path}")
+
+
+def write_config(config: DataFrame, root: str) -> None:
+    """The release file of each cell, from (cell_slug, benchmark_version, family, eval_week_count)."""
+    shown = F.struct("benchmark_version", F.struct(F.struct(F.col("family").alias("model_family")).alias("active_cell")).alias("benchmark_family"), F.struct(F.col("eval_week_count").alias("counterfactual_eval_weeks")).alias("simulation"))
+    for slug in [r[0] for r in config.select("cell_slug").distinct().collect()]:
+        config.where(F.col("cell_slug") == slug).select(F.to_json(shown)).write.text(f"{root}/{slug}/{MARKERS[0]}")
+
+
 def write_submission(forecast: DataFrame, elasticity: DataFrame, deltas: DataFrame, path: str) -> None:
-    """The three CSV tables of a submission, a folder for each cell."""
+    """The three CSV tables of submissions, a folder for each cell, and for each variant where there is a column of that name."""
     for name, df in (("forecast_predictions", forecast), ("elasticity_matrix", elasticity), ("counterfactual_deltas", deltas)):
-        df.write.partitionBy("cell_slug").option("header", True).csv(f"{path}/{name}")
+        df.write.partitionBy(*[c for c in ("variant", "cell_slug") if c in df.columns]).option("header", True).csv(f"{path}/{name}")
+
+
+def write_fit_meta(coefficients: DataFrame, path: str) -> None:
+    """What a fit was like, one JSON line for each cell (and variant): products, and how many of them converged."""
+    keys = [c for c in ("variant", "cell_slug") if c in coefficients.columns]
+    meta = coefficients.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_products"), F.count_if("converged").alias("n_converged"))
+    meta.withColumns({f"__{c}": F.col(c) for c in keys}).write.partitionBy(*[f"__{c}" for c in keys]).json(path)
+
+
+def write_board(board: DataFrame, path: str) -> None:
+    """A leaderboard, scorecard or scenario matrix as CSV with a header."""
+    board.write.option("header", True).csv(path)

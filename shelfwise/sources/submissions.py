@@ -2,42 +2,69 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import reduce
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Columns and file of each task's table.
 REQUIRED = {
     "forecast": ("product_id", "store_id", "week", "predicted_units"),
     "elasticity": ("affected_product_id", "priced_product_id", "elasticity"),
     "counterfactual": ("intervention_id", "product_id", "store_id", "week", "predicted_delta_units"),
 }
 FILES = {"forecast": "forecast_predictions.csv", "elasticity": "elasticity_matrix.csv", "counterfactual": "counterfactual_deltas.csv"}
+STATUS = "submission_name string, cell_slug string, task string, status string, reason string"
 
 
-class SubmissionFormatError(ValueError):
+class BadTable(ValueError):
     """A submission table that can't be scored; the message says why."""
 
 
 def checked(df: DataFrame, task: str) -> DataFrame:
-    """The required columns, ids as text and week as a whole number; raises SubmissionFormatError if a column is missing."""
+    """The required columns, ids as text and week as a whole number; raises BadTable if a column is missing."""
     missing = [c for c in REQUIRED[task] if c not in df.columns]
     if missing:
-        raise SubmissionFormatError(f"{task}: missing column(s) {missing}; found {df.columns}")
+        raise BadTable(f"{task}: no column {', '.join(missing)} among {', '.join(df.columns) or 'none'}")
     keep = [c for c in ("submission_name", "cell_slug") if c in df.columns]
     cast = lambda c: F.col(c).try_cast("int") if c == "week" else F.col(c).cast("string") if c.endswith("_id") else F.col(c)
     return df.select(*keep, *[cast(c).alias(c) for c in REQUIRED[task]])
 
 
-def read_submission(spark: SparkSession, path: str, task: str) -> DataFrame:
-    """A submission file of one cell; measures stay text until they are scored, so that junk can be told from nothing."""
+def read_submission(spark: SparkSession, path: str, task: str) -> DataFrame | None:
+    """A submission file of one cell, or none if it isn't there; measures stay text until they are scored, so that junk can be told from nothing."""
     try:
         raw = spark.read.option("header", True).csv(path)
-    except Exception as e:
-        raise SubmissionFormatError(f"{task}: unreadable: {str(e)[:200]}") from e
-    if not raw.columns:
-        raise SubmissionFormatError(f"{task}: empty file")
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise BadTable(f"{task}: can't be read: {str(e)[:200]}") from e
     return checked(raw, task)
 
 
+def read_submissions(spark: SparkSession, root: str, keys: Iterable[tuple[str, str]]) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Tables of all submissions by task, from ``root``/submission/cell, and a row of STATUS for each (submission, cell) of ``keys`` and task:
+    ``ok``, ``not_submitted`` or ``invalid_format`` with its reason. A bad file leaves the others alone; only headers are read here."""
+    keys, tables, told = list(keys), {}, []
+    for task, file in FILES.items():
+        parts = [spark.createDataFrame([], "submission_name string, cell_slug string, " + ", ".join(f"{c} {'int' if c == 'week' else 'string'}" for c in REQUIRED[task]))]
+        for name, slug in keys:
+            status, reason = "ok", None
+            try:
+                own = read_submission(spark, f"{root}/{name}/{slug}/{file}", task)
+            except BadTable as e:
+                own, status, reason = None, "invalid_format", str(e)
+            if own is not None:
+                parts.append(own.select(F.lit(name).alias("submission_name"), F.lit(slug).alias("cell_slug"), *own.columns))
+            elif status == "ok":
+                status = "not_submitted"
+            told.append((name, slug, task, status, reason))
+        tables[task] = reduce(DataFrame.unionByName, parts)
+    return tables, spark.createDataFrame(told, STATUS)
+
+
 def duplicate_entries(elasticity: DataFrame) -> DataFrame:
     """(keys, n_duplicates) of matrices with an entry twice; these aren't scored but reported as ``invalid_format``."""
     keys = [c for c in ("submission_name", "cell_slug") if c in elasticity.columns]

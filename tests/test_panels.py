@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from shelfwise.operators import loglog, shares, text
 from shelfwise.plans import actual, grid
 from shelfwise.queries import panels
-from shelfwise.sources.movement import ActualDataNotAvailable, clean_movement, read_movement
-from shelfwise.sources.submissions import SubmissionFormatError, checked
+from shelfwise.sources.movement import NoMovementFile, clean_movement, read_movement
+from shelfwise.sources.submissions import BadTable, checked
 from shelfwise.streaming.movement import movement_stream
 
 
@@ -32,10 +32,10 @@ def test_actual_cell(spark, tmp_path):
     assert sorted(x.week for x in cell["eval_weeks"].collect())[-1] in (40, 42)
     assert {x.intervention_id.rsplit("_", 1)[1] for x in cell["sweep"].collect()} == {"plus", "minus"}
     assert clean_movement(read_movement(spark, str(tmp_path), "tti")).where("product_id = 'U333'").count() == 40
-    with pytest.raises(ActualDataNotAvailable):
+    with pytest.raises(NoMovementFile):
         read_movement(spark, str(tmp_path), "abc")
     movement_csv(tmp_path / "wbad.csv", True)
-    with pytest.raises(ActualDataNotAvailable):
+    with pytest.raises(NoMovementFile):
         read_movement(spark, str(tmp_path), "bad")
 
 
@@ -50,7 +50,7 @@ def test_movement_stream(spark, tmp_path):
 def test_submission_check(spark):
     df = spark.createDataFrame([("P1", "S1", "7", "x")], "product_id string, store_id string, week string, predicted_units string")
     assert checked(df, "forecast").first().week == 7
-    with pytest.raises(SubmissionFormatError):
+    with pytest.raises(BadTable):
         checked(df.drop("week"), "forecast")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.operators import board
 from shelfwise.plans import scoring
-from shelfwise.sources import cells
+from shelfwise.sources import cells, submissions
 
 
 def make_cell(root, slug, marker, weeks=6):
@@ -44,3 +44,37 @@ def test_payloads_and_references(spark, tmp_path):
     assert {r.submission_name for r in board.with_references(back, refs).collect()} == {"mine", "same", "elsewhere"}
     assert {r.submission_name for r in board.placement(back, refs).collect()} == {"mine", "same", "other arm"}
     assert {(r.submission, r.forecast_error) for r in board.leaderboard(board.with_references(back, refs)).collect()} == {("mine", 0.5), ("same", 0.4), ("elsewhere", None)}
+
+
+def test_absent_and_bad_tables(spark, tmp_path):
+    make_cell(tmp_path / "cells", "a_log_log_seed1", cells.MARKERS[0])
+    none = cells.read_table(spark, str(tmp_path / "cells"), "sweep")
+    assert none.count() == 0 and none.columns == ["cell_slug", *cells.TABLES["sweep"][1].fieldNames(), "row_ord"]
+    for name, text in (("good", "product_id,store_id,week,predicted_units\nP,S,1,2.0"), ("bad", "product_id,store_id\nP,S"), ("blank", "")):
+        (tmp_path / "sent" / name / "c").mkdir(parents=True)
+        (tmp_path / "sent" / name / "c" / submissions.FILES["forecast"]).write_text(text)
+    tables, told = submissions.read_submissions(spark, str(tmp_path / "sent"), [(n, "c") for n in ("good", "bad", "blank")])
+    assert {(r.submission_name, r.status) for r in told.where("task = 'forecast'").collect()} == {("good", "ok"), ("bad", "invalid_format"), ("blank", "invalid_format")}
+    assert {r.status for r in told.where("task <> 'forecast'").collect()} == {"not_submitted"}
+    assert [r.week for r in tables["forecast"].collect()] == [1] and tables["elasticity"].count() == 0
+    empty = board.conformed(told.select("submission_name", "cell_slug").distinct())
+    marked = {r.submission_name: r.s for r in scoring.with_problems(empty, told).selectExpr("submission_name", "sales_forecasting.status as s").collect()}
+    assert marked == {"good": None, "bad": "invalid_format", "blank": "invalid_format"}
+
+
+def test_a_failing_cell_leaves_the_others(spark):
+    def score(slug):
+        if slug == "b":
+            raise ValueError("broken")
+        return spark.createDataFrame([(slug, "s")], "cell_slug string, submission_name string")
+
+    payloads, failed = scoring.scored_apart(["a", "b", "c"], score)
+    assert {r.cell_slug for r in payloads.collect()} == {"a", "c"} and failed == [("b", "scoring error: broken")]
+
+
+def test_boards_and_fit_meta_on_disk(spark, tmp_path):
+    fits = spark.createDataFrame([("iv_text", "c", "P1", True), ("iv_text", "c", "P2", False)], "variant string, cell_slug string, product_id string, converged boolean")
+    cells.write_fit_meta(fits, str(tmp_path / "meta"))
+    assert spark.read.json(str(tmp_path / "meta")).select("variant", "cell_slug", "n_products", "n_converged").first() == ("iv_text", "c", 2, 1)
+    cells.write_board(fits.drop("converged"), str(tmp_path / "board"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "board")).count() == 2
