@@ -4,11 +4,13 @@ The items' words go into one automaton (states are classes of word sequences wit
 A text streams through it; the automaton keeps the longest suffix read so far that occurs in any item, so every place
 where it is at least ``window`` words long ends a shared window. Items of fewer words count as one window of their own.
 
-The items are driver-side data of checked size: they are taken in blocks of at most ``BLOCK_WORDS`` words, each block its
-own automaton and its own column over the same scan; texts are never shuffled.
+Items are taken in blocks of at most ``BLOCK_WORDS`` words (a longer item in parts that overlap by a window), each block its own
+automaton. With one block the texts are read once and never shuffled. With more, they are read once a block, so that one
+automaton is held at a time, and what each block found is added up by document.
 
 Defined results: null or empty texts have no words and no hits; null item texts have no window; a null item id counts as
-the id ``null``; repeated rows are judged one by one; extra columns stay as they are.
+the id ``null``; repeated rows are judged one by one; extra columns stay as they are (a result column whose name is taken gets another, see
+``free_name``); an empty table of texts or of items gives no hits.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm.shared import bound_batches
+from shelfwise.llm.shared import bound_batches, free_name, hidden_prefix, release_shuffles, staged
 from shelfwise.llm.words import alnum_words, utf8
 
 WINDOW = 10
@@ -156,8 +158,10 @@ class Items:
 _BUILT: dict[str, Items] = {}
 
 
-def _hits(text: Column, block, key: str, window: int) -> Column:
-    @F.pandas_udf(HITS)
+def _hits(text: Column, block, key: str, window: int, cut_from: int | None = None) -> Column:
+    """The struct of HITS, and with ``cut_from`` also ``kept``: the text without hit spans of so many words or more, null where it has none."""
+
+    @F.pandas_udf(HITS + ", kept string" * (cut_from is not None))
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         if key not in _BUILT:
             _BUILT.clear()
@@ -166,87 +170,122 @@ def _hits(text: Column, block, key: str, window: int) -> Column:
         for texts in batches:
             rows = []
             for t in texts:
-                words = alnum_words(t if isinstance(t, str) else None)
+                t = t if isinstance(t, str) else None
+                words = alnum_words(t)
                 longest, spans, found = items.find(words)
                 rows.append((len(words), longest, [{"first": a, "after": b} for a, b in spans], sorted(found)))
-            yield pd.DataFrame(rows, columns=["n_words", "longest", "spans", "items"])
+                if cut_from is not None:
+                    rows[-1] += (without(t, [x for x in spans if x[1] - x[0] >= cut_from]),)
+            yield pd.DataFrame(rows, columns=["n_words", "longest", "spans", "items"] + ["kept"] * (cut_from is not None))
 
     return of.asNondeterministic()(text)
 
 
-def _merged(spans: pd.Series) -> pd.Series:
-    def one(own):
-        out: list[list[int]] = []
-        for a, b in sorted((x["first"], x["after"]) for x in own):
-            if out and out[-1][1] >= a:
-                out[-1][1] = max(out[-1][1], b)
-            else:
-                out.append([a, b])
-        return [{"first": a, "after": b} for a, b in out]
+def merged(spans) -> list[tuple[int, int]]:
+    """Spans in order, those that touch as one."""
+    out: list[list[int]] = []
+    for a, b in sorted(spans):
+        if out and out[-1][1] >= a:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return [(a, b) for a, b in out]
 
-    return spans.map(one)
 
+_WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
-def item_blocks(items: DataFrame, id_col: str, text_col: str, most: int) -> Iterator[list[tuple[str, str | None]]]:
-    """Items in blocks by a hash, so many that a block has about ``most`` words."""
-    rows = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("item"), F.col(text_col).alias("text")).where("text is not null")
-    words = rows.agg(F.sum(F.size(F.split("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")))).first()[0] or 0
-    blocks = -(-words // most) or 1
-    for k in range(blocks):
-        own = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
-        yield [(r.item, r.text) for r in own.collect()]
 
+def without(text: str | None, spans: list[tuple[int, int]]) -> str | None:
+    """The text without the spans of words; null where there are none."""
+    if not text or not spans:
+        return None
+    raw = utf8(text)
+    at = [m.span() for m in _WORD.finditer(raw)]
+    keep, done = [], 0
+    for first, after in spans:
+        keep.append(raw[done : at[first][0]])
+        done = at[after - 1][1]
+    return b"".join([*keep, raw[done:]]).decode("utf-8", "surrogatepass")
 
-def find_items(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, out: str = "hits") -> DataFrame:
-    """``docs`` with the struct of HITS in column ``out``: words from ``first`` up to before ``after`` are in a window of an item."""
-    spark = docs.sparkSession
-    bound_batches(spark)
-    parts = []
-    for own in item_blocks(items, item_id, item_text, block_words):
-        block = spark.sparkContext.broadcast(own)
-        parts.append(_hits(F.col(text_col), block, uuid.uuid4().hex, window))
-    if len(parts) == 1:
-        return docs.withColumn(out, parts[0])
-    names = [f"__{out}_{k}" for k in range(len(parts))]
-    every = docs.select("*", *[p.alias(n) for n, p in zip(names, parts, strict=True)])
-    each = lambda field: [F.col(f"{n}.{field}") for n in names]
-    return every.withColumn(
-        out,
-        F.struct(
-            each("n_words")[0].alias("n_words"), F.greatest(*each("longest")).alias("longest"),
-            F.pandas_udf(_merged, "array<struct<first:long,after:long>>")(F.concat(*each("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.concat(*each("items")))).alias("items"),
-        ),
-    ).drop(*names)
 
+def _pairs(spans) -> list[tuple[int, int]]:
+    return [(x["first"], x["after"]) for x in spans] if spans is not None else []
 
-def n_hit(hits: str) -> Column:
-    return F.aggregate(f"{hits}.spans", F.lit(0).cast("long"), lambda n, s: n + s["after"] - s["first"])
 
+def _merged(spans: Column) -> Column:
+    @F.pandas_udf("array<struct<first:long,after:long>>")
+    def of(spans: pd.Series) -> pd.Series:
+        return spans.map(lambda x: [{"first": a, "after": b} for a, b in merged(_pairs(x))])
+
+    return of(spans)
+
+
+def _without(text: Column, spans: Column, cut_from: int) -> Column:
+    @F.pandas_udf("string")
+    def of(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        own = [[x for x in merged(_pairs(s)) if x[1] - x[0] >= cut_from] for s in spans]
+        return pd.Series([without(t if isinstance(t, str) else None, s) for t, s in zip(texts, own, strict=True)], index=texts.index, dtype=object)
+
+    return of(text, spans)
 
-_WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
+_SPACE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
-def _without(texts: pd.Series, spans: pd.Series) -> pd.Series:
-    def one(text, own):
-        if text is None or own is None or not len(own):
-            return text
-        raw = utf8(text)
-        at = [m.span() for m in _WORD.finditer(raw)]
-        keep, done = [], 0
-        for s in own:
-            keep.append(raw[done : at[s["first"]][0]])
-            done = at[s["after"] - 1][1]
-        return b"".join([*keep, raw[done:]]).decode("utf-8", "surrogatepass")
 
-    return pd.Series([one(t, s) for t, s in zip(texts, spans, strict=True)], index=texts.index)
+def item_blocks(items: DataFrame, id_col: str, text_col: str, most: int, window: int) -> tuple[int, DataFrame]:
+    """The number of blocks, and the items as (block, item, text): by a hash, so that a block has some ``most`` words; longer items in overlapping parts."""
+    rows = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("item"), F.col(text_col).alias("text")).where("text is not null")
+    words = F.split(F.trim(F.regexp_replace("text", _SPACE, " ")), " ")
+    step = max(1, most - window + 1)
+    parts = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - window, F.lit(0)), F.lit(step)), lambda i: F.array_join(F.slice(words, i + 1, most), " "))
+    rows = rows.withColumn("text", F.explode(F.when(F.size(words) > most, parts).otherwise(F.array("text"))))
+    total = rows.agg(F.sum(F.size(F.split("text", _SPACE)))).first()[0] or 0
+    blocks = -(-total // most) or 1
+    return blocks, rows.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks)))
+
+
+def find_items(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, out: str = "hits", cut_from: int | None = None) -> DataFrame:
+    """``docs`` with the struct of HITS in column ``out``: words from ``first`` up to before ``after`` are in a window of an item.
+
+    ``cut_from``: the struct also has ``kept``, the text without hit spans of so many words or more, null where there are none."""
+    spark = docs.sparkSession
+    bound_batches(spark)
+    out = free_name(docs, out)
+    blocks, items = item_blocks(items, item_id, item_text, block_words, window)
+    own = lambda k: spark.sparkContext.broadcast([(r.item, r.text) for r in items.where(F.col("block") == k).collect()])
+    if blocks == 1:
+        return docs.withColumn(out, _hits(F.col(text_col), own(0), uuid.uuid4().hex, window, cut_from))
+    release_shuffles(spark)
+    p = hidden_prefix(docs)
+    key = {f"{p}k1": F.xxhash64(docs[text_col]), f"{p}k2": F.xxhash64(F.lit(1), docs[text_col])}  # repeated texts are one
+    parts = None
+    for k in range(blocks):
+        block = own(k)
+        part = staged(docs.select(*[c.alias(n) for n, c in key.items()], _hits(docs[text_col], block, uuid.uuid4().hex, window).alias("hits")), "hits")
+        block.destroy()
+        part = part.dropDuplicates([*key])
+        parts = part if parts is None else parts.unionByName(part)
+    every = parts.groupBy(*key).agg(
+        F.max("hits.n_words").alias(f"{p}n"), F.max("hits.longest").alias(f"{p}longest"), F.flatten(F.collect_list("hits.spans")).alias(f"{p}spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits.items")))).alias(f"{p}items"),
+    )
+    joined = docs.withColumns(key).join(every, [*key])
+    spans = F.col(f"{p}spans")
+    hits = [F.col(f"{p}n").alias("n_words"), F.col(f"{p}longest").alias("longest"), _merged(spans).alias("spans"), F.col(f"{p}items").alias("items")]
+    if cut_from is not None:
+        hits.append(_without(F.col(text_col), spans, cut_from).alias("kept"))
+    return joined.select(*docs.columns, F.struct(*hits).alias(out))
+
+
+def n_hit(hits: str) -> Column:
+    return F.aggregate(f"{hits}.spans", F.lit(0).cast("long"), lambda n, s: n + s["after"] - s["first"])
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, text_col: str = "text", max_coverage: float = 0.3, least_span: int = 1, **options) -> DataFrame:
     """``docs`` without hit spans of at least ``least_span`` words; texts of which more than ``max_coverage`` is hit go altogether."""
-    found = find_items(docs, items, text_col=text_col, out="__hits", **options)
-    found = found.where(n_hit("__hits") <= max_coverage * F.greatest(F.col("__hits.n_words"), F.lit(1)))
-    long = F.filter("__hits.spans", lambda s: s["after"] - s["first"] >= least_span)
-    return found.withColumn(text_col, F.when(F.size(long) > 0, F.pandas_udf(_without, "string")(F.col(text_col), long)).otherwise(F.col(text_col))).drop("__hits")
+    out = free_name(docs, "hits")
+    found = find_items(docs, items, text_col=text_col, out=out, cut_from=least_span, **options)
+    found = found.where(n_hit(out) <= max_coverage * F.greatest(F.col(f"{out}.n_words"), F.lit(1)))
+    return found.withColumn(text_col, F.coalesce(F.col(f"{out}.kept"), F.col(text_col))).drop(out)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
