@@ -105,6 +105,24 @@ def test_loglog_equals_the_fit_with_dummies(spark, panel):
     assert got.converged and got.beta == pytest.approx(b[0], abs=1e-7)
 
 
+def test_calibration_equals_spark_ml(spark, panel):
+    """Level and season around a fixed price response, against Spark ML's generalised linear regression with an offset."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GeneralizedLinearRegression
+
+    from shelfwise.functions.columns import season
+
+    rows = panel.where("product_id = 'P1'").withColumns({"npi": F.lit(0.0), "log_price": F.log("price")})
+    levels = loglog.store_levels(rows)
+    response = spark.createDataFrame([("c", "P1", -1.6, 0.0)], "cell_slug string, product_id string, beta double, gamma double")
+    got = loglog.calibration(rows, response, levels).first()
+    fixed = F.col("offset") - 1.6 * (F.col("log_price") - F.col("p_bar"))
+    data = rows.join(levels, ["cell_slug", "product_id", "store_id"]).select("units", fixed.alias("fixed"), *[c.alias(n) for n, c in season("week").items()])
+    data = VectorAssembler(inputCols=list(loglog.SEASON), outputCol="x").transform(data)
+    model = GeneralizedLinearRegression(family="poisson", link="log", offsetCol="fixed", featuresCol="x", labelCol="units", tol=1e-12, maxIter=50).fit(data)
+    assert [got["const"], *[got[c] for c in loglog.SEASON]] == pytest.approx([model.intercept, *model.coefficients], abs=1e-6)
+
+
 def test_loglog_fit_is_registered_whole(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(panels.v, "panel", lambda *a: None)
