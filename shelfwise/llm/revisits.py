@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfwise.llm.shared import partitions, staged
+from shelfwise.llm.shared import fewer_files, partitions, staged
 
 #: Header fields of a 304 that update the stored response's.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
@@ -51,7 +51,7 @@ def resolve(records: DataFrame) -> DataFrame:
 
     points = whole.groupBy("canonical_url", "ts").agg(F.max(F.when(F.col("kind") == "response", F.col("record_id"))).alias("own"))
     points = points.withColumn("block", F.size(F.filter(edges, lambda e: e < F.unix_micros("ts"))))
-    points = staged(points, "points")
+    points = staged(fewer_files(points), "points")
     last = points.where("own is not null").groupBy("canonical_url", "block").agg(F.max_by("own", "ts").alias("last"))
     every = points.select("canonical_url", "block").distinct().join(last, ["canonical_url", "block"], "left")
     carried = every.withColumn("carried", F.last("last", ignorenulls=True).over(Window.partitionBy("canonical_url").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))).drop("last")
@@ -61,6 +61,7 @@ def resolve(records: DataFrame) -> DataFrame:
 
     revisits = rows.where("kind = 'revisit'").join(before, ["canonical_url", "ts"], "left")
     stored = rows.where("kind = 'response'").groupBy(F.col("record_id").alias("response_id")).agg(F.first("headers").alias("stored"))
+    stored = staged(fewer_files(stored), "responses")  # so that the join can split a response with very many revisits
     joined = revisits.join(stored, "response_id", "left")
     own, old = F.coalesce("headers", F.create_map().cast("map<string,string>")), F.coalesce("stored", F.create_map().cast("map<string,string>"))
     tags = (weak_tag(F.element_at(own, "etag")), weak_tag(F.element_at(old, "etag")))
