@@ -155,16 +155,19 @@ def test_repeats(docs, rows, empty):
 
 
 def test_spelling_is_a_distribution():
-    """Over all continuations of a short word: the probabilities of its ends and of its longer forms add up."""
-    words = [b"the", b"then", b"than", b"a", b"an", b"ant"] * 3
-    counts = mixing.count_bits(words)
+    """Over all continuations of a short word: the probabilities of its ends and of its longer forms add up, in each group."""
+    words, groups = [b"the", b"then", b"than", b"a", b"an", b"ant", b"der", b"den"] * 3, np.array([0, 0, 0, 0, 0, 0, 1, 1] * 3)
+    counts = mixing.count_bits(words, groups)
+    bits = 8 * sum(len(w) + 1 for w in words)
+    assert (counts.sum(axis=1) == bits).all()
     model = mixing.Mixer()
-    model.train(words, mixing.without_own(counts))
+    model.train(words, groups, mixing.without_own(counts))
+    p = lambda own: model.log_probabilities(own, [0, 1], mixing.predictions(counts))
     every = [b"th" + bytes([c]) for c in range(256) if c != 32]
-    total = np.exp(model.log_probabilities([b""] + [bytes([c]) for c in range(256) if c != 32], mixing.predictions(counts))).sum()
-    assert 0 < total < 1 and np.exp(model.log_probabilities(every, mixing.predictions(counts))).sum() < 1
-    p = model.log_probabilities([b"then", b"zzzq"], mixing.predictions(counts))
-    assert p[0] > p[1]
+    total = np.exp(p([b""] + [bytes([c]) for c in range(256) if c != 32])).sum(axis=0)
+    assert (total > 0).all() and (total < 1).all() and (np.exp(p(every)).sum(axis=0) < 1).all()
+    own = p([b"then", b"zzzq", b"der"])
+    assert own[0, 0] > own[1, 0] and own[2, 1] > own[2, 0]
 
 
 def test_scores(docs, rows, empty):
