@@ -42,17 +42,19 @@ class WaveletMatrix:
 
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
-        ids = np.asarray(ids, np.uint32)
+        ids = np.asarray(ids)
         bits = max(1, int(ids.max()).bit_length()) if len(ids) else 1
-        planes, zeros, ones = [], [], []
+        ids = ids.astype(np.uint16 if bits <= 16 else np.uint32)
+        dealt, planes, zeros, ones = np.empty_like(ids), [], [], []
         for k in reversed(range(bits)):
-            bit = (ids >> np.uint32(k)) & np.uint32(1) != 0
-            packed = np.packbits(bit)
-            planes.append(packed)
-            ones.append(cls._directory(packed))
-            low = ids[~bit]
-            zeros.append(len(low))
-            ids = np.concatenate([low, ids[bit]])
+            bit = (ids & ids.dtype.type(1 << k)) != 0
+            planes.append(np.packbits(bit))
+            ones.append(cls._directory(planes[-1]))
+            low = len(ids) - int(ones[-1][-1])
+            zeros.append(low)
+            np.compress(~bit, ids, out=dealt[:low])
+            np.compress(bit, ids, out=dealt[low:])
+            ids, dealt = dealt, ids
         return cls(len(ids), planes, zeros, ones)
 
     @staticmethod
@@ -151,14 +153,14 @@ class WaveletMatrix:
 
     def decode(self) -> np.ndarray:
         """All ids, put together from the last plane up."""
-        out = np.zeros(self.n, np.uint32)
+        out = np.zeros(self.n, np.uint16 if len(self.planes) <= 16 else np.uint32)
         for k, level in enumerate(reversed(range(len(self.planes)))):
-            bit = np.unpackbits(self.planes[level], count=self.n).astype(bool)
-            up = np.empty(self.n, np.uint32)
+            bit = np.unpackbits(self.planes[level], count=self.n).view(bool)
+            up = np.empty_like(out)
             up[~bit] = out[: self.zeros[level]]
-            up[bit] = out[self.zeros[level] :] | np.uint32(1 << k)
+            up[bit] = out[self.zeros[level] :] | out.dtype.type(1 << k)
             out = up
-        return out
+        return out.astype(np.uint32)
 
 
 SHARDS = "part int, shard int, n_tokens long, doc_ids array<long>, doc_tokens array<long>, matrix binary"
