@@ -1,7 +1,8 @@
 """Log-log demand: Poisson price response with store and week effects, instrumented or not, and seasonal calibration around it.
 
 Re-aimed from per-product dummy regressions on samples: all products of all cells in one job, on all rows. Store effects are concentrated out in
-closed form, week effects are parameters, and Newton's method runs on sums over stores, so results agree with the dummy form to the tolerance."""
+closed form, week effects are parameters, and an ascent with a curvature that is diagonal over weeks runs on sums over stores, so results agree with the
+dummy form to the tolerance and nothing that is shuffled has the square of the number of weeks."""
 
 from __future__ import annotations
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions.columns import bounded_exp, log_price, season
 from shelfwise.operators.elasticity import AFFECTED, PRICED, product_grid
-from shelfwise.operators.panel_fit import newton
+from shelfwise.operators.panel_fit import maximise
 from shelfwise.staging import fewer_files, staged
 
 CELL = ("cell_slug",)
@@ -62,16 +63,15 @@ def _design(row, x: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.asarray(row.at, np.int64), np.asarray(row.units, np.float64), np.array([np.asarray(getattr(row, c), np.float64) for c in x]).reshape(len(x), -1)
 
 
-def _cross(at: np.ndarray, z: np.ndarray, weight: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Weighted sums of the rows' designs (week dummies, then ``z``) and of their products, less the part along the store's mean."""
-    weeks, total = n - len(z), weight.sum()
-    mean = np.concatenate([np.bincount(at, weight, weeks), z @ weight])
-    square = np.zeros((n, n))
-    square[np.arange(weeks), np.arange(weeks)] = mean[:weeks]
-    for k, own in enumerate(z):
-        square[weeks + k, :weeks] = square[:weeks, weeks + k] = np.bincount(at, weight * own, weeks)
-    square[weeks:, weeks:] = (z * weight) @ z.T
-    return mean, square - np.outer(mean, mean) / total if total > 0 else square
+def _arrowhead(at: np.ndarray, z: np.ndarray, weight: np.ndarray, weeks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weighted curvature of a store's rows, its own effect taken out of the rows of ``z``: diagonal over weeks, ``z`` against weeks, and ``z``'s block.
+
+    Weeks meet each other only through the stores' effects; that part (one rank a store) is left out, so the diagonal bounds the block from above."""
+    total, each = weight.sum(), np.bincount(at, weight, weeks)
+    mean = z @ weight / total if total > 0 else np.zeros(len(z))
+    away = z - mean[:, None]
+    cross = np.array([np.bincount(at, weight * own, weeks) for own in away]).reshape(len(z), weeks)
+    return each, cross, (away * weight) @ away.T
 
 
 def poisson_line(x: Sequence[str]):
@@ -84,8 +84,7 @@ def poisson_line(x: Sequence[str]):
         eta -= eta.max(initial=-np.inf)
         e = np.exp(eta)
         mu = y.sum() * e / e.sum()
-        _, curvature = _cross(at, z, mu, len(theta))
-        return float(y @ (eta - np.log(e.sum()))), np.concatenate([np.bincount(at, y - mu, weeks), z @ (y - mu)]), curvature
+        return float(y @ (eta - np.log(e.sum()))), np.concatenate([np.bincount(at, y - mu, weeks), z @ (y - mu)]), *_arrowhead(at, z, mu, weeks)
 
     return of
 
@@ -97,20 +96,19 @@ def _costs(row) -> np.ndarray:
 
 
 def cost_line(row, theta: np.ndarray):
-    """Least squares of the log price on the cost, within stores and weeks."""
+    """Least squares of the log price on the cost: the residual's projections on weeks and on the cost, the store's mean taken out."""
     at, _, p = _design(row, ["log_price"])
     z = _costs(row)[None, :]
     left = p[0] - theta[:-1][at] - theta[-1] * z[0]
     left -= left.mean()
-    _, curvature = _cross(at, z, np.ones(len(at)), len(theta))
-    return float(-(left @ left) / 2), np.concatenate([np.bincount(at, left, len(theta) - 1), z @ left]), curvature
+    return float(-(left @ left) / 2), np.concatenate([np.bincount(at, left, len(theta) - 1), z @ left]), *_arrowhead(at, z, np.ones(len(at)), len(theta) - 1)
 
 
 def control_function(lines: DataFrame, start: DataFrame, cell: Sequence[str] = CELL) -> DataFrame:
     """``lines`` with ``cf_residual``: what store and week effects and the cost instrument leave of the log price."""
     keys = [*cell, "product_id"]
     zeros = F.array_repeat(F.lit(0.0), F.size("theta") + 1)
-    fitted = newton(lines, start.select(*keys, zeros.alias("theta")), keys, cost_line, judged=1)
+    fitted = maximise(lines, start.select(*keys, zeros.alias("theta")), keys, cost_line, 1)
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -125,7 +123,7 @@ def control_function(lines: DataFrame, start: DataFrame, cell: Sequence[str] = C
     return lines.join(fitted.select(*keys, "theta"), keys).select(*lines.columns, "theta").mapInPandas(of, schema)
 
 
-def price_response(rows: DataFrame, use_iv: bool, cell: Sequence[str] = CELL, iterations: int = 80, tolerance: float = 1e-8) -> DataFrame:
+def price_response(rows: DataFrame, use_iv: bool, cell: Sequence[str] = CELL, iterations: int = 200, tolerance: float = 1e-9) -> DataFrame:
     """(cell, product_id, beta, gamma, converged) of the Poisson fit with store and week effects."""
     keys = [*cell, "product_id"]
     lines, start = store_lines(rows, cell)
@@ -133,7 +131,7 @@ def price_response(rows: DataFrame, use_iv: bool, cell: Sequence[str] = CELL, it
     if use_iv:
         lines, x = staged(control_function(lines, start, cell), "lines"), [*x, "cf_residual"]
     start = start.select(*keys, F.concat("theta", F.array(*[F.lit(0.0) for _ in x])).alias("theta"))
-    found = newton(lines, start, keys, poisson_line(x), tolerance, iterations, len(x))
+    found = maximise(lines, start, keys, poisson_line(x), len(x), tolerance, iterations)
     at = lambda k: F.when(F.col("converged"), F.element_at("theta", k - len(x))).otherwise(0.0)
     return found.select(*keys, at(0).alias("beta"), at(1).alias("gamma"), "converged")
 
@@ -144,10 +142,10 @@ def season_line(row, theta: np.ndarray):
     x = np.array([np.ones(len(y)), *[np.asarray(getattr(row, c), np.float64) for c in SEASON]])
     eta = np.clip(fixed + theta @ x, -30, 30)
     mu = np.exp(eta)
-    return float(y @ eta - mu.sum()), x @ (y - mu), (x * mu) @ x.T
+    return float(y @ eta - mu.sum()), x @ (y - mu), np.empty(0), np.empty((len(x), 0)), (x * mu) @ x.T
 
 
-def calibration(rows: DataFrame, response: DataFrame, levels: DataFrame, cell: Sequence[str] = CELL, iterations: int = 80, tolerance: float = 1e-8) -> DataFrame:
+def calibration(rows: DataFrame, response: DataFrame, levels: DataFrame, cell: Sequence[str] = CELL, iterations: int = 200, tolerance: float = 1e-9) -> DataFrame:
     """(cell, product_id, const, season...) of the Poisson fit of level and harmonics around the fixed price response; zeros where it doesn't converge."""
     keys = [*cell, "product_id"]
     joined = rows.join(response.select(*keys, "beta", "gamma"), keys).join(levels, [*keys, "store_id"])
@@ -156,11 +154,11 @@ def calibration(rows: DataFrame, response: DataFrame, levels: DataFrame, cell: S
     lines = staged(fewer_files(each.select(*keys, *[F.col(f"rows.{c}").alias(c) for c in ("units", "fixed", *SEASON)])), "lines")
     x = ["const", *SEASON]
     start = lines.select(*keys).distinct().withColumn("theta", F.array(*[F.lit(0.0) for _ in x]))
-    found = newton(lines, start, keys, season_line, tolerance, iterations)
+    found = maximise(lines, start, keys, season_line, len(x), tolerance, iterations)
     return found.select(*keys, *[F.when(F.col("converged"), F.col("theta")[k]).otherwise(0.0).alias(n) for k, n in enumerate(x)])
 
 
-def fit(training: DataFrame, weights: DataFrame, use_iv: bool, cell: Sequence[str] = CELL, iterations: int = 80) -> tuple[DataFrame, DataFrame]:
+def fit(training: DataFrame, weights: DataFrame, use_iv: bool, cell: Sequence[str] = CELL, iterations: int = 200) -> tuple[DataFrame, DataFrame]:
     """(coefficients, store levels). Products without units, with fewer than LEAST_ROWS rows in stores with sales, or whose fit fails get zeros."""
     keys = [*cell, "product_id"]
     rows = staged(fewer_files(prepared(training, weights, cell)), "prepared")

@@ -1,5 +1,5 @@
 """Regressions within panels as DataFrame work: alternating demeaning by tables of effects, moment sums, small linear systems solved on columns,
-and Newton's method for many Poisson fits at once.
+and an ascent for many fits with very many effects at once.
 
 Everything that is shuffled is a sum by key, combined before its shuffle; tables of effects meet the rows in an equi-join, which Spark
 broadcasts where they are small. Tables that are read again are written to the shared folder."""
@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,61 +57,110 @@ def solve(df: DataFrame, n: int, names: Sequence[str]) -> DataFrame:
     return df.drop(*[f"a_{i}_{j}" for i in range(n) for j in range(n)], *[f"b_{i}" for i in range(n)], *[f"f_{i}" for i in range(n)])
 
 
-#: A fit's place: parameters, where they were before, the value there, whether they are final and whether they converged.
-STATE = "theta array<double>, before array<double>, value double, done boolean, converged boolean"
+#: A fit's place: parameters; the best ones before them with their value and the step that they ask for; earlier parameters and steps; losses in a row.
+STATE = "theta array<double>, before array<double>, value double, step array<double>, places array<array<double>>, steps array<array<double>>, losses int, done boolean, converged boolean"
 
-#: For one line of data (arrays of a store's rows) at parameters: objective, gradient and negative curvature.
-Line = Callable[[object, np.ndarray], tuple[float, np.ndarray, np.ndarray]]
+#: Earlier steps that a new one is put together from.
+MEMORY = 6
+#: Keys whose sums a task holds at a time, and shares of the tasks over which sums are added up first, so that no group has a row for each task.
+HELD, SHARES = 256, 64
 
+#: For one line of data (arrays of a store's rows) at parameters: value, gradient, and of the negative curvature its diagonal for all parameters but the
+#: last ``dense``, their rows against the others (dense x others), and the last ones' own block.
+Line = Callable[[object, np.ndarray], tuple[float, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
-def newton(lines: DataFrame, start: DataFrame, keys: Sequence[str], line: Line, tolerance: float = 1e-8, most: int = 80, judged: int | None = None) -> DataFrame:
+
+def packed(value: float, gradient: np.ndarray, diagonal: np.ndarray, cross: np.ndarray, own: np.ndarray) -> np.ndarray:
+    return np.concatenate([[value], gradient, diagonal, cross.ravel(), own.ravel()])
+
+
+def plain_step(gradient: np.ndarray, diagonal: np.ndarray, cross: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The solution for an arrowhead: the diagonal part is eliminated, the dense block (flat directions get 0) is solved."""
+    n = len(diagonal)
+    inverse = np.divide(1.0, diagonal, out=np.zeros(n), where=diagonal > 1e-12)
+    last = np.linalg.lstsq(own - (cross * inverse) @ cross.T, gradient[n:] - cross @ (inverse * gradient[:n]), rcond=1e-12)[0]
+    return np.concatenate([inverse * (gradient[:n] - last @ cross), last])
+
+
+def joined_step(places: list[np.ndarray], steps: list[np.ndarray]) -> np.ndarray:
+    """From the last place, the step that makes the next one's smallest if steps change linearly between places (Anderson's mixing)."""
+    if len(steps) < 2:
+        return steps[-1]
+    moved, changed = np.diff(places, axis=0).T, np.diff(steps, axis=0).T
+    share = np.linalg.lstsq(changed, steps[-1], rcond=1e-10)[0]
+    return steps[-1] - (moved + changed) @ share
+
+
+def advanced(first: dict, total: np.ndarray, dense: int, tolerance: float) -> dict:
+    """A key's next place. A place that lost value is left for a shorter plain step from the best one."""
+    theta, before = np.asarray(first["theta"], np.float64), np.asarray(first["before"], np.float64)
+    n = len(theta) - dense
+    value, gradient, diagonal, cross, own = total[0], total[1 : 1 + n + dense], total[1 + n + dense : 1 + 2 * n + dense], total[1 + 2 * n + dense : 1 + 2 * n + dense + n * dense].reshape(dense, n), total[len(total) - dense * dense :].reshape(dense, dense)
+    if not np.isfinite(total).all() or value < first["value"] - 1e-10 * max(1.0, abs(first["value"])):
+        step, losses = np.asarray(first["step"], np.float64), first["losses"] + 1
+        stuck = not np.isfinite(first["value"]) or losses > 40
+        return first | {"theta": before + step / 2 ** (losses - 1), "places": [], "steps": [], "losses": losses, "done": stuck}
+    step = plain_step(gradient, diagonal, cross, own)
+    done = bool(np.abs(step).max(initial=0) < tolerance)
+    places, steps = ([*(np.asarray(x, np.float64) for x in first[c]), new][-MEMORY:] for c, new in (("places", theta), ("steps", step)))
+    return first | {
+        "theta": theta + (step if done or not n else joined_step(places, steps)), "before": theta, "value": value, "step": step, "places": places, "steps": steps, "losses": 0, "done": done, "converged": done,
+    }
+
+
+def maximise(lines: DataFrame, start: DataFrame, keys: Sequence[str], line: Line, dense: int, tolerance: float = 1e-9, most: int = 200) -> DataFrame:
     """(keys, theta, converged) that maximise the sum of ``line`` over each key's lines, from ``start`` (keys, theta).
 
-    Each round sums gradient and curvature by key within tasks, then over tasks, and takes one step a key; a step that loses is halved.
-    A key is done when its last ``judged`` parameters (all by default) move by less than ``tolerance``; keys that are done are left out of
-    the next round, and only whether any is left comes to the driver. A task holds one key's sums; sums over tasks have a row for each task."""
-    spark, names = lines.sparkSession, list(keys)
+    Each round adds gradient and curvature up by key: within tasks, over shares of the tasks, then over shares. Only the last ``dense``
+    parameters have whole rows of curvature; of the others (one for each week, say) only the diagonal is kept, so a row of sums is a few
+    times as long as the parameters, and what the diagonal leaves out is learnt from the last MEMORY steps. A key is done when no
+    parameter's plain step reaches ``tolerance``; keys that are done are left out of the next round, and only whether any is left comes to the driver."""
+    names = list(keys)
     types = ", ".join(f"{c} {t}" for c, t in lines.select(*names).dtypes)
 
     def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, total = None, None
+        totals: dict[tuple, np.ndarray] = {}
+        share = TaskContext.get().partitionId() % SHARES
 
         def told():
-            return pd.DataFrame([[*key, total[0], total[1], total[2].ravel()]], columns=[*names, "part", "gradient", "curvature"])
+            return pd.DataFrame([[*key, share, total] for key, total in totals.items()], columns=[*names, "share", "sums"])
 
         for batch in batches:
             for row in batch.itertuples(index=False):
-                now = tuple(getattr(row, c) for c in names)
-                if now != key:
-                    if total:
-                        yield told()
-                    key, total = now, None
+                key = tuple(getattr(row, c) for c in names)
                 with np.errstate(all="ignore"):
-                    own = line(row, np.asarray(row.theta, np.float64))
-                total = own if total is None else tuple(a + b for a, b in zip(total, own, strict=True))
-        if total:
+                    own = packed(*line(row, np.asarray(row.theta, np.float64)))
+                if key in totals:
+                    totals[key] += own
+                else:
+                    if len(totals) >= HELD:
+                        yield told()
+                        totals = {}
+                    totals[key] = own
+        if totals:
             yield told()
 
-    def stepped(rows: pd.DataFrame) -> pd.DataFrame:
-        value, gradient, curvature = rows["part"].sum(), np.sum([np.asarray(x) for x in rows["gradient"]], axis=0), np.sum([np.asarray(x) for x in rows["curvature"]], axis=0)
+    def added(rows: pd.DataFrame) -> pd.DataFrame:
         first = rows.iloc[0]
-        theta, before, old = np.asarray(first["theta"], np.float64), np.asarray(first["before"], np.float64), first["value"]
-        done = converged = False
-        n = len(theta)
-        if not (np.isfinite(value) and np.isfinite(gradient).all() and np.isfinite(curvature).all()) or value < old - 1e-10 * max(1.0, abs(old)):
-            done = bool(np.abs(theta - before).max(initial=0) < 1e-13) or not np.isfinite(old)
-            theta, value = (theta + before) / 2, old
-        else:
-            step = np.linalg.lstsq(curvature.reshape(n, n), gradient, rcond=1e-12)[0]
-            done = converged = bool(np.abs(step[-judged:] if judged else step).max(initial=0) < tolerance)
-            theta, before = theta + step, theta
-        return pd.DataFrame([[*[first[c] for c in names], theta, before, value, done, converged]], columns=[*names, "theta", "before", "value", "done", "converged"])
-
-    state = start.select(*names, "theta", F.col("theta").alias("before"), F.lit(float("-inf")).alias("value"), F.lit(False).alias("done"), F.lit(False).alias("converged"))
+        return pd.DataFrame([[*[first[c] for c in names], first["share"], np.sum(rows["sums"].tolist(), axis=0)]], columns=[*names, "share", "sums"])
+
+    columns = [c.split()[0] for c in STATE.split(", ")]
+
+    def stepped(rows: pd.DataFrame) -> pd.DataFrame:
+        first = {c: rows[c].iloc[0] for c in [*names, *columns]}
+        new = advanced(first, np.sum(rows["sums"].tolist(), axis=0), dense, tolerance)
+        return pd.DataFrame([[new[c] for c in [*names, *columns]]], columns=[*names, *columns])
+
+    none = F.array().cast("array<array<double>>")
+    state = start.select(
+        *names, "theta", F.col("theta").alias("before"), F.lit(float("-inf")).alias("value"), F.transform("theta", lambda x: F.lit(0.0)).alias("step"), none.alias("places"), none.alias("steps"), F.lit(0).alias("losses"),
+        F.lit(False).alias("done"), F.lit(False).alias("converged"),
+    )
     state, finished = staged(fewer_files(state), "fits"), None
+    sums = f"{types}, share int, sums array<double>"
     for n in range(most):
-        sums = lines.join(state.select(*names, "theta"), names).mapInPandas(parts, f"{types}, part double, gradient array<double>, curvature array<double>")
-        new = staged(fewer_files(sums.join(state, names).groupBy(*names).applyInPandas(stepped, f"{types}, {STATE}")), "fits")
+        shares = lines.join(state.select(*names, "theta"), names).mapInPandas(parts, sums).groupBy(*names, "share").applyInPandas(added, sums)
+        new = staged(fewer_files(shares.join(state, names).groupBy(*names).applyInPandas(stepped, f"{types}, {STATE}")), "fits")
         own = new.where("done") if n < most - 1 else new
         finished = own if finished is None else finished.unionByName(own)
         state = new.where("not done")

@@ -15,7 +15,7 @@ VARIANTS = {"naive_blind": (False, False), "naive_text": (False, True), "iv_blin
 CELL = ("variant", "cell_slug")
 
 
-def fit_grid(training: DataFrame, products: DataFrame, variants=tuple(VARIANTS), iterations: int = 80) -> tuple[DataFrame, DataFrame, DataFrame]:
+def fit_grid(training: DataFrame, products: DataFrame, variants=tuple(VARIANTS), iterations: int = 200) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(coefficients, levels, weights), each with ``variant``; cells without product texts skip the text variants.
 
     The variant is a key like the cell, so all variants with an instrument are one fit, and all without one another."""

@@ -263,7 +263,8 @@ _POISSON = " + ".join(f"(CASE WHEN u >= {p!r} THEN 1 ELSE 0 END)" for p in boots
 
 
 @query("bootstrap_in_band", f""", own AS (SELECT cell_slug, affected_product_id, CASE WHEN sent BETWEEN -2.0 AND -1.5 THEN 1.0 ELSE 0.0 END AS x FROM entries WHERE i = j AND sent IS NOT NULL),
-draws AS (SELECT own.*, b, CAST('0x' || substr(md5(cell_slug || '|' || affected_product_id || '|' || b || '|0'), 1, 13) AS BIGINT) / 4503599627370496.0 AS u FROM own, range(1, 1001) AS r(b)),
+hashed AS (SELECT *, CAST('0x' || substr(md5(cell_slug || '|' || affected_product_id || '|0'), 1, 13) AS HUGEINT) AS h FROM own), reps AS (SELECT b, CAST('0x' || substr(md5('0|' || b), 1, 13) AS BIGINT) | 1 AS m FROM range(1, 1001) AS r(b)),
+draws AS (SELECT cell_slug, x, b, CAST((h * m) % 4503599627370496 AS BIGINT) / 4503599627370496.0 AS u FROM hashed, reps),
 st AS (SELECT cell_slug, b, sum(({_POISSON}) * x) / nullif(sum({_POISSON}), 0) AS s FROM draws GROUP BY 1, 2)
 SELECT cell_slug, round(quantile_cont(s, 0.025), 6) AS ci_low, round(quantile_cont(s, 0.975), 6) AS ci_high, 1000 AS n_boot FROM st WHERE s IS NOT NULL GROUP BY 1""")
 def bootstrap_in_band(spark: SparkSession, d: str) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shelfwise.operators import loglog, shares, text
+from shelfwise.operators import loglog, panel_fit, shares, text
 from shelfwise.plans import actual, grid
 from shelfwise.queries import panels
 from shelfwise.sources.movement import NoMovementFile, clean_movement, read_movement
@@ -89,20 +89,65 @@ def test_loglog_recovers_the_slope(spark, panel):
     assert moved["P1"] < 0
 
 
-def test_loglog_equals_the_fit_with_dummies(spark, panel):
-    """On a panel with gaps, against Newton steps on one product's rows with a column for each store and week."""
-    sparse = panel.where("product_id = 'P1' and pmod(hash(store_id, week), 10) < 6").withColumn("npi", F.lit(0.0))
-    rows = sparse.withColumn("log_price", F.log("price"))
-    own = rows.toPandas()
-    own = own[own.groupby("week").units.transform("sum") > 0]
-    weeks = sorted(set(own.week))
-    x = np.column_stack([own.log_price, *[own.store_id == s for s in sorted(set(own.store_id))], *[own.week == w for w in weeks[1:]]]).astype(float)
+def with_gaps(panel, product="P1"):
+    return panel.where(f"product_id = '{product}' and pmod(hash(store_id, week), 10) < 6").withColumns({"npi": F.lit(0.0), "log_price": F.log("price")})
+
+
+def dummies(own):
+    stores, weeks = sorted(set(own.store_id)), sorted(set(own.week))
+    return np.column_stack([*[own.store_id == s for s in stores], *[own.week == w for w in weeks[1:]]]).astype(float)
+
+
+def poisson_by_dummies(own, *columns):
+    x = np.column_stack([*columns, dummies(own)]).astype(float)
     b = np.linalg.lstsq(x, np.log(own.units + 0.5), rcond=None)[0]
     for _ in range(30):
         mu = np.exp(x @ b)
         b = b + np.linalg.lstsq(x.T @ (x * mu[:, None]), x.T @ (own.units - mu), rcond=None)[0]
+    return b
+
+
+def test_loglog_equals_the_fit_with_dummies(spark, panel):
+    """On a panel with gaps, against Newton steps on one product's rows with a column for each store and week; plain, and with the first stage's residual."""
+    rows = with_gaps(panel)
+    own = rows.toPandas()
+    own = own[own.groupby("week").units.transform("sum") > 0].reset_index(drop=True)
     got = loglog.price_response(rows, False).first()
-    assert got.converged and got.beta == pytest.approx(b[0], abs=1e-7)
+    assert got.converged and got.beta == pytest.approx(poisson_by_dummies(own, own.log_price)[0], abs=1e-7)
+    first = np.column_stack([own.supply_cost_proxy, dummies(own)])
+    residual = own.log_price - first @ np.linalg.lstsq(first, own.log_price, rcond=None)[0]
+    lines, start = loglog.store_lines(rows)
+    for r in loglog.control_function(loglog.staged(lines, "lines"), start).collect():
+        here = own.store_id == r.store_id
+        assert sorted(r.cf_residual) == pytest.approx(sorted(residual[here]), abs=1e-8)
+    got = loglog.price_response(rows, True).first()
+    assert got.converged and got.beta == pytest.approx(poisson_by_dummies(own, own.log_price, residual)[0], abs=1e-7)
+
+
+def test_loglog_of_many_products(spark):
+    """Five hundred products in one job, sparse; a few of them against dummies. A row of sums has a few numbers a week, and no group has a row for each task."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for p in range(500):
+        for s in range(4):
+            weeks = np.flatnonzero(rng.random(40) < 0.5)
+            price = rng.uniform(1, 2, len(weeks))
+            rows += [("c", f"P{p}", f"S{s}", int(w), float(u), float(np.log(x)), 0.0) for w, x, u in zip(weeks, price, rng.poisson((5 + s) * price**-1.5), strict=True)]
+    df = spark.createDataFrame(rows, "cell_slug string, product_id string, store_id string, week int, units double, log_price double, npi double")
+    got = {r.product_id: r for r in loglog.price_response(df, False).collect()}
+    assert len(got) == 500 and all(r.converged for r in got.values())
+    every = df.toPandas()
+    for p in ("P0", "P250", "P499"):
+        own = every[every.product_id == p]
+        own = own[(own.groupby("week").units.transform("sum") > 0) & (own.groupby("store_id").units.transform("sum") > 0)].reset_index(drop=True)
+        assert got[p].beta == pytest.approx(poisson_by_dummies(own, own.log_price)[0], abs=1e-7)
+
+
+def test_a_row_of_sums_is_short():
+    rng = np.random.default_rng(1)
+    line = type("Line", (), {"at": np.arange(340), "units": rng.poisson(3, 340).astype(float), "log_price": rng.random(340), "npi": rng.random(340), "cf_residual": rng.random(340)})
+    total = panel_fit.packed(*loglog.poisson_line(["log_price", "npi", "cf_residual"])(line, np.zeros(343)))
+    assert total.nbytes < 20_000
 
 
 def test_calibration_equals_spark_ml(spark, panel):

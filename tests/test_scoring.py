@@ -1,11 +1,13 @@
 """Hand-computed cases of the scoring operators."""
 
+import hashlib
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shelfwise.operators import board, counterfactual, elasticity, forecast, validity
+from shelfwise.operators import board, bootstrap, counterfactual, elasticity, forecast, validity
 from shelfwise.operators.bootstrap import fraction_interval
 
 PANEL = "cell_slug string, product_id string, store_id string, week int"
@@ -100,6 +102,30 @@ def test_bootstrap(spark):
     assert fraction_interval(rows, ["g"], ["g", "k"], "x", replicates=0).count() == 0
 
 
+def test_bootstrap_of_weighted_rows_against_single_draws(spark):
+    """Many partitions, null groups and values; the same counts one row and one replicate at a time, and the spread that resampling has."""
+    rng = np.random.default_rng(5)
+    data = [("g" if k % 3 else None, k, float(rng.random() < 0.7) if k % 50 else None, float(rng.random())) for k in range(3000)]
+    rows = spark.createDataFrame(data, "g string, k int, x double, w double").repartition(7)
+    got = {r.g: r for r in fraction_interval(rows, ["g"], ["g", "k"], "x", "w", replicates=60, seed=3).collect()}
+    for g in ("g", None):
+        shares = []
+        for m in bootstrap.multipliers(60, 3).tolist():
+            top = under = 0.0
+            for name, k, x, w in data:
+                if name == g:
+                    text = "|".join([*([name] if name else []), str(k), "3"])
+                    u = int(hashlib.md5(text.encode()).hexdigest()[:13], 16) * m % 2**52 / 2**52
+                    n = sum(u >= p for p in bootstrap.POISSON)
+                    top, under = top + n * w * (x or 0.0), under + n * w
+            shares.append(top / under)
+        assert (got[g].ci_low, got[g].ci_high) == pytest.approx(tuple(np.quantile(shares, [0.025, 0.975])), rel=1e-9)
+        own = [(x or 0.0, w) for name, _, x, w in data if name == g]
+        share = sum(x * w for x, w in own) / sum(w for _, w in own)
+        error = np.sqrt(sum((w * (x - share)) ** 2 for x, w in own)) / sum(w for _, w in own)
+        assert np.std(shares) == pytest.approx(error, rel=0.35)
+
+
 def test_leaderboard_over_seeds(spark):
     rows = [("a", f"x_seed{k}", "synthetic", b) for k, b in enumerate((0.8, 0.7, 0.9))] + [("b", "x_seed1", "synthetic", -0.12), ("c", "x_seed1", "synthetic", None), ("d", "x_seed1", "actual", None)]
     payloads = spark.createDataFrame(rows, "submission_name string, cell_slug string, data_arm string, b double").select("submission_name", "cell_slug", "data_arm", F.struct(F.struct(F.struct(F.col("b").alias("own_price_wmpe")).alias("own_price")).alias("headline")).alias("counterfactual_prediction"))
