@@ -42,7 +42,7 @@ INSIDE = 80
 #: Open phrases of a language that a round takes (twice as many the next time), and of all languages (which bounds what is broadcast).
 NODES, MOST_NODES = 16_384, 1 << 18
 #: Bytes of text that are split at a time, and words that are counted at a time.
-TEXT_BYTES, BLOCK_WORDS = 4 << 20, 1_500_000
+TEXT_BYTES, BLOCK_WORDS = 2 << 20, 400_000
 #: Bits of the map of frequent words.
 MAP_BITS = 26
 
@@ -187,29 +187,36 @@ def counted(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
     return [c[at] for c in own], np.diff(np.append(at, len(new)))
 
 
-PHRASES = "c1 long, c2 long, c3 long, c4 long, n long"
+#: Rows that a task hands over at a time.
+_BATCH = 1 << 16
 
 
-def _rows(columns: list[np.ndarray]) -> pa.RecordBatch:
+def _rows(columns: list[np.ndarray], size: int) -> Iterator[pa.RecordBatch]:
+    """Distinct phrases and their counts, with zeros for the words up to ``size``."""
     own, n = counted(columns)
-    none = np.zeros(len(n), np.int64)
-    return pa.record_batch(dict(zip(("c1", "c2", "c3", "c4"), [*own, none, none][:4], strict=True)) | {"n": n})
+    for first in range(0, len(n), _BATCH):
+        part = [c[first : first + _BATCH] for c in own]
+        none = [np.zeros(len(part[0]), np.int64)] * (size - len(part))
+        yield pa.record_batch({f"c{i}": c for i, c in enumerate([*part, *none], 1)} | {"n": n[first : first + _BATCH]})
 
 
-def _at_least(rows: DataFrame, least: int) -> DataFrame:
-    return rows.groupBy("c1", "c2", "c3", "c4").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
+def _at_least(codes: DataFrame, count, size: int, least: int) -> DataFrame:
+    """``c1, ..., a``: sums by phrase of what ``count`` finds in tasks."""
+    words = [f"c{i}" for i in range(1, size + 1)]
+    rows = codes.mapInArrow(count, ", ".join(f"{c} long" for c in [*words, "n"]))
+    return rows.groupBy(*words).agg(F.sum("n").alias("a")).where(F.col("a") >= least)
 
 
 def pairs(codes: DataFrame, least: int) -> DataFrame:
-    """``c1, c2, c3 (0), c4 (0), a`` of all pairs of words."""
+    """``c1, c2, a`` of all pairs of words."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in _coded(batches):
             at = np.flatnonzero((c[:-1] != 0) & (c[1:] != 0))
             if len(at):
-                yield _rows([c[at], c[at + 1]])
+                yield from _rows([c[at], c[at + 1]], 2)
 
-    return _at_least(codes.mapInArrow(of, PHRASES), least)
+    return _at_least(codes, of, 2, least)
 
 
 class _Members:
@@ -247,14 +254,14 @@ def grown(codes: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
             node = in_two.of(h)
             at = np.flatnonzero(three & (node[:-1] | node[1:]))
             if len(at):
-                yield _rows([c[at], c[at + 1], c[at + 2]])
+                yield from _rows([c[at], c[at + 1], c[at + 2]], 4)
             if len(in_three.sorted):
                 node = in_three.of(_pair_hash(h[:-1], c[2:])) & three
                 at = np.flatnonzero(three[:-1] & word[3:] & (node[:-1] | node[1:]))
                 if len(at):
-                    yield _rows([c[at], c[at + 1], c[at + 2], c[at + 3]])
+                    yield from _rows([c[at], c[at + 1], c[at + 2], c[at + 3]], 4)
 
-    return _at_least(codes.mapInArrow(of, PHRASES), least)
+    return _at_least(codes, of, 4, least)
 
 
 def _share(a: str, both: str) -> str:
@@ -324,7 +331,7 @@ class Search:
 
     def __init__(self, codes: DataFrame, words: DataFrame, least: int, top: int):
         self.codes, self.words, self.least, self.top, self.round = codes, words, least, top, 0
-        self.two = staged(_pairs_scored(pairs(codes, least).drop("c3", "c4"), words), "pairs")
+        self.two = staged(_pairs_scored(pairs(codes, least), words), "pairs")
         spark = codes.sparkSession
         empty = spark.createDataFrame([], "c1 long, c2 long, c3 long, c4 long, a long")
         self.three = _threes_scored(empty.drop("c4"), self.two)
