@@ -73,7 +73,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"[A-Z](?<![A-Za-z0-9][A-Z])[A-Z][0-9]{2}(?:\x20?[A-Za-z0-9]){11,30}")
 _MAC = re.compile(r"[0-9A-Fa-f](?<![0-9A-Za-z:-][0-9A-Fa-f])[0-9A-Fa-f](?:([:-])[0-9A-Fa-f]{2})(?:\1[0-9A-Fa-f]{2}){4}(?![0-9A-Za-z:-])")
 _SSN = re.compile(r"[0-9](?<![0-9A-Za-z-][0-9])[0-9]{2}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])")
-_LOCAL_PHONE = re.compile(r"[0-9(](?<![0-9A-Za-z.+-][0-9(])(?:(?<=\()[0-9]{2,5}\)|(?<=[0-9])[0-9]{1,4})(?:[\x20./-]{1,2}[0-9]{2,6}){1,4}(?![0-9A-Za-z])")
+_LOCAL_PHONE = re.compile(r"[0-9(](?<![0-9A-Za-z.+-][0-9(])(?:(?<=\()[0-9]{2,5}\)|(?<=[0-9])[0-9]{1,4})(?:[\x20./-]{1,2}[0-9]{2,8}){1,4}(?![0-9A-Za-z])")
 _SECRET = re.compile(r"[:=]\x20{0,3}[\"']?([A-Za-z0-9+/_-]{16,}+={0,2})")
 _NAME = re.compile(r"(?:^|[^A-Za-z])(?:api[_ -]?key|apikey|access[_ -]?key|auth[_ -]?token|token|secret|password|passwd|pwd|bearer|credential)[A-Za-z0-9_]{0,12}[\"']?\x20{0,3}$", re.IGNORECASE)
 _WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)?")
