@@ -42,7 +42,7 @@ INSIDE = 80
 #: Open phrases of a language that a round takes (twice as many the next time), and of all languages (which bounds what is broadcast).
 NODES, MOST_NODES = 16_384, 1 << 18
 #: Bytes of text that are split at a time, and words that are counted at a time.
-TEXT_BYTES, BLOCK_WORDS = 2 << 20, 400_000
+TEXT_BYTES, BLOCK_WORDS = 2 << 20, 600_000
 #: Bits of the map of frequent words.
 MAP_BITS = 26
 
@@ -119,7 +119,7 @@ def word_counts(docs: DataFrame, seed: int) -> DataFrame:
                 yield pa.record_batch({"lang": pa.array([langs[t] for t in own.text[at].tolist()], pa.string()), "code": codes, "word": pa.array(words, pa.binary()), "n": n})
 
     rows = docs.mapInArrow(of, "lang string, code long, word binary, n long")
-    return rows.groupBy("lang", "code", "word").agg(F.sum("n").alias("f"))
+    return rows.repartition("code").groupBy("lang", "code", "word").agg(F.sum("n").alias("f"))
 
 
 def word_map(words: DataFrame) -> np.ndarray:
@@ -201,10 +201,10 @@ def _rows(columns: list[np.ndarray], size: int) -> Iterator[pa.RecordBatch]:
 
 
 def _at_least(codes: DataFrame, count, size: int, least: int) -> DataFrame:
-    """``c1, ..., a``: sums by phrase of what ``count`` finds in tasks."""
+    """``c1, ..., a``: sums by phrase of what ``count`` finds in tasks. Blocks are counted before the shuffle, so no task holds a table of all its phrases."""
     words = [f"c{i}" for i in range(1, size + 1)]
     rows = codes.mapInArrow(count, ", ".join(f"{c} long" for c in [*words, "n"]))
-    return rows.groupBy(*words).agg(F.sum("n").alias("a")).where(F.col("a") >= least)
+    return rows.repartition(*words).groupBy(*words).agg(F.sum("n").alias("a")).where(F.col("a") >= least)
 
 
 def pairs(codes: DataFrame, least: int) -> DataFrame:
