@@ -42,7 +42,7 @@ INSIDE = 80
 #: Open phrases of a language that a round takes (twice as many the next time), and of all languages (which bounds what is broadcast).
 NODES, MOST_NODES = 16_384, 1 << 18
 #: Bytes of text that are split at a time, and words that are counted at a time.
-TEXT_BYTES, BLOCK_WORDS = 2 << 20, 600_000
+TEXT_BYTES, BLOCK_WORDS = 1 << 20, 250_000
 #: Bits of the map of frequent words.
 MAP_BITS = 26
 
