@@ -26,14 +26,20 @@ SEASON = ("season_sin1", "season_cos1", "season_sin2", "season_cos2")
 def neighbour_index(frame: DataFrame, weights: DataFrame, cell: Sequence[str] = CELL, legs: Sequence[str] = ()) -> DataFrame:
     """``frame`` with ``npi``: the weighted mean log price of the neighbours in the same store-week.
 
-    A neighbour without a price there counts with its mean over the frame (of each leg), else 0; a product without neighbours has 0."""
-    keys = [*cell, *legs]
-    prices = frame.groupBy(*keys, "store_id", "week", "product_id").agg(F.avg(log_price("price")).alias("lp"))
-    usual = prices.groupBy(*keys, "product_id").agg(F.avg("lp").alias("usual"))
-    wanted = frame.select(*keys, "store_id", "week", F.col("product_id").alias(AFFECTED)).distinct().join(weights, [*cell, AFFECTED])
-    known = wanted.join(prices.withColumnRenamed("product_id", PRICED), [*keys, "store_id", "week", PRICED], "left").join(usual.withColumnRenamed("product_id", PRICED), [*keys, PRICED], "left")
-    index = known.groupBy(*keys, "store_id", "week", F.col(AFFECTED).alias("product_id")).agg(F.sum(F.col("w") * F.coalesce("lp", "usual", F.lit(0.0))).alias("npi"))
-    return frame.join(index, [*keys, "store_id", "week", "product_id"], "left").withColumn("npi", F.coalesce("npi", F.lit(0.0)))
+    A neighbour without a price there counts with its mean over the frame (of each leg), else 0; a product without neighbours has 0.
+    The frame is shuffled once, into a row for each store-week with its products and their prices, in which each product looks its neighbours up;
+    neighbours with their usual prices are a table by product, which Spark broadcasts where it is small."""
+    keys, place = [*cell, *legs], [*cell, *legs, "store_id", "week"]
+    each = frame.repartition(*place).groupBy(*place, "product_id").agg(F.avg(log_price("price")).alias("lp"), F.collect_list(F.struct(*frame.columns)).alias("rows"))
+    there = staged(each.groupBy(*place).agg(F.collect_list(F.struct("product_id", "lp", "rows")).alias("products")), "store-weeks")
+    usual = there.select(*keys, F.explode("products").alias("p")).groupBy(*keys, F.col("p.product_id").alias(PRICED)).agg(F.avg("p.lp").alias("usual"))
+    # a neighbour that the frame hasn't at all counts as 0, so only those that it has are kept
+    known = weights.join(usual, [*cell, PRICED]).groupBy(*keys, F.col(AFFECTED).alias("product_id")).agg(F.collect_list(F.struct(F.col(PRICED).alias("id"), "w", "usual")).alias("near"))
+    prices = F.map_from_entries(F.transform(F.filter("products", lambda p: p["product_id"].isNotNull()), lambda p: F.struct(p["product_id"], p["lp"])))
+    opened = there.withColumn("prices", prices).select(*keys, F.explode("products").alias("p"), "prices").select(*keys, "p.product_id", "p.rows", "prices")
+    index = F.aggregate("near", F.lit(0.0), lambda total, n: total + n["w"] * F.coalesce(F.try_element_at("prices", n["id"]), n["usual"], F.lit(0.0)))
+    looked_up = opened.join(known, [*keys, "product_id"], "left").select(F.explode("rows").alias("row"), F.coalesce(index, F.lit(0.0)).alias("npi"))
+    return looked_up.select(*[F.col("row").getField(c).alias(c) for c in frame.columns], "npi")
 
 
 def prepared(training: DataFrame, weights: DataFrame, cell: Sequence[str] = CELL) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.operators.elasticity import AFFECTED, PRICED, product_grid
+from shelfwise.staging import staged
 
 CELL = ("cell_slug",)
 NEIGHBOURS, BANDWIDTH, RANK_BANDWIDTH = 5, 0.5, 0.35
@@ -35,15 +36,18 @@ def tfidf(products: DataFrame, cell: Sequence[str] = CELL, leave_out: Sequence[s
 
 def text_distances(products: DataFrame, cell: Sequence[str] = CELL, leave_out: Sequence[str] | None = None) -> DataFrame:
     """(cell, affected, priced, distance): cosine distances with mean 1 off the diagonal. Pairs that share no term are found by the grid, not by a join."""
-    t = tfidf(products, cell, leave_out)
+    t = staged(tfidf(products, cell, leave_out), "tfidf")
     a = t.select(*cell, "term", F.col("product_id").alias(AFFECTED), F.col("weight").alias("x"))
     b = t.select(*cell, "term", F.col("product_id").alias(PRICED), F.col("weight").alias("y"))
-    dots = a.join(b, [*cell, "term"]).where(F.col(AFFECTED) != F.col(PRICED)).groupBy(*cell, AFFECTED, PRICED).agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
-    grid = product_grid(products, cell).join(dots, [*cell, AFFECTED, PRICED], "left")
-    same = F.col(AFFECTED) == F.col(PRICED)
-    raw = grid.withColumn("raw", F.when(same, 0.0).otherwise(1 - F.coalesce("dot", F.lit(0.0))))
-    mean = F.avg(F.when(~same, F.col("raw"))).over(Window.partitionBy(*cell))
-    return raw.select(*cell, AFFECTED, PRICED, (F.col("raw") / F.when(mean > 0, mean).otherwise(1.0)).alias("distance"))
+    # each pair once; a term of one product alone meets nothing
+    dots = a.join(b, [*cell, "term"]).where(F.col(AFFECTED) < F.col(PRICED)).groupBy(*cell, AFFECTED, PRICED).agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
+    dots = staged(dots, "dots")
+    both = dots.unionByName(dots.select(*cell, F.col(PRICED).alias(AFFECTED), F.col(AFFECTED).alias(PRICED), "dot"))
+    n = products.groupBy(*cell).agg(F.count_distinct("product_id").alias("n"))
+    mean = n.join(both.groupBy(*cell).agg(F.sum("dot").alias("dot")), list(cell), "left").select(*cell, (1 - F.coalesce("dot", F.lit(0.0)) / (F.col("n") * (F.col("n") - 1))).alias("mean"))
+    grid = product_grid(products, cell).join(both, [*cell, AFFECTED, PRICED], "left").join(mean, list(cell))
+    raw = F.when(F.col(AFFECTED) == F.col(PRICED), 0.0).otherwise(1 - F.coalesce("dot", F.lit(0.0)))
+    return grid.select(*cell, AFFECTED, PRICED, (raw / F.when(F.col("mean") > 0, F.col("mean")).otherwise(1.0)).alias("distance"))
 
 
 def brand_distances(products: DataFrame, cell: Sequence[str] = CELL) -> DataFrame:
@@ -53,11 +57,26 @@ def brand_distances(products: DataFrame, cell: Sequence[str] = CELL) -> DataFram
     return a.join(b, list(cell)).select(*cell, AFFECTED, PRICED, F.when((F.col("a") == F.col("b")) | (F.col(AFFECTED) == F.col(PRICED)), 0.0).otherwise(1.0).alias("distance"))
 
 
+def global_rank(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """``rows`` with ``place`` (from 1) and ``n`` within each of ``keys``, by columns whose values differ between rows, sorted by all tasks.
+
+    Ranges of (keys, order) are dealt to tasks; a row's place is its place within its range, and the rows in the ranges before it."""
+    ranged = staged(rows.repartitionByRange(*keys, *order).withColumn("__range", F.spark_partition_id()), "ranges")
+    each = ranged.groupBy(*keys, "__range").agg(F.count(F.lit(1)).alias("__n"))
+    total = each.groupBy(*keys).agg(F.collect_list(F.struct("__range", "__n")).alias("__all"))
+    add = lambda sizes: F.aggregate(sizes, F.lit(0).cast("long"), lambda a, x: a + x["__n"])
+    before = add(F.filter("__all", lambda x: x["__range"] < F.col("__range")))
+    starts = each.join(total, list(keys)).select(*keys, "__range", before.alias("__before"), add(F.col("__all")).alias("n"))
+    within = F.row_number().over(Window.partitionBy(*keys, "__range").orderBy(*order))
+    return ranged.withColumn("__within", within).join(starts, [*keys, "__range"]).select(*rows.columns, (F.col("__before") + F.col("__within")).alias("place"), "n")
+
+
 def rank_normalised(distances: DataFrame, cell: Sequence[str] = CELL, digits: int = 12) -> DataFrame:
-    """Distances as their rank among the cell's pairs, in (0, 1]; ties, up to ``digits``, by product ids. A sort of a cell's pairs only."""
-    upper = distances.where(F.col(AFFECTED) < F.col(PRICED)).withColumn("near", F.round("distance", digits))
-    place = F.row_number().over(Window.partitionBy(*cell).orderBy("near", AFFECTED, PRICED)) / F.count(F.lit(1)).over(Window.partitionBy(*cell))
-    ranked = upper.select(*cell, AFFECTED, PRICED, place.alias("distance"))
+    """Distances as their rank among the cell's pairs, in (0, 1]; ties, up to ``digits``, by product ids."""
+    distances = staged(distances, "distances")
+    upper = distances.where(F.col(AFFECTED) < F.col(PRICED)).select(*cell, AFFECTED, PRICED, F.round("distance", digits).alias("near"))
+    ranked = global_rank(upper, cell, ["near", AFFECTED, PRICED]).select(*cell, AFFECTED, PRICED, (F.col("place") / F.col("n")).alias("distance"))
+    ranked = staged(ranked, "ranked")
     mirrored = ranked.select(*cell, F.col(PRICED).alias(AFFECTED), F.col(AFFECTED).alias(PRICED), "distance")
     diagonal = distances.where(F.col(AFFECTED) == F.col(PRICED)).select(*cell, AFFECTED, PRICED, F.lit(0.0).alias("distance"))
     return ranked.unionByName(mirrored).unionByName(diagonal)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfwise.operators.board import PAYLOAD
+from shelfwise.sources.delimited import decoded, placed, scan
 
 _S, _I, _D = T.StringType(), T.IntegerType(), T.DoubleType()
 
@@ -57,20 +58,55 @@ def discover(spark: SparkSession, root: str, pattern: str | None = None) -> Data
     return found.where(F.col("cell_slug").rlike(f"^(?:{pattern})$")) if pattern else found
 
 
-def read_table(spark: SparkSession, root: str, table: str, cells: str = "*") -> DataFrame:
-    """A table of all cells, by header name, ids as text; ``row_ord`` is the place in the source, for picks that go by file order.
-
-    Cells without the file have no rows."""
+def _scanned(spark: SparkSession, root: str, table: str, cells: str = "*"):
     path, schema = TABLES[table]
-    names = {f.name: f.dataType for f in schema}
+    return scan(spark, f"{root}/{cells}/{path}", schema.fieldNames(), lambda p: [decoded(slug_of(p)).alias("cell_slug")])
+
+
+def having(spark: SparkSession, root: str, table: str, cells: str = "*") -> DataFrame:
+    """(cell_slug) of the cells that have the table's file, whatever is in it."""
     try:
-        raw = spark.read.option("header", True).option("enforceSchema", False).csv(f"{root}/{cells}/{path}")
-    except AnalysisException as e:  # no cell has this table
+        files = spark.createDataFrame([(f,) for f in spark.read.text(f"{root}/{cells}/{TABLES[table][0]}").inputFiles()], "path string")
+    except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
+        return spark.createDataFrame([], "cell_slug string")
+    return files.select(decoded(slug_of(F.col("path"))).alias("cell_slug")).distinct()
+
+
+def read_table(spark: SparkSession, root: str, table: str, cells: str = "*") -> DataFrame:
+    """A table of all cells, by each file's header, ids as text; ``row_ord`` is the place in the source, for picks that go by file order.
+
+    Cells without the file have no rows, files without a column have nulls in it, and what can't be read as its type is null (see ``problems``)."""
+    _, schema = TABLES[table]
+    found = _scanned(spark, root, table, cells)
+    if found is None:  # no cell has this table
         return spark.createDataFrame([], T.StructType([T.StructField("cell_slug", _S), *schema, T.StructField("row_ord", T.LongType())]))
-    cols = [F.col(c).try_cast(t).alias(c) if c in raw.columns else F.lit(None).cast(t).alias(c) for c, t in names.items()]
-    return raw.select(slug_of(F.input_file_name()).alias("cell_slug"), *cols, F.monotonically_increasing_id().alias("row_ord"))
+    return found.lines.select("cell_slug", *[found.column(f.name).try_cast(f.dataType).alias(f.name) for f in schema], F.col("at").alias("row_ord"))
+
+
+#: Columns without which a cell can't be scored, by table.
+NEEDED = {
+    "panel": ("product_id", "store_id", "week", "units", "dollars", "price"), "elasticity_truth": ("priced_product_id", "affected_product_id", "epsilon_star"),
+    "sweep_truth": ("intervention_id", "product_id", "store_id", "week", "baseline_units", "true_counterfactual_units"),
+}
+
+
+def problems(spark: SparkSession, root: str, table: str, cells: str = "*") -> DataFrame:
+    """(cell_slug, reason): what is wrong with the table's files, cell by cell: an empty file, a needed column that isn't there, weeks that are no whole numbers.
+
+    Measures that can't be read aren't in it: they count as missing where they are scored."""
+    found = _scanned(spark, root, table, cells)
+    if found is None:
+        return spark.createDataFrame([], "cell_slug string, reason string")
+    lacks = F.filter("missing", lambda c: c.isin(*NEEDED[table]))
+    header = F.when(F.col("missing").isNull(), F.lit(f"{table}: an empty file")).when(F.size(lacks) > 0, F.concat(F.lit(f"{table}: no column "), F.array_join(lacks, ", ")))
+    out = found.files.groupBy("cell_slug").agg(F.min(header).alias("reason")).where("reason is not null")
+    if "week" in NEEDED[table]:
+        week = found.column("week")
+        bad = found.lines.where(week.isNotNull() & week.try_cast("int").isNull()).groupBy("cell_slug").agg(F.count(F.lit(1)).alias("n"))
+        out = out.unionByName(bad.select("cell_slug", F.concat(F.lit(f"{table}: "), F.col("n").cast("string"), F.lit(" rows whose week is no whole number")).alias("reason")))
+    return out
 
 
 def read_config(spark: SparkSession, root: str, cells: str = "*") -> DataFrame:
@@ -104,17 +140,16 @@ def read_payloads(spark: SparkSession, path: str, multi_line: bool = False) -> D
 
 
 def write_table(df: DataFrame, root: str, table: str) -> None:
-    """A table of all cells into their folders, without ``cell_slug``; the cells' names, a row each, come to the driver."""
+    """A table of all cells into their folders, without ``cell_slug``."""
     path, schema = TABLES[table]
-    for slug in [r[0] for r in df.select("cell_slug").distinct().collect()]:
-        df.where(F.col("cell_slug") == slug).select(*[c for c in schema.fieldNames() if c in df.columns]).write.option("header", True).csv(f"{root}/{slug}/{path}")
+    rows = df.select("cell_slug", *[c for c in schema.fieldNames() if c in df.columns])
+    placed(rows, ["cell_slug"], root, path, lambda w, to: w.option("header", True).option("escape", '"').csv(to))
 
 
 def write_config(config: DataFrame, root: str) -> None:
     """The release file of each cell, from (cell_slug, benchmark_version, family, eval_week_count)."""
     shown = F.struct("benchmark_version", F.struct(F.struct(F.col("family").alias("model_family")).alias("active_cell")).alias("benchmark_family"), F.struct(F.col("eval_week_count").alias("counterfactual_eval_weeks")).alias("simulation"))
-    for slug in [r[0] for r in config.select("cell_slug").distinct().collect()]:
-        config.where(F.col("cell_slug") == slug).select(F.to_json(shown)).write.text(f"{root}/{slug}/{MARKERS[0]}")
+    placed(config.dropDuplicates(["cell_slug"]).select("cell_slug", F.to_json(shown).alias("value")), ["cell_slug"], root, MARKERS[0], lambda w, to: w.text(to))
 
 
 def write_submission(forecast: DataFrame, elasticity: DataFrame, deltas: DataFrame, path: str) -> None:

@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from shelfwise.operators import board
@@ -62,6 +63,76 @@ def test_absent_and_bad_tables(spark, tmp_path):
     assert marked == {"good": None, "bad": "invalid_format", "blank": "invalid_format"}
 
 
+def test_columns_by_each_files_own_header(spark, tmp_path):
+    """Other orders, further columns, quotes, a byte order mark, blank lines, fields too few and too many, a name with special characters, and a table of parts."""
+    sent, file = tmp_path / "sent", submissions.FILES["forecast"]
+    texts = {
+        ("a b%+", "c 1"): "product_id,store_id,week,predicted_units\n1,S,3,2.5\n\n2,S,junk,junk\nproduct_id,store_id,week,predicted_units\n",
+        ("mixed", "c 1"): '\ufeffextra,week,"store_id",predicted_units,product_id\n"x, y",4,"S ""q""",7,007\n,5\n1,2,3,4,5,6,7\n',
+        ("short", "c 1"): "product_id,store_id,week\n1,S,3",
+    }
+    for (name, cell), text in texts.items():
+        (sent / name / cell).mkdir(parents=True)
+        (sent / name / cell / file).write_text(text, encoding="utf-8")
+    (sent / "parts" / "c 1" / file).mkdir(parents=True)
+    (sent / "parts" / "c 1" / file / "part-0.csv").write_text("week,product_id,store_id,predicted_units\n1,P,S,1\n")
+    (sent / "parts" / "c 1" / file / "part-1.csv").write_text("product_id,store_id,predicted_units,week\nP,S,2,2\n")
+    keys = [(n, "c 1") for n in ("a b%+", "mixed", "short", "parts", "none")]
+    tables, told = submissions.read_submissions(spark, str(sent), keys)
+    got = {}
+    for r in tables["forecast"].collect():
+        got.setdefault(r.submission_name, set()).add((r.product_id, r.store_id, r.week, r.predicted_units))
+    assert got == {
+        "a b%+": {("1", "S", 3, "2.5"), ("2", "S", None, "junk"), ("product_id", "store_id", None, "predicted_units")},
+        "mixed": {("007", 'S "q"', 4, "7"), (None, None, 5, None), ("5", "3", 2, "4")}, "parts": {("P", "S", 1, "1"), ("P", "S", 2, "2")},
+    }
+    status = {r.submission_name: (r.status, r.reason) for r in told.where("task = 'forecast'").collect()}
+    assert status == {"a b%+": ("ok", None), "mixed": ("ok", None), "parts": ("ok", None), "none": ("not_submitted", None), "short": ("invalid_format", "forecast: no column predicted_units among product_id, store_id, week")}
+
+
+def test_a_split_file_has_one_header(spark, tmp_path):
+    lines = ["product_id,store_id,week,predicted_units", *[f"P{k},S,{k},{k}.5" for k in range(3000)]]
+    (tmp_path / "m" / "c").mkdir(parents=True)
+    (tmp_path / "m" / "c" / submissions.FILES["forecast"]).write_text("\n".join(lines))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows, told = submissions.read_task(spark, str(tmp_path), "forecast")
+        assert spark.read.text(str(tmp_path / "m" / "c")).rdd.getNumPartitions() > 3 and rows.count() == 3000 and rows.agg(F.sum("week")).first()[0] == sum(range(3000)) and told.first().status == "ok"
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_many_submissions_are_one_scan(spark, tmp_path):
+    rows = spark.range(300).selectExpr("concat('s', id) as submission_name", "'c' as cell_slug", "'P' as product_id", "'S' as store_id", "cast(id as int) as week", "cast(id as double) as predicted_units")
+    submissions.write_task(rows.repartition(4), str(tmp_path), "forecast")
+    found, told = submissions.read_task(spark, str(tmp_path), "forecast")
+    assert found._jdf.queryExecution().executedPlan().toString().count("Scan text") <= 4
+    assert {(r.submission_name, r.week) for r in found.collect()} == {(f"s{k}", k) for k in range(300)} and told.where("status = 'ok'").count() == 300
+
+
+def test_problems_of_cells(spark, tmp_path):
+    for k in range(4):
+        make_cell(tmp_path, f"x_seed{k}", cells.MARKERS[0])
+    panel = cells.TABLES["panel"][0]
+    (tmp_path / "x_seed1" / panel).write_text("")
+    (tmp_path / "x_seed2" / panel).write_text("store_id,product_id,week,units,price\nS,P,1,2,3\n")
+    (tmp_path / "x_seed3" / panel).write_text("price,dollars,units,week,store_id,product_id\n1.5,3,2,7,S,P\n1,1,1,x,S,P\n1,1,1,,S,P\n")
+    told = {r.cell_slug: r.reason for r in cells.problems(spark, str(tmp_path), "panel").collect()}
+    assert told == {"x_seed1": "panel: an empty file", "x_seed2": "panel: no column dollars", "x_seed3": "panel: 1 rows whose week is no whole number"}
+    assert {r.cell_slug for r in cells.having(spark, str(tmp_path), "panel").collect()} == {f"x_seed{k}" for k in range(4)}
+    rows = {(r.cell_slug, r.week): (r.product_id, r.price, r.units) for r in cells.read_table(spark, str(tmp_path), "panel").where("cell_slug in ('x_seed2', 'x_seed3')").collect()}
+    assert rows == {("x_seed2", 1): ("P", 3.0, 2.0), ("x_seed3", 7): ("P", 1.5, 2.0), ("x_seed3", None): ("P", 1.0, 1.0)}
+    assert cells.problems(spark, str(tmp_path), "sweep_truth").count() == 0
+
+
+def test_a_cell_is_not_written_over(spark, tmp_path):
+    rows = spark.createDataFrame([("c=1 %", "P", 1)], "cell_slug string, product_id string, week int")
+    cells.write_table(rows, str(tmp_path), "panel")
+    assert [(r.cell_slug, r.product_id, r.week) for r in cells.read_table(spark, str(tmp_path), "panel").collect()] == [("c=1 %", "P", 1)]
+    with pytest.raises(OSError):
+        cells.write_table(rows, str(tmp_path), "panel")
+
+
 def test_a_failing_cell_leaves_the_others(spark):
     def score(slug):
         if slug == "b":
