@@ -111,7 +111,7 @@ def cost_line(row, theta: np.ndarray):
 
 
 def control_function(lines: DataFrame, start: DataFrame, cell: Sequence[str] = CELL) -> DataFrame:
-    """``lines`` with ``cf_residual``: what store and week effects and the cost instrument leave of the log price."""
+    """``lines`` with ``cf_residual``, what store and week effects and the cost instrument leave of the log price, and ``slope``, the cost's coefficient."""
     keys = [*cell, "product_id"]
     zeros = F.array_repeat(F.lit(0.0), F.size("theta") + 1)
     fitted = maximise(lines, start.select(*keys, zeros.alias("theta")), keys, cost_line, 1)
@@ -123,9 +123,9 @@ def control_function(lines: DataFrame, start: DataFrame, cell: Sequence[str] = C
                 theta = np.asarray(row.theta)
                 left = np.asarray(row.log_price) - theta[:-1][np.asarray(row.at, np.int64)] - theta[-1] * _costs(row)
                 out.append(left - left.mean())
-            yield batch.drop(columns="theta").assign(cf_residual=out)
+            yield batch.drop(columns="theta").assign(cf_residual=out, slope=[float(t[-1]) for t in batch["theta"]])
 
-    schema = ", ".join(f"{c} {t}" for c, t in lines.dtypes) + ", cf_residual array<double>"
+    schema = ", ".join(f"{c} {t}" for c, t in lines.dtypes) + ", cf_residual array<double>, slope double"
     return lines.join(fitted.select(*keys, "theta"), keys).select(*lines.columns, "theta").mapInPandas(of, schema)
 
 

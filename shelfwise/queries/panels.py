@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.functions.columns import season
+from shelfwise.functions.columns import log_price, season
 from shelfwise.operators import counterfactual, forecast, loglog, shares, text
 from shelfwise.operators.elasticity import product_grid
 from shelfwise.plans import actual
@@ -47,6 +47,17 @@ def covered_week(spark: SparkSession, d: str) -> DataFrame:
     return actual.last_covered_week(clean_movement(v.movement(spark, d)))
 
 
+@query("fixture_cell", """ SELECT p.cell_slug, count(*) AS panel_rows, count(*) FILTER (w.week IS NULL) AS training_rows, 2 * count(*) FILTER (w.week IS NOT NULL AND n % 2 = 0) AS sweep_rows, round(sum(CASE WHEN w.week IS NOT NULL AND n % 2 = 0 THEN 2.0 * units END), 4) AS sweep_units, round(max(CASE WHEN w.week IS NOT NULL AND n % 2 = 0 THEN price * 1.1 END), 6) AS highest_price
+FROM panel p JOIN prods USING (cell_slug, product_id) LEFT JOIN weeks w USING (cell_slug, week) GROUP BY 1""")
+def fixture_cell(spark: SparkSession, d: str) -> DataFrame:
+    """A synthetic panel as an actual-arm cell, swept for every second product."""
+    p = v.panel(spark, d)
+    cell = actual.fixture_cell(p, p.where(v.brand_no() % 2 == 0), v.EVAL_WEEKS)
+    counts = cell["panel"].groupBy("cell_slug").agg(F.count(F.lit(1)).alias("panel_rows")).join(cell["training"].groupBy("cell_slug").agg(F.count(F.lit(1)).alias("training_rows")), "cell_slug")
+    swept = cell["sweep"].groupBy("cell_slug").agg(F.count(F.lit(1)).alias("sweep_rows"), F.round(F.sum("baseline_units"), 4).alias("sweep_units"), F.round(F.max("intervention_price"), 6).alias("highest_price"))
+    return counts.join(swept, "cell_slug")
+
+
 @query("universe80", _WINDOW + " SELECT 'actual' AS cell_slug, product_id FROM uni")
 def universe80(spark: SparkSession, d: str) -> DataFrame:
     p = actual.window_of(clean_movement(v.movement(spark, d)), 156).withColumn("cell_slug", F.lit("actual"))
@@ -107,6 +118,15 @@ def _weights(p: DataFrame) -> DataFrame:
     return text.kernel_weights(text.brand_distances(own))
 
 
+@query("text_kernel_weights", _TFIDF + """, u AS (SELECT cell_slug, affected_product_id AS a, priced_product_id AS b, row_number() OVER (PARTITION BY cell_slug ORDER BY round(distance, 8), affected_product_id, priced_product_id) / count(*) OVER (PARTITION BY cell_slug) AS r FROM dist WHERE affected_product_id < priced_product_id),
+rn AS (SELECT cell_slug, a AS i, b AS k, r FROM u UNION ALL SELECT cell_slug, b, a, r FROM u),
+kn AS (SELECT cell_slug, i AS affected_product_id, k AS priced_product_id, exp(-r / 0.5) AS e FROM rn QUALIFY row_number() OVER (PARTITION BY cell_slug, i ORDER BY r, k) <= 5)
+SELECT cell_slug, affected_product_id, priced_product_id, round(e / sum(e) OVER (PARTITION BY cell_slug, affected_product_id), 6) AS w FROM kn""")
+def text_kernel_weights(spark: SparkSession, d: str) -> DataFrame:
+    """Neighbours on the text axis: the five nearest by ranks of text distances."""
+    return rounded(text.kernel_weights(text.rank_normalised(_distances(spark, d), digits=8)))
+
+
 @query("gaussian_kernel", ", u AS (SELECT a.cell_slug, a.product_id AS i, b.product_id AS k, ((a.n + b.n) % 10) / 10.0 AS dd FROM prods a JOIN prods b USING (cell_slug)) SELECT cell_slug, i AS affected_product_id, k AS priced_product_id, round(exp(-dd * dd / (2 * 0.35 * 0.35)), 6) AS kernel FROM u")
 def gaussian_kernel(spark: SparkSession, d: str) -> DataFrame:
     return rounded(text.gaussian_kernel(_ranks(v.panel(spark, d))))
@@ -183,6 +203,35 @@ def loglog_sweep_deltas(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("predicted_delta_units", F.round("predicted_delta_units", 5) + 0.0)
 
 
+def _demean_sql(source: str, columns: tuple[str, ...], groups: tuple[str, ...], weight: str | None, keep: str, passes: int = 4) -> tuple[str, str]:
+    """The passes unrolled: one select for each group of each pass."""
+    out, last = "", source
+    for p in range(passes):
+        for g, by in enumerate(groups):
+            mean = lambda c: f"sum({weight} * {c}) OVER (PARTITION BY {by}) / sum({weight}) OVER (PARTITION BY {by})" if weight else f"avg({c}) OVER (PARTITION BY {by})"  # noqa: B023, E731
+            name = f"{source}_{p}_{g}"
+            out += f", {name} AS MATERIALIZED (SELECT {keep}, " + ", ".join(f"{c} - {mean(c)} AS {c}" for c in columns) + f" FROM {last})"
+            last = name
+    return out, last
+
+
+_FS = ", fs AS (SELECT cell_slug, product_id, store_id, week, ln(greatest(price, 0.01)) AS p, supply_cost_proxy AS c FROM train)"
+_FS_DM, _FS_LAST = _demean_sql("fs", ("p", "c"), ("cell_slug, product_id, store_id", "cell_slug, product_id, week"), None, "cell_slug, product_id, store_id, week", 60)
+_FIRST_STAGE = _FS + _FS_DM + f""", sl AS (SELECT cell_slug, product_id, sum(p * c) / sum(c * c) AS b FROM {_FS_LAST} GROUP BY 1, 2)
+SELECT cell_slug, product_id, count(*) AS n_rows, round(b, 6) AS slope, round(sqrt(avg(pow(p - b * c, 2))), 6) AS residual_rms FROM {_FS_LAST} JOIN sl USING (cell_slug, product_id) GROUP BY cell_slug, product_id, b"""
+
+
+@query("first_stage", _FIRST_STAGE)
+def first_stage(spark: SparkSession, d: str) -> DataFrame:
+    """What store and week effects and the cost instrument leave of each product's log prices."""
+    rows = v.training(v.panel(spark, d)).withColumns({"log_price": log_price("price"), "npi": F.lit(0.0)})
+    lines, start = loglog.store_lines(rows)
+    lines = staged(fewer_files(lines), "lines")
+    left = loglog.control_function(lines, start).select("cell_slug", "product_id", "slope", F.explode("cf_residual").alias("r"))
+    out = left.groupBy("cell_slug", "product_id", "slope").agg(F.count(F.lit(1)).alias("n_rows"), F.sqrt(F.avg(F.col("r") * F.col("r"))).alias("residual_rms"))
+    return rounded(out)
+
+
 @query("loglog_fit")
 def loglog_fit(spark: SparkSession, d: str) -> DataFrame:
     """Instrumented fit with brand neighbours, all products in one job."""
@@ -198,18 +247,6 @@ def share_panel(spark: SparkSession, d: str) -> DataFrame:
     return rounded(shares.share_panel(v.training(v.panel(spark, d)), False), 9)
 
 
-def _demean_sql(source: str, columns: tuple[str, ...], groups: tuple[str, ...], weight: str | None, keep: str, passes: int = 4) -> tuple[str, str]:
-    """The passes unrolled: one select for each group of each pass."""
-    out, last = "", source
-    for p in range(passes):
-        for g, by in enumerate(groups):
-            mean = lambda c: f"sum({weight} * {c}) OVER (PARTITION BY {by}) / sum({weight}) OVER (PARTITION BY {by})" if weight else f"avg({c}) OVER (PARTITION BY {by})"  # noqa: B023, E731
-            name = f"{source}_{p}_{g}"
-            out += f", {name} AS MATERIALIZED (SELECT {keep}, " + ", ".join(f"{c} - {mean(c)} AS {c}" for c in columns) + f" FROM {last})"
-            last = name
-    return out, last
-
-
 _DM, _DM_LAST = _demean_sql("sp", ("y", "x", "z"), ("cell_slug, product_id, store_id", "cell_slug, week"), "wt", "cell_slug, product_id, store_id, week, wt")
 _SLOPES = _SHARES + _DM + f""", pooled AS (SELECT cell_slug, sum(wt * z * y) / sum(wt * z * x) AS pooled FROM {_DM_LAST} GROUP BY 1), own AS (SELECT cell_slug, product_id, sum(wt * z * y) / sum(wt * z * x) AS own FROM {_DM_LAST} GROUP BY 1, 2 HAVING count(*) >= 200 AND sum(wt * z * y) / sum(wt * z * x) < 0)
 SELECT t.cell_slug, t.product_id, round(coalesce(own, pooled, 0.0), 6) + 0.0 AS target FROM (SELECT DISTINCT cell_slug, product_id FROM train) t JOIN pooled USING (cell_slug) LEFT JOIN own ON own.cell_slug = t.cell_slug AND own.product_id = t.product_id"""
