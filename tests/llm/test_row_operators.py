@@ -1,10 +1,14 @@
+import base64
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
+import zstandard
 
 from shelfwise.llm import decontamination, licences, packing, quality, tokens, wavelet
 
@@ -61,10 +65,10 @@ def open_prose(rng, words):
 
 @pytest.mark.parametrize("words", [400])
 def test_quality_bands_decide_what_the_base_rule_keeps(words):
-    """Words that carry symbols: no window of five words comes back, but they squeeze better than prose does."""
+    """Words that carry rows of symbols: no window of five words comes back, but they squeeze better than any prose does, licences included."""
     rng = np.random.default_rng(words)
     plain = open_prose(rng, words)
-    with_symbols = [w + "*$%&"[len(w) % 4] * 3 for w in plain]
+    with_symbols = [w + "*$%&"[len(w) % 4] * 8 for w in plain]
     for text, kept in ((" ".join(plain), True), (" ".join(with_symbols), False)):
         r = quality.signals_of(quality.pd.Series([text])).iloc[0]
         assert not r.base_failed and bool(r.kept) == kept, (r.whole_ratio, r.reason)
@@ -72,8 +76,6 @@ def test_quality_bands_decide_what_the_base_rule_keeps(words):
 
 @pytest.mark.parametrize("size", [500, 1000, 3000, 20_000])
 def test_quality_of_encoded_and_half_repeated_texts(size):
-    import base64
-
     rng = np.random.default_rng(size)
     squeeze = quality.zstandard.ZstdCompressor(level=3)
     words = " ".join(open_prose(rng, 6000)).encode()
@@ -85,6 +87,55 @@ def test_quality_of_encoded_and_half_repeated_texts(size):
     assert (quality.verdict(words[: size * 6 // 10] + b"=-" * (size * 2 // 10), squeeze)[3] or "").startswith("repetitive")
 
 
+def plain_judge(raw):
+    """Kept or not by the bands, from their definition."""
+
+    def limits(n):
+        if n < quality.BANDS[0][0]:
+            return 0.0, math.inf
+        below = [b for b in quality.BANDS if b[0] <= n][-1]
+        above = next((b for b in quality.BANDS if b[0] > n), below)
+        part = 0.0 if above is below else (math.log2(n) - math.log2(below[0])) / (math.log2(above[0]) - math.log2(below[0]))
+        return tuple(below[k] + part * (above[k] - below[k]) for k in (1, 2))
+
+    def ratio(x):
+        return len(zstandard.ZstdCompressor(level=3).compress(x)) / len(x)
+
+    def large(x):
+        entropy = -sum(n / len(x) * math.log2(n / len(x)) for n in Counter(x).values()) / 8
+        most = 1.0 if len(x) >= 4096 else 1.02 if len(x) >= 3072 else math.inf
+        return ratio(x) > limits(len(x))[1] or ratio(x) > most * entropy
+
+    if not limits(len(raw))[0] <= ratio(raw) or large(raw):
+        return False
+    chunks = [raw[k : k + 4096] for k in range(0, len(raw), 4096)] if len(raw) > 4096 else []
+    small = sum(len(c) for c in chunks if ratio(c) < limits(len(c))[0] - 0.07)
+    return 4 * small <= len(raw) and 4 * sum(len(c) for c in chunks if large(c)) <= len(raw)
+
+
+def test_quality_verdicts_against_a_plain_judge(docs, rows):
+    rng = np.random.default_rng(12)
+    squeeze = quality.zstandard.ZstdCompressor(level=3)
+    texts = [t.encode() for _, t in rows if t]
+    for n in (200, 256, 300, 700, 1500, 3000, 3500, 4096, 4097, 9000, 40_000):
+        words = " ".join(open_prose(rng, n // 4)).encode()[:n]
+        texts += [words, rng.bytes(n).hex().encode()[:n], rng.bytes(n), words[: n // 2] + b"la la " * (n // 10), words[: n * 2 // 3] + rng.bytes(n // 3), b"".join(w + b"###" for w in words.split())]
+    lexicon = open_prose(rng, 400)
+    plain = " ".join(lexicon[k] for k in rng.integers(0, 400, 12_000)).encode()
+    texts += [words[:28_000] + b"la la lu " * 1_300, plain[:29_500] + base64.b64encode(rng.bytes(8_000))]
+    verdicts = [quality.verdict(raw, squeeze)[3] for raw in texts]
+    assert [v is None for v in verdicts] == [plain_judge(raw) for raw in texts] and len({*verdicts}) == 5
+    got = quality.judge(docs).where("not quality_signals.base_failed").select("text", "quality_signals.kept").collect()
+    assert len(got) > 20 and all(r.kept == plain_judge(r.text.encode()) for r in got)
+
+
+def test_quality_keeps_licences():
+    """Real prose, and the most regular there is: the licences that this machine has."""
+    found = [p for p in Path("/usr/share/common-licenses").glob("*") if p.is_file() and p.stat().st_size > 1000]
+    kept = {p.name: quality.signals_of(quality.pd.Series([p.read_text(encoding="utf-8", errors="replace")])).iloc[0] for p in found}
+    assert all(r.kept for r in kept.values() if not r.base_failed), {n: (r.reason, r.whole_ratio) for n, r in kept.items() if not r.kept}
+
+
 def test_quality_stage_keeps_columns(docs, spark):
     kept = quality.stage(spark, docs, "")
     assert kept.columns == docs.columns
