@@ -233,15 +233,18 @@ _SPACE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def item_blocks(items: DataFrame, id_col: str, text_col: str, most: int, window: int) -> tuple[int, DataFrame]:
-    """The number of blocks, and the items as (block, item, text): by a hash, so that a block has some ``most`` words; longer items in overlapping parts."""
-    rows = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("item"), F.col(text_col).alias("text")).where("text is not null")
+    """The number of blocks, and the distinct items as (block, item, text): by a hash, so that a block has some ``most`` words and never over twice as many; longer items in overlapping parts."""
+    rows = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("item"), F.col(text_col).alias("text")).where("text is not null").distinct()
     words = F.split(F.trim(F.regexp_replace("text", _SPACE, " ")), " ")
     step = max(1, most - window + 1)
     parts = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - window, F.lit(0)), F.lit(step)), lambda i: F.array_join(F.slice(words, i + 1, most), " "))
-    rows = rows.withColumn("text", F.explode(F.when(F.size(words) > most, parts).otherwise(F.array("text"))))
-    total = rows.agg(F.sum(F.size(F.split("text", _SPACE)))).first()[0] or 0
-    blocks = -(-total // most) or 1
-    return blocks, rows.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks)))
+    rows = rows.withColumn("text", F.explode(F.when(F.size(words) > most, parts).otherwise(F.array("text")))).distinct()
+    block = lambda n: F.pmod(F.xxhash64("item", "text"), F.lit(n)).alias("block")
+    size = F.sum(F.size(F.split("text", _SPACE))).alias("n")
+    blocks = -(-(rows.agg(size).first()[0] or 0) // most) or 1
+    while blocks > 1 and rows.groupBy(block(blocks)).agg(size).agg(F.max("n")).first()[0] > 2 * most:
+        blocks *= 2
+    return blocks, rows.select(block(blocks), "item", "text")
 
 
 def find_items(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, out: str = "hits", cut_from: int | None = None) -> DataFrame:

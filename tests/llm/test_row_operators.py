@@ -136,6 +136,18 @@ def test_quality_keeps_licences():
     assert all(r.kept for r in kept.values() if not r.base_failed), {n: (r.reason, r.whole_ratio) for n, r in kept.items() if not r.kept}
 
 
+def test_blocks_of_items_are_bounded(spark):
+    """One item repeated very often is one; blocks stay within twice their size, whatever the hash does."""
+    items = [(1, "a b c d e f g h i j k")] * 500 + [(k, " ".join(f"w{k}x{i}" for i in range(1 + k % 37))) for k in range(2, 400)] + [(1000, " ".join(f"long{i}" for i in range(1000)))]
+    df = spark.createDataFrame(items, "item_id long, text string")
+    for most in (40, 100, 5000):
+        blocks, rows = decontamination.item_blocks(df, "item_id", "text", most, 10)
+        sizes = Counter()
+        for r in rows.collect():
+            sizes[r.block] += len(ALNUM.findall(low(r.text)))
+        assert max(sizes.values()) <= 2 * most and len(sizes) <= blocks and sum(1 for r in rows.collect() if r.item == "1") == 1
+
+
 def test_quality_stage_keeps_columns(docs, spark):
     kept = quality.stage(spark, docs, "")
     assert kept.columns == docs.columns
