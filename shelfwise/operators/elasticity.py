@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions.columns import measure, ratio
+from shelfwise.operators.quantiles import exact_quantile
+from shelfwise.staging import staged
 
 CELL = ("cell_slug",)
 AFFECTED, PRICED = "affected_product_id", "priced_product_id"
@@ -83,7 +85,8 @@ def classified(entries: DataFrame, keys: Sequence[str], percent: float = 0.2) ->
     strictly beyond the quantile of the absolute basis."""
     cross = entries.where(F.col("inside") & F.col("defined") & (F.col(AFFECTED) != F.col(PRICED)))
     cross = cross.withColumns({"basis": F.when(F.col("has_conditional"), F.col("conditional")).otherwise(F.col("star")), "hat_basis": F.when(F.col("has_conditional"), F.col("hat") - (F.col("star") - F.col("conditional"))).otherwise(F.col("hat"))})
-    limit = cross.groupBy(*keys).agg(F.percentile(F.abs("basis"), F.lit(percent)).alias("limit"))
+    cross = staged(cross, "entries")
+    limit = exact_quantile(cross, keys, F.abs("basis"), percent, "limit")
     label = lambda c: F.when(F.col(c) > F.col("limit"), "substitute").when(F.col(c) < -F.col("limit"), "complement").otherwise("unrelated")
     return cross.join(limit, list(keys)).withColumns({"true_class": label("basis"), "hat_class": label("hat_basis")})
 

@@ -10,7 +10,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions.columns import bounded_exp, log_price, season
@@ -30,16 +30,23 @@ def neighbour_index(frame: DataFrame, weights: DataFrame, cell: Sequence[str] =
     The frame is shuffled once, into a row for each store-week with its products and their prices, in which each product looks its neighbours up;
     neighbours with their usual prices are a table by product, which Spark broadcasts where it is small."""
     keys, place = [*cell, *legs], [*cell, *legs, "store_id", "week"]
-    each = frame.repartition(*place).groupBy(*place, "product_id").agg(F.avg(log_price("price")).alias("lp"), F.collect_list(F.struct(*frame.columns)).alias("rows"))
-    there = staged(each.groupBy(*place).agg(F.collect_list(F.struct("product_id", "lp", "rows")).alias("products")), "store-weeks")
-    usual = there.select(*keys, F.explode("products").alias("p")).groupBy(*keys, F.col("p.product_id").alias(PRICED)).agg(F.avg("p.lp").alias("usual"))
+    each = frame.select(*place, F.struct("*", log_price("price").alias("__lp")).alias("row")).groupBy(*place).agg(F.collect_list("row").alias("rows"))
+    # of several rows of a product, the mean
+    named = F.array_distinct(F.filter("rows.product_id", lambda p: p.isNotNull()))
+    there = each.withColumn("prices", F.transform(named, lambda p: F.struct(p.alias(PRICED), _mean_of(F.filter("rows", lambda r: r["product_id"] == p)).alias("lp"))))
+    there = staged(there.select(*keys, "rows", "prices"), "store-weeks")
+    usual = there.select(*keys, F.explode("prices").alias("p")).groupBy(*keys, f"p.{PRICED}").agg(F.avg("p.lp").alias("usual"))
     # a neighbour that the frame hasn't at all counts as 0, so only those that it has are kept
-    known = weights.join(usual, [*cell, PRICED]).groupBy(*keys, F.col(AFFECTED).alias("product_id")).agg(F.collect_list(F.struct(F.col(PRICED).alias("id"), "w", "usual")).alias("near"))
-    prices = F.map_from_entries(F.transform(F.filter("products", lambda p: p["product_id"].isNotNull()), lambda p: F.struct(p["product_id"], p["lp"])))
-    opened = there.withColumn("prices", prices).select(*keys, F.explode("products").alias("p"), "prices").select(*keys, "p.product_id", "p.rows", "prices")
+    known = weights.join(usual, [*cell, PRICED]).groupBy(*keys, F.col(AFFECTED).alias("__of")).agg(F.collect_list(F.struct(F.col(PRICED).alias("id"), "w", "usual")).alias("near"))
+    opened = there.select(*keys, F.explode("rows").alias("row"), F.map_from_entries("prices").alias("prices")).withColumn("__of", F.col("row.product_id"))
     index = F.aggregate("near", F.lit(0.0), lambda total, n: total + n["w"] * F.coalesce(F.try_element_at("prices", n["id"]), n["usual"], F.lit(0.0)))
-    looked_up = opened.join(known, [*keys, "product_id"], "left").select(F.explode("rows").alias("row"), F.coalesce(index, F.lit(0.0)).alias("npi"))
-    return looked_up.select(*[F.col("row").getField(c).alias(c) for c in frame.columns], "npi")
+    return opened.join(known, [*keys, "__of"], "left").select(*[F.col("row").getField(c).alias(c) for c in frame.columns], F.coalesce(index, F.lit(0.0)).alias("npi"))
+
+
+def _mean_of(rows: Column) -> Column:
+    """Of the rows' log prices; null if none has one."""
+    known = F.filter(F.transform(rows, lambda r: r["__lp"]), lambda x: x.isNotNull())
+    return F.try_divide(F.aggregate(known, F.lit(0.0), lambda a, x: a + x), F.size(known))
 
 
 def prepared(training: DataFrame, weights: DataFrame, cell: Sequence[str] = CELL) -> DataFrame:
