@@ -42,7 +42,7 @@ INSIDE = 80
 #: Open phrases of a language that a round takes (twice as many the next time), and of all languages (which bounds what is broadcast).
 NODES, MOST_NODES = 16_384, 1 << 18
 #: Bytes of text that are split at a time, and words that are counted at a time.
-TEXT_BYTES, BLOCK_WORDS = 1 << 20, 250_000
+TEXT_BYTES, BLOCK_WORDS = 1 << 20, 500_000
 #: Bits of the map of frequent words.
 MAP_BITS = 26
 
@@ -119,7 +119,7 @@ def word_counts(docs: DataFrame, seed: int) -> DataFrame:
                 yield pa.record_batch({"lang": pa.array([langs[t] for t in own.text[at].tolist()], pa.string()), "code": codes, "word": pa.array(words, pa.binary()), "n": n})
 
     rows = docs.mapInArrow(of, "lang string, code long, word binary, n long")
-    return rows.repartition("code").groupBy("lang", "code", "word").agg(F.sum("n").alias("f"))
+    return rows.groupBy("lang", "code", "word").agg(F.sum("n").alias("f"))
 
 
 def word_map(words: DataFrame) -> np.ndarray:
@@ -152,15 +152,17 @@ def encoded(docs: DataFrame, seed: int, bits: np.ndarray) -> DataFrame:
 
 
 def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-    """Blocks of words; each row begins and ends with a zero, so no phrase crosses from one to the next."""
+    """Blocks of words; each row begins and ends with a zero, so no phrase crosses from one to the next. A block is a row longer than BLOCK_WORDS at most."""
     parts, n = [], 0
     for batch in batches:
-        x = batch.column("codes").flatten().to_numpy(zero_copy_only=False)
-        parts.append(x)
-        n += len(x)
-        if n >= BLOCK_WORDS:
-            yield np.concatenate(parts)
-            parts, n = [], 0
+        rows = batch.column("codes")
+        ends, codes = rows.offsets.to_numpy(), rows.values.to_numpy(zero_copy_only=False)
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            parts.append(codes[a:b])
+            n += b - a
+            if n >= BLOCK_WORDS:
+                yield np.concatenate(parts)
+                parts, n = [], 0
     if parts:
         yield np.concatenate(parts)
 
