@@ -64,6 +64,8 @@ STATE = "theta array<double>, before array<double>, value double, step array<dou
 MEMORY = 6
 #: Keys whose sums a task holds at a time, and shares of the tasks over which sums are added up first, so that no group has a row for each task.
 HELD, SHARES = 256, 64
+#: Numbers of rows and parameters (those of each line) up to which one task takes a key's lines through all rounds; longer keys go by rounds over all tasks.
+AT_ONCE = 2_000_000
 
 #: For one line of data (arrays of a store's rows) at parameters: value, gradient, and of the negative curvature its diagonal for all parameters but the
 #: last ``dense``, their rows against the others (dense x others), and the last ones' own block.
@@ -108,10 +110,11 @@ def advanced(first: dict, total: np.ndarray, dense: int, tolerance: float) -> di
     }
 
 
-def maximise(lines: DataFrame, start: DataFrame, keys: Sequence[str], line: Line, dense: int, tolerance: float = 1e-9, most: int = 200) -> DataFrame:
-    """(keys, theta, converged) that maximise the sum of ``line`` over each key's lines, from ``start`` (keys, theta).
+def maximise(lines: DataFrame, start: DataFrame, keys: Sequence[str], line: Line, dense: int, tolerance: float = 1e-9, most: int = 200, at_once: int = AT_ONCE) -> DataFrame:
+    """(keys, theta, converged) that maximise the sum of ``line`` over each key's lines (with their rows in arrays, ``units`` one of them), from ``start`` (keys, theta).
 
-    Each round adds gradient and curvature up by key: within tasks, over shares of the tasks, then over shares. Only the last ``dense``
+    A key whose lines and parameters are at most ``at_once`` numbers is taken to its end by one task, so that it costs one job and not one a round. For longer
+    keys, each round adds gradient and curvature up by key: within tasks, over shares of the tasks, then over shares. Only the last ``dense``
     parameters have whole rows of curvature; of the others (one for each week, say) only the diagonal is kept, so a row of sums is a few
     times as long as the parameters, and what the diagonal leaves out is learnt from the last MEMORY steps. A key is done when no
     parameter's plain step reaches ``tolerance``; keys that are done are left out of the next round, and only whether any is left comes to the driver."""
@@ -156,14 +159,32 @@ def maximise(lines: DataFrame, start: DataFrame, keys: Sequence[str], line: Line
         *names, "theta", F.col("theta").alias("before"), F.lit(float("-inf")).alias("value"), F.transform("theta", lambda x: F.lit(0.0)).alias("step"), none.alias("places"), none.alias("steps"), F.lit(0).alias("losses"),
         F.lit(False).alias("done"), F.lit(False).alias("converged"),
     )
-    state, finished = staged(fewer_files(state), "fits"), None
+    state = staged(fewer_files(state), "fits")
+    lengths = lines.groupBy(*names).agg(F.count(F.lit(1)).alias("lines"), F.sum(F.size("units")).alias("numbers"))
+    long = F.col("numbers") + F.col("lines") * F.size("theta") > at_once
+    lengths = staged(fewer_files(state.join(lengths, names).select(*names, long.alias("long"))), "lengths")
+
+    def ended(rows: pd.DataFrame) -> pd.DataFrame:
+        first, n = {c: rows[c].iloc[0] for c in [*names, *columns]}, 0
+        own = list(rows.itertuples(index=False))
+        while n < most and not first["done"]:
+            with np.errstate(all="ignore"):
+                total = sum(packed(*line(row, np.asarray(first["theta"], np.float64))) for row in own)
+            first, n = advanced(first, total, dense, tolerance), n + 1
+        return pd.DataFrame([[*[first[c] for c in names], first["theta"], first["converged"]]], columns=[*names, "theta", "converged"])
+
+    short = lines.join(state.join(lengths.where("not long").drop("long"), names), names)
+    finished = staged(fewer_files(short.groupBy(*names).applyInPandas(ended, f"{types}, theta array<double>, converged boolean")), "fits")
+    state = state.join(lengths.where("long").drop("long"), names)
+    if state.isEmpty():
+        return finished
     sums = f"{types}, share int, sums array<double>"
     for n in range(most):
         shares = lines.join(state.select(*names, "theta"), names).mapInPandas(parts, sums).groupBy(*names, "share").applyInPandas(added, sums)
         new = staged(fewer_files(shares.join(state, names).groupBy(*names).applyInPandas(stepped, f"{types}, {STATE}")), "fits")
         own = new.where("done") if n < most - 1 else new
-        finished = own if finished is None else finished.unionByName(own)
+        finished = finished.unionByName(own.select(*finished.columns))
         state = new.where("not done")
         if state.isEmpty():
             break
-    return finished.select(*names, "theta", "converged")
+    return finished

@@ -1,5 +1,7 @@
 """Movement files, the actual cell, text structure, and recovery of known slopes."""
 
+from functools import partial
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -107,8 +109,11 @@ def poisson_by_dummies(own, *columns):
     return b
 
 
-def test_loglog_equals_the_fit_with_dummies(spark, panel):
-    """On a panel with gaps, against Newton steps on one product's rows with a column for each store and week; plain, and with the first stage's residual."""
+@pytest.mark.parametrize("at_once", [panel_fit.AT_ONCE, 0])
+def test_loglog_equals_the_fit_with_dummies(spark, panel, monkeypatch, at_once):
+    """On a panel with gaps, against Newton steps on one product's rows with a column for each store and week; plain, and with the first stage's residual;
+    with all rounds in one task, and by rounds over all tasks."""
+    monkeypatch.setattr(loglog, "maximise", partial(panel_fit.maximise, at_once=at_once))
     rows = with_gaps(panel)
     own = rows.toPandas()
     own = own[own.groupby("week").units.transform("sum") > 0].reset_index(drop=True)
