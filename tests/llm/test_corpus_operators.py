@@ -7,6 +7,8 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from shelfwise.llm import mixing, near_duplicates, repeats, revisits, scoring, url_filter
@@ -186,6 +188,19 @@ def test_scores(docs, rows, empty):
     assert scoring.score_texts(docs.where("doc_id < 4"), F.lit(True)).where("n_known > 0").count() == 0
 
 
+def test_scores_of_buckets_in_shares(docs, rows, monkeypatch):
+    """Twenty chunks, of which three rows of a bucket meet in a group: counts and base scores stay, and scores move only with the order of training."""
+    def scores():
+        return sorted(tuple(r) for r in scoring.score_texts(docs.where("doc_id is not null").repartition(20), F.col("doc_id") % 7 == 2).collect())
+
+    whole = scores()
+    monkeypatch.setattr(scoring, "FAN", 3)
+    split = scores()
+    assert [r[:5] for r in split] == [r[:5] for r in whole] and len(whole) == sum(doc is not None for doc, _ in rows)
+    assert [r[5] for r in split] == pytest.approx([r[5] for r in whole])
+    assert [r[6] for r in split] == pytest.approx([r[6] for r in whole], rel=0.05)
+
+
 def test_urls(spark):
     pages = [(1, "http://a.org/x", '<a href="http://b.net/">'), (2, "http://b.net/", "<a href=//c.net/q>"), (3, "http://c.net/1", None), (4, "http://e.net/1", "<A HREF='http://d.com/de/x'>"), (5, "http://D.com/de/x?a/b", ""), (6, None, None), (7, "nourl", "x"), (8, "https://www.example.org/en/12#t", None), (8, "https://www.example.org/en/2", None)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")

@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -283,6 +284,47 @@ def test_licences(docs, rows, empty):
     assert licences.scan(empty).count() == 0
 
 
+def filler(rng, words):
+    return " ".join(rng.choices(["alpha", "beta", "software", "the", "license", "version", "été"], k=words))
+
+
+def plain_licences(texts):
+    """(labels, score) of each text: every place of every template is tried."""
+    words = [ALNUM.findall(low(t)) for t in texts]
+    seen = Counter(w for own in words for w in set(own))
+
+    def stands(own, phrase):
+        p = phrase.split()
+        return any(own[i : i + len(p)] == p for i in range(len(own) - len(p) + 1))
+
+    for own in words:
+        labels, score = {label for x, label in licences.PHRASES if stands(own, x)}, 0.0
+        for label, must, notice in licences.TEMPLATES:
+            template = notice.split()
+            rare = sorted(set(template), key=lambda w: (seen[w], w))[: licences.TERMS]
+            places = [i for i, w in enumerate(template) if w in rare]
+            best = max((sum(0 <= s + i < len(own) and own[s + i] == template[i] for i in places) for s in range(-len(template), len(own))), default=0) / len(places)
+            if best >= licences.ENOUGH and all(stands(own, x) for x in must):
+                labels, score = labels | {label}, max(score, best)
+        yield ",".join(sorted(labels)), score
+
+
+def test_licences_against_a_plain_matcher(spark):
+    """Notices whole, cut short at either end, with words changed or put in between, twice, beside each other, and without a mandatory phrase."""
+    rng, texts = random.Random(5), [None, "", "License", filler(rng, 200)]
+    for _, _, notice in licences.TEMPLATES:
+        words = notice.split()
+        changed = [rng.choice(["other", w, w, w]) for w in words]
+        split = words[: len(words) // 2] + ["inserted"] + words[len(words) // 2 :]
+        for own in (words, words[: 2 * len(words) // 3], words[len(words) // 3 :], changed, split, words + words[::-1] + words):
+            texts.append(filler(rng, 10) + "\n" + " ".join(own).title() + ". " + filler(rng, 5))
+    texts += [" ".join(rng.choice(licences.TEMPLATES)[2] for _ in range(3)) for _ in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.licence for r in licences.scan(df).collect()}
+    for i, (labels, score) in enumerate(plain_licences(texts)):
+        assert (got[i].labels, got[i].score) == (labels, pytest.approx(score)), texts[i]
+
+
 def test_licences_beside_each_other(spark):
     """Each notice is found whatever else the text holds, and not by a few of its words."""
     notices = {t: t[2] for t in licences.TEMPLATES}
