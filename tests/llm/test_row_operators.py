@@ -311,7 +311,8 @@ def plain_licences(texts):
 
 def test_licences_against_a_plain_matcher(spark):
     """Notices whole, cut short at either end, with words changed or put in between, twice, beside each other, and without a mandatory phrase."""
-    rng, texts = random.Random(5), [None, "", "License", filler(rng, 200)]
+    rng = random.Random(5)
+    texts = [None, "", "License", filler(rng, 200)]
     for _, _, notice in licences.TEMPLATES:
         words = notice.split()
         changed = [rng.choice(["other", w, w, w]) for w in words]
