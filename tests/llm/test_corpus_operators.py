@@ -1,6 +1,7 @@
 import datetime
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from shelfwise.llm import mixing, near_duplicates, repeats, revisits, scoring, url_filter
+from shelfwise.llm import mixing, near_duplicates, repeats, revisits, scoring, sequences, url_filter
 from shelfwise.llm.components import components
 from shelfwise.llm.deep_shallow import common, deep_shallow, reaches
 from shelfwise.llm.words import hash_words
@@ -289,3 +290,30 @@ def test_pipeline_stages(spark, rows, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_duplicates", "repeats", "decontamination", "packing"]
     assert set(range(2, 12)) <= set(got.doc_id) and not {21, 22, 32, 40, 41, 43, 47} & set(got.doc_id)
+
+
+def test_scores_depend_on_the_order_of_tokens(spark):
+    """The same words in the order of the training texts and shuffled: only what sees the tokens before tells them apart."""
+    sentence = [f"w{k}" for k in range(40)]
+    mixed = random.Random(3).sample(sentence, 40)
+    rows = [(i, " ".join(sentence[i % 7 :] + sentence[: i % 7])) for i in range(60)] + [(100, " ".join(sentence)), (101, " ".join(mixed))]
+    got = {r.doc_id: r.score for r in scoring.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") >= 100).collect()}
+    assert got[100] > got[101] + 10
+
+
+def test_bits_of_tokens_are_a_distribution():
+    """At one place, over all cells and the unknown word, probabilities add up to 1; each token of a text is counted, not each distinct word."""
+    rng = np.random.default_rng(1)
+    words = rng.integers(0, 1 << 32, 50, dtype=np.uint64).astype(np.uint32)
+    text = words[rng.integers(0, 50, 3000) * rng.integers(0, 2, 3000)]
+    first = np.arange(3000) % 100 == 0
+    tokens = sequences.Tokens(text, rng.random(3000) < 0.9, first, (np.arange(3000) // 300 % 3).astype(np.uint8))
+    counts = sequences.count_bits(tokens)
+    assert (counts.sum(axis=1) == 3000 + sequences.CELL_BITS * tokens.known.sum()).all()
+    model = sequences.Mixer()
+    model.train(tokens, sequences.without_own(counts))
+    every = (np.arange(sequences.CELLS + 1, dtype=np.uint64) << np.uint64(32 - sequences.CELL_BITS)).astype(np.uint32)
+    n = len(every)
+    ends = sequences.Tokens(np.stack([np.full(n, words[0]), every], axis=1).ravel(), np.stack([np.ones(n, bool), np.arange(n) < n - 1], axis=1).ravel(), np.tile([True, False], n), np.zeros(2 * n, np.uint8))
+    total = np.exp(model.log_probabilities(ends, sequences.predictions(counts))[1::2]).sum()
+    assert total == pytest.approx(1, abs=1e-3)
