@@ -37,6 +37,28 @@ def exact_quantile(rows: DataFrame, keys: Sequence[str], value: Column, share: f
     return bracket.join(out, _same(bracket, out, keys), "left").select(*[bracket[k] for k in keys], name)
 
 
+def with_quantile(rows: DataFrame, keys: Sequence[str], value: Column, share: float, name: str) -> DataFrame:
+    """``rows`` with ``name``, the exact quantile of their group as in ``exact_quantile``.
+
+    Groups of SMALL rows or fewer meet whole in one shuffle by key, sorted by value, which later steps by the same keys can keep; only larger groups are sketched and bracketed.
+    ``rows`` is read twice, first for its keys and values alone."""
+    keys, place = list(keys), F.lit(share) * (F.col("__n") - 1)
+    large = staged(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > SMALL).select(*keys), "large")
+    some = bool(large.take(1))
+    small = rows.join(F.broadcast(large), _same(rows, large, keys), "left_anti") if some else rows
+    group = Window.partitionBy(*keys)
+    at = lambda k: F.min(F.when(F.col("__at") == k, F.col("__v"))).over(group)
+    placed = small.withColumn("__v", value.cast("double"))
+    placed = placed.withColumns({"__at": F.row_number().over(group.orderBy(F.asc_nulls_last("__v"))) - 1, "__n": F.count("__v").over(group)})
+    placed = placed.withColumns({"__a": at(F.floor(place)), "__b": at(F.least(F.floor(place) + 1, F.col("__n") - 1))})
+    out = placed.select(*rows.columns, F.when(F.col("__n") > 0, F.col("__a") + (place - F.floor(place)) * (F.col("__b") - F.col("__a"))).alias(name))
+    if not some:
+        return out
+    rest = staged(rows.join(F.broadcast(large), _same(rows, large, keys), "left_semi"), "large-groups")
+    usual = exact_quantile(rest, keys, value, share, name)
+    return out.unionByName(rest.join(F.broadcast(usual), _same(rest, usual, keys)).select(*[rest[c] for c in rest.columns], name))
+
+
 def _same(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> Column:
     """Groups of null keys are groups too."""
     out = F.lit(True)
