@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shelfwise.operators.counterfactual import own_price_sweep
 from shelfwise.operators.forecast import last_weeks, split_weeks
 from shelfwise.sources.movement import clean_movement, read_movement
+from shelfwise.staging import fewer_files, staged
 
 WELL_COVERED, UNIVERSE_SHARE = 0.5, 0.80
 
@@ -35,10 +36,11 @@ def top_universe(training: DataFrame, share: float = UNIVERSE_SHARE, cell: tuple
 
 def build_cell(movement: DataFrame, slug: str = "actual", window_weeks: int = 156, window_end: int | None = None, holdout_weeks: int = 16) -> dict[str, DataFrame]:
     """panel, training, eval_weeks and sweep of a cleaned movement table; the universe never looks at held-out weeks."""
+    movement = staged(fewer_files(movement), "movement")  # the window, the split, the universe and the cell itself all read it
     panel = window_of(movement, window_weeks, window_end).withColumn("cell_slug", F.lit(slug))
     weeks = last_weeks(panel, holdout_weeks)
     training, _ = split_weeks(panel, weeks)
-    panel = panel.join(top_universe(training), ["cell_slug", "product_id"], "left_semi")
+    panel = staged(fewer_files(panel.join(top_universe(training), ["cell_slug", "product_id"], "left_semi")), "panel")
     return {"panel": panel, "training": split_weeks(panel, weeks)[0], "eval_weeks": weeks, "sweep": own_price_sweep(panel, weeks)}
 
 

@@ -60,7 +60,7 @@ def fixture_cell(spark: SparkSession, d: str) -> DataFrame:
 
 @query("universe80", _WINDOW + " SELECT 'actual' AS cell_slug, product_id FROM uni")
 def universe80(spark: SparkSession, d: str) -> DataFrame:
-    p = actual.window_of(clean_movement(v.movement(spark, d)), 156).withColumn("cell_slug", F.lit("actual"))
+    p = actual.window_of(staged(fewer_files(clean_movement(v.movement(spark, d))), "movement"), 156).withColumn("cell_slug", F.lit("actual"))
     return actual.top_universe(forecast.split_weeks(p, forecast.last_weeks(p, 16))[0])
 
 
