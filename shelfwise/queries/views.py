@@ -94,8 +94,9 @@ def matrix(p: DataFrame) -> DataFrame:
 
 def products(spark: SparkSession, d: str, p: DataFrame) -> DataFrame:
     """Brands with the text of the document of their number."""
-    texts = table(spark, d, "documents").groupBy(F.col("doc_id").alias("brand_number")).agg(F.min("text").alias("product_text"))
     own = p.select("cell_slug", "product_id").distinct().withColumn("n", brand_no())
+    named = table(spark, d, "documents").join(F.broadcast(own.select("n").distinct()), F.col("doc_id") == F.col("n"), "left_semi")  # before any text is shuffled
+    texts = named.groupBy(F.col("doc_id").alias("brand_number")).agg(F.min("text").alias("product_text"))
     return own.join(texts, F.col("n") == F.col("brand_number"), "left").select("cell_slug", "product_id", "product_text", F.concat(F.lit("B"), (F.col("n") % 8).cast("string")).alias("brand_code"))
 
 
