@@ -30,8 +30,8 @@ def _both(df: DataFrame, value: str) -> DataFrame:
     return df.withColumn("submission_name", F.lit("full")).unionByName(df.withColumns({"submission_name": F.lit("half"), value: F.col(value) / 2}))
 
 
-def payloads(spark: SparkSession, d: str) -> DataFrame:
-    p = v.panel(spark, d)
+def payloads(spark: SparkSession, d: str, p: DataFrame | None = None) -> DataFrame:
+    p = v.panel(spark, d) if p is None else p
     rows = staged(fewer_files(v.scenario_rows(p)), "scenarios")
     config = p.select("cell_slug").distinct().select("cell_slug", F.lit("test").alias("benchmark_version"), F.lit("log_log").alias("family"))
     keys = config.select("cell_slug").crossJoin(spark.createDataFrame([("full",), ("half",)], "submission_name string"))
@@ -117,9 +117,9 @@ def actual_arm(spark: SparkSession, d: str) -> DataFrame:
     return actual_payloads(spark, d).select("cell_slug", "submission_name", "data_arm", "family", F.round("sales_forecasting.demand_wmape", 6).alias("demand_wmape"), "validity_checks_actual.gate.verdict", "elasticity_recovery.status")
 
 
-def actual_payloads(spark: SparkSession, d: str) -> DataFrame:
+def actual_payloads(spark: SparkSession, d: str, p: DataFrame | None = None) -> DataFrame:
     """The panel scored as real data: each focal's own sweep, with the scenarios' deltas scaled to it."""
-    p = v.panel(spark, d)
+    p = v.panel(spark, d) if p is None else p
     sweep = own_price_sweep(p, v.weeks(p))
     moved = sweep.select("cell_slug", "intervention_id", "product_id", "store_id", "week", (F.col("baseline_units") * (F.pow(F.col("intervention_price") / F.col("baseline_price"), F.lit(-1.6)) - 1)).alias("predicted_delta_units"))
     config = p.select("cell_slug").distinct().select("cell_slug", F.lit("test").alias("benchmark_version"), F.lit("log_log").alias("family"))

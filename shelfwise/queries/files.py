@@ -16,7 +16,7 @@ from shelfwise.queries.board import ORACLES as BOARD_ORACLES
 from shelfwise.queries.scoring import rounded
 from shelfwise.sources import cells, submissions
 from shelfwise.sources.movement import clean_movement, read_movement
-from shelfwise.staging import shared_folder
+from shelfwise.staging import shared_folder, staged
 
 QUERIES, ORACLES = {}, {}
 _LEADERS = v.SQL + BOARD
@@ -127,7 +127,8 @@ def scoring_run(spark: SparkSession, d: str) -> DataFrame:
 @query("board_of_both_arms", _BOTH_ARMS)
 def board_of_both_arms(spark: SparkSession, d: str) -> DataFrame:
     """Synthetic and actual payloads with reference payloads beside them: ranks restart for each arm, and a reference of a cell that is only scored in the other arm stays out."""
-    scored, actual = board.conformed(payloads(spark, d)), board.conformed(actual_payloads(spark, d))
+    p = v.panel(spark, d)
+    scored, actual = (staged(board.conformed(of(spark, d, p)), "payloads") for of in (payloads, actual_payloads))
     own = scored.where("submission_name = 'full'").unionByName(actual.where("submission_name = 'full'").withColumn("cell_slug", F.concat("cell_slug", F.lit("_real"))))
     half = scored.where("submission_name = 'half'").withColumn("submission_name", F.lit("reference"))
     elsewhere = half.withColumns({"cell_slug": F.concat("cell_slug", F.lit("_real")), "submission_name": F.lit("other arm")})
