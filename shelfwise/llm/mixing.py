@@ -20,11 +20,11 @@ LEVELS = 33  # of the map that refines, over stretched probabilities of -8 to 8
 _PRIOR = 0.4
 _RATE = 0.1
 _LANES = 4096
-_COUNTED = 1 << 20  # bits that are looked up between two additions to the tables
 #: Longer words are spelled in segments of their own, so that no lane is longer.
 _SEGMENT = 48
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_NODE = np.uint64(0xD6E8FEB86659FD93 * int(_STEP) % 2**64)
 _SALT = (np.arange(1, PLAIN + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)).reshape(-1, 1)
 
 
@@ -76,13 +76,15 @@ def _bits(rows: np.ndarray, symbols: np.ndarray, salts: np.ndarray):
         context[at] = prefix_own + np.uint64((p + 1) * int(_STEP) % 2**64)
         grouped = context[[2, at]] ^ (salts[:, None, first:] if salts.shape[1] > 1 else salts[:, None, :])
         context ^= _SALT
+        context *= _STEP  # the last factor of the slots' hash, once a byte instead of once a bit
+        grouped *= _STEP
         symbol = own[:, p].astype(np.uint64)
         node = np.ones(n - first, np.uint64)
         for b in range(8):
             bit = (symbol >> np.uint64(7 - b)) & np.uint64(1)
-            known = node * np.uint64(0xD6E8FEB86659FD93)
-            plain, by_group = (((x + known) * _STEP) >> np.uint64(64 - SLOT_BITS) for x in (context, grouped))
-            yield b * 8 + min(p, 7), first, bit.astype(np.int64), plain.astype(np.int64), by_group.astype(np.int64)
+            known = node * _NODE
+            plain, by_group = ((x + known) >> np.uint64(64 - SLOT_BITS) for x in (context, grouped))
+            yield b * 8 + min(p, 7), first, bit.view(np.int64), plain.view(np.int64), by_group.view(np.int64)
             node = node << np.uint64(1) | bit
         prefix[first:] = (prefix_own ^ (symbol + np.uint64(1))) * _STEP
 
@@ -92,28 +94,14 @@ def _sorted(of: np.ndarray, rows: np.ndarray, symbols: np.ndarray):
     return of[order], rows[order], symbols[order]
 
 
-def count_bits(words: list[bytes], groups: np.ndarray) -> np.ndarray:
-    """Zeros and ones in each slot of each predictor, each pair of a word and its group counted once."""
-    out = np.zeros((PREDICTORS, 2 * SLOTS), np.int32)
-    found: list[list[np.ndarray]] = [[] for _ in range(PREDICTORS)]
-    n = 0
-
-    def add() -> None:
-        for total, own in zip(out, found, strict=True):
-            if own:
-                np.add(total, np.bincount(np.concatenate(own), minlength=2 * SLOTS), out=total, casting="unsafe")
-            own.clear()
-
+def count_bits(words: list[bytes], groups: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+    """Zeros and ones in each slot of each predictor, each pair of a word and its group counted once; added to ``out`` if given."""
+    out = np.zeros((PREDICTORS, 2 * SLOTS), np.int32) if out is None else out
     for batch in Lanes(words).batches():
         of, rows, symbols = _sorted(*batch)
         for _, _, bit, slots, by_group in _bits(rows, symbols, group_salts(groups[of])[None, :]):
-            for k, x in enumerate((*slots, *by_group[0])):
-                found[k].append((x * 2 + bit).astype(np.int32))
-            n += len(bit)
-        if n > _COUNTED:
-            add()
-            n = 0
-    add()
+            for total, x in zip(out, (*slots, *by_group[0]), strict=True):
+                np.add.at(total, x * 2 + bit, np.int32(1))
     return out
 
 
@@ -123,17 +111,22 @@ def squash(x: np.ndarray) -> np.ndarray:
 
 def predictions(counts: np.ndarray) -> np.ndarray:
     """Stretched predictions of a one by slot."""
-    n = counts.reshape(PREDICTORS, SLOTS, 2).astype(np.float32)
-    return np.log((n[:, :, 1] + _PRIOR) / (n[:, :, 0] + _PRIOR))
+    out = np.empty((PREDICTORS, SLOTS), np.float32)
+    for own, n in zip(out, counts.reshape(PREDICTORS, SLOTS, 2), strict=True):
+        n = n.astype(np.float32)
+        own[:] = np.log((n[:, 1] + _PRIOR) / (n[:, 0] + _PRIOR))
+    return out
 
 
 def without_own(counts: np.ndarray) -> np.ndarray:
     """The same by slot and bit, as they were without the one word that is being looked at, which had that bit."""
-    n = counts.reshape(PREDICTORS, SLOTS, 2).astype(np.float32)
-    less = np.maximum(n - 1, 0)
-    zero = np.log((n[:, :, 1] + _PRIOR) / (less[:, :, 0] + _PRIOR))
-    one = np.log((less[:, :, 1] + _PRIOR) / (n[:, :, 0] + _PRIOR))
-    return np.stack([zero, one], axis=2).reshape(PREDICTORS, 2 * SLOTS)
+    out = np.empty((PREDICTORS, SLOTS, 2), np.float32)
+    for own, n in zip(out, counts.reshape(PREDICTORS, SLOTS, 2), strict=True):
+        n = n.astype(np.float32)
+        less = np.maximum(n - 1, 0)
+        own[:, 0] = np.log((n[:, 1] + _PRIOR) / (less[:, 0] + _PRIOR))
+        own[:, 1] = np.log((less[:, 1] + _PRIOR) / (n[:, 0] + _PRIOR))
+    return out.reshape(PREDICTORS, 2 * SLOTS)
 
 
 class Mixer:
@@ -154,9 +147,9 @@ class Mixer:
             for gate, _, bit, slots, by_group in _bits(rows, symbols, group_salts(groups[of])[None, :]):
                 x = np.ones((PREDICTORS + 1, len(bit)), np.float32)
                 for k, at in enumerate((*slots, *by_group[0])):
-                    x[k] = leave_out[k][at * 2 + bit]
+                    np.take(leave_out[k], at * 2 + bit, out=x[k], mode="clip")
                 mixed = np.clip(self.weights[gate] @ x, -12, 12)
-                self.weights[gate] += (_RATE / np.sqrt(self.rates[gate]) / max(1, len(bit))) * (x @ (bit - squash(mixed)).astype(np.float32))
+                self.weights[gate] += (_RATE / np.sqrt(self.rates[gate]) / max(1, len(bit))) * (x @ (bit.astype(np.float32) - squash(mixed)))
                 self.rates[gate] += len(bit) / _LANES
                 level = self._level(mixed)
                 self.refine[gate, :, 0] += np.bincount(level, bit, LEVELS)

@@ -99,7 +99,7 @@ def _coded(buckets: int):
                 words = space_words(text if isinstance(text, str) else None)
                 words.append(_END)
                 raw = sum(map(len, words)) + len(words)
-                docs.append((doc, bool(held_out), int(of_class), raw, lexicon.codes(words)))
+                docs.append((doc, bool(held_out), int(of_class), raw, lexicon.codes(words).astype(np.uint32)))
                 size += raw
                 if size >= CHUNK_BYTES:
                     yield written(chunk, lexicon, docs)
@@ -160,8 +160,12 @@ def _known(row, group: np.ndarray) -> tuple[list[bytes], np.ndarray]:
 
 
 def _slots(group: np.ndarray):
-    """Counts of the predictors' slots over a batch's words."""
-    return lambda batch: sum(mixing.count_bits(*_known(row, group)) for row in batch.itertuples()).ravel()
+    def of(batch: pd.DataFrame, total: np.ndarray) -> None:
+        """Counts of the predictors' slots over a batch's words."""
+        for row in batch.itertuples():
+            mixing.count_bits(*_known(row, group), total.reshape(mixing.PREDICTORS, -1))
+
+    return of
 
 
 def _weights(tables, group: np.ndarray):
@@ -282,8 +286,9 @@ def _tokens(row, at_least: int, training: bool) -> tuple[sequences.Tokens, np.nd
     return sequences.Tokens(expand(row.hashes, np.uint32)[codes], (expand(row.counts, np.int64) >= at_least)[codes], first, lean), codes
 
 
-def _counted(batch: pd.DataFrame) -> np.ndarray:
-    return sum(sequences.count_bits(_tokens(row, 2, True)[0]) for row in batch.itertuples()).ravel()
+def _counted(batch: pd.DataFrame, total: np.ndarray) -> None:
+    for row in batch.itertuples():
+        sequences.count_bits(_tokens(row, 2, True)[0], total.reshape(sequences.PREDICTORS, -1))
 
 
 def _sequence_weights(tables):
@@ -326,7 +331,7 @@ def _texts(tables, mixer: tuple[np.ndarray, np.ndarray], log_cells: np.ndarray,
                 at = np.flatnonzero(own.first)
                 score = np.add.reduceat(each, at) / np.log(10)
                 base = np.add.reduceat(base_of[codes], at)
-                known = np.add.reduceat(own.known.astype(np.int64), at)
+                known = np.add.reduceat(own.known, at, dtype=np.int64)
                 doc = pd.array([None if none else i for i, none in zip(row.doc_id, row.no_id, strict=True)], "Int64")
                 out = pd.DataFrame({"doc_id": doc, "held_out": row.held_out, "n_tokens": row.n_tokens, "n_known": known, "train_tokens": tokens, "base_score": base, "score": score})
                 yield out.assign(bits_per_byte=-score / np.log10(2) / np.asarray(row.n_bytes))

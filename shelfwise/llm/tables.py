@@ -10,9 +10,10 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-_BLOCK = 1 << 14
-#: Tasks' tables are first added up in so many shares of the tasks, then over the shares: no group gathers all tasks.
-_SHARES = 64
+_BLOCK = 1 << 16
+#: Tables of so many tasks are added up first, then their sums: no group gathers all tasks.
+_TASKS = 64
+_ROWS = 8  # of a task's table that are handed over at once
 
 
 def squeeze(x: np.ndarray) -> bytes:
@@ -25,21 +26,25 @@ def expand(raw: bytes, kind, width: int = 1) -> np.ndarray:
 
 
 def _added(rows: pd.DataFrame) -> pd.DataFrame:
-    total = sum(expand(x, np.int32).astype(np.int64) for x in rows["sums"])
+    total = np.zeros(_BLOCK, np.int64)
+    for x in rows["sums"]:
+        total += expand(x, np.int32)
     return pd.DataFrame({"block": [rows["block"].iloc[0]], "share": [rows["share"].iloc[0]], "sums": [squeeze(np.minimum(total, 2**31 - 1).astype(np.int32))]})
 
 
-def summed(df: DataFrame, count: Callable[[pd.DataFrame], np.ndarray], size: int) -> np.ndarray:
-    """The sum over all batches of ``count`` (``size`` whole numbers); ``size`` bounds what a task holds and what the driver gets."""
+def summed(df: DataFrame, count: Callable[[pd.DataFrame, np.ndarray], None], size: int) -> np.ndarray:
+    """The sum over all batches of what ``count`` adds to a table of ``size`` whole numbers, of which a task holds one; ``size`` bounds what a task holds and what the driver gets."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = None
         for batch in batches:
-            own = count(batch)
-            total = own if total is None else total + own
+            total = np.zeros(size, np.int32) if total is None else total
+            count(batch, total)
         if total is not None:
-            blocks = total.astype(np.int32).reshape(-1, _BLOCK)
-            yield pd.DataFrame({"block": np.arange(len(blocks)), "share": TaskContext.get().partitionId() % _SHARES, "sums": [squeeze(b) for b in blocks]})
+            blocks = total.reshape(-1, _BLOCK)
+            for i in range(0, len(blocks), _ROWS):
+                own = [squeeze(b) for b in blocks[i : i + _ROWS]]
+                yield pd.DataFrame({"block": np.arange(i, i + len(own)), "share": TaskContext.get().partitionId() // _TASKS, "sums": own})
 
     out = np.zeros(size, np.int32)
     schema = "block long, share long, sums binary"

@@ -317,3 +317,75 @@ def test_bits_of_tokens_are_a_distribution():
     ends = sequences.Tokens(np.stack([np.full(n, words[0]), every], axis=1).ravel(), np.stack([np.ones(n, bool), np.arange(n) < n - 1], axis=1).ravel(), np.tile([True, False], n), np.zeros(2 * n, np.uint8))
     total = np.exp(model.log_probabilities(ends, sequences.predictions(counts))[1::2]).sum()
     assert total == pytest.approx(1, abs=1e-3)
+
+
+def _some_tokens(n: int) -> sequences.Tokens:
+    rng = np.random.default_rng(5)
+    words = rng.integers(0, 1 << 32, 60, dtype=np.uint64).astype(np.uint32)
+    first = rng.random(n) < 0.02
+    first[0] = True
+    return sequences.Tokens(words[rng.integers(0, 60, n) * rng.integers(0, 2, n)], rng.random(n) < 0.9, first, (np.arange(n) // 300 % 3).astype(np.uint8))
+
+
+def test_slots_of_tokens_are_counted_plainly():
+    """Each token's bits one by one: the predictors that see no word before are counted by their few nodes, the others token by token; a token's eleven bits lie in four groups of
+    neighbouring slots for each predictor, so that its walk through a table meets four places of memory, not eleven."""
+    tokens, want = _some_tokens(9000), Counter()
+    few, lines = sequences.few_slots(3), [[set() for _ in range(9000)] for _ in range(sequences.PREDICTORS)]
+    done = 0
+    for part in tokens.parts(4000):
+        for _, at, bit, node, classes, slots in sequences._bits(*part):
+            for i, t in enumerate((np.arange(len(part[0])) + done)[at].tolist()):
+                own = [int(few[0][0, node[i]]), int(few[1][classes[i], node[i]]), int(slots[0, i]), int(slots[1, i])]
+                for k, slot in enumerate(own):
+                    want[k, slot, int(bit[i])] += 1
+                    lines[k][t].add(slot >> sequences.NEAR)
+        done += len(part[0])
+    counts = sequences.count_bits(tokens).reshape(sequences.PREDICTORS, sequences.SLOTS, 2)
+    assert {(k, s, b): int(counts[k, s, b]) for k, s, b in np.argwhere(counts).tolist()} == dict(want)
+    assert max(len(x) for own in lines for x in own) <= 4
+
+
+def test_probabilities_of_tokens_equal_plain_ones():
+    """Bit by bit in 64-bit floats, each predictor looked up by itself."""
+    tokens = _some_tokens(9000)
+    counts = sequences.count_bits(tokens)
+    model, table = sequences.Mixer(), sequences.predictions(counts)
+    model.train(tokens, sequences.without_own(counts))
+    few, levels = sequences.few_slots(3), np.linspace(-8, 8, sequences.LEVELS)
+    centre = 1 / (1 + np.exp(-levels))
+    seen, ones = model.refine[:, :, 1], model.refine[:, :, 0]
+    refined, want = np.log((ones + 2 * centre) / (seen - ones + 2 * (1 - centre))), []
+    for part in tokens.parts(4000):
+        own = np.zeros(len(part[0]))
+        for gate, at, bit, node, classes, slots in sequences._bits(*part):
+            x = np.stack([table[0][few[0][0, node]], table[1][few[1][classes, node]], table[2][slots[0]], table[3][slots[1]], np.ones(len(bit))])
+            mixed = np.clip(model.weights[gate] @ x, -12, 12)
+            final = (mixed + refined[gate][np.floor((np.clip(mixed, -8, 8) + 8) * 2 + 0.5).astype(int)]) / 2
+            own[at] -= np.log1p(np.exp(np.where(bit == 1, -final, final)))
+        want.append(own)
+    off = np.abs(model.log_probabilities(tokens, table) - np.concatenate(want))
+    assert np.mean(off < 1e-4) > 0.99  # the others stand between two levels of the map
+
+
+def test_tables_of_tasks_are_summed_once(spark):
+    """Up to 64 tasks' tables meet in one group a block; the sum is that of all batches."""
+    from shelfwise.llm import tables
+
+    met, size = spark.sparkContext.accumulator(0), 1 << 17
+    added = tables._added
+
+    def counted(rows):
+        met.add(len(rows))
+        return added(rows)
+
+    def count(batch, total):
+        total += np.bincount(batch["id"], minlength=size).astype(np.int32)
+
+    tables._added, before = counted, tables._added
+    try:
+        got = tables.summed(spark.range(0, 30, 1, 10), count, size)
+    finally:
+        tables._added = before
+    assert (got == np.bincount(np.arange(30), minlength=size)).all()
+    assert met.value <= 2 * 11 * (size >> 16)  # 10 tables and their sum in each of two blocks; a second run of a stage is allowed for
